@@ -13,7 +13,7 @@ def split_sql(text: str) -> str:
 
 def hash_sql(lines: str) -> str:
     """SHA-256 of a list of lines without trailing whitespace, joined by LF."""
-    return f"sha256(array_to_string(list_transform({lines}, x -> regexp_replace(x, '\\s+$', '')), chr(10)))"
+    return f"sha256(array_to_string(list_transform({lines}, lambda x: regexp_replace(x, '\\s+$', '')), chr(10)))"
 
 
 def _lines(name: str, source: str, *keep: str) -> str:

@@ -20,7 +20,7 @@ class Query:
 
 
 _QUERIES: dict[str, Query] = {}
-_MODULES = ("scan",)
+_MODULES = ("scan", "rules")
 
 
 def query(name: str, items: str, sql: str | None = None) -> Callable[[Runner], Runner]:

@@ -17,16 +17,22 @@ _PLACEHOLDER = re.compile(r"@([a-z0-9_]+)@")
 
 
 def _line_sql(template: str) -> str:
-    """SQL expression of one line; ``@n@`` refers to a column of the seed query."""
+    """SQL expression of one line; ``@n@`` refers to a column of the seed query.
+
+    A dollar sign and a following brace become two literals, so Spark substitutes no variable there.
+    """
+    def literals(text: str) -> list[str]:
+        return ["'" + part.replace("'", "''") + "'" for part in re.split(r"(?<=\$)(?={)", text)]
+
     pieces = []
     position = 0
     for match in _PLACEHOLDER.finditer(template):
         if match.start() > position:
-            pieces.append("'" + template[position:match.start()].replace("'", "''") + "'")
+            pieces.extend(literals(template[position:match.start()]))
         pieces.append(match.group(1))
         position = match.end()
     if position < len(template) or not pieces:
-        pieces.append("'" + template[position:].replace("'", "''") + "'")
+        pieces.extend(literals(template[position:]))
     return pieces[0] if len(pieces) == 1 else "concat(" + ", ".join(pieces) + ")"
 
 
@@ -112,7 +118,7 @@ _PY_SERVICE = [
     "                  default=None):",
     "        token_value = \"t0ken-@n@-abc\"",
     "",
-    _Sql(_pick("p % 4", {0: "        return eval(key)", 1: "        os.system('ls ' + key)",
+    _Sql(_pick("p % 7", {0: "        return eval(key)", 1: "        os.system('ls ' + key)",
                          2: "        return jwt.decode(key, options={'verify_signature': False})"},
                "        return hashlib.md5(key)")),
     "",
