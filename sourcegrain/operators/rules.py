@@ -252,40 +252,64 @@ def mask(value: Column) -> Column:
     return F.when(F.length(value) > 4, F.concat(F.substring(value, 1, 4), F.lit("[REDACTED]"))).otherwise("[REDACTED]")
 
 
-def evidence_of(rule: Rule, line: Column) -> Column:
-    text = tx.strip(line)
-    if rule.secret is not None:
-        value = rule.secret(line)
-        text = F.when(value != "", F.replace(text, value, mask(value))).otherwise(text)
-    return tx.ellipsis(text, 220, 217)
-
-
-def _hit(rule: Rule, line: Column, low: Column, kind: Column, language: Column, comment: Column) -> Column:
-    test = kind.isin(list(rule.kinds))
-    if rule.languages is not None:
-        test = test & language.isin(list(rule.languages))
-    if rule.skip_comments:
-        test = test & ~comment
+def _applies(rule: Rule, line: Column, low: Column, kind: Column, language: Column, comment: Column) -> Column:
     hinted = low.contains(rule.hints[0])
     for hint in rule.hints[1:]:
         hinted = hinted | low.contains(hint)
-    title = rule.title_of(line) if rule.title_of else F.lit(rule.title)
-    row = F.struct(F.lit(rule.order).alias("rule_order"), F.lit(rule.id).alias("rule_id"),
-                   F.lit(rule.family).alias("family"), F.lit(rule.severity).alias("severity"),
-                   title.alias("title"), evidence_of(rule, line).alias("evidence"),
-                   F.lit(rule.confidence).alias("confidence"), F.lit(rule.cwe).alias("cwe"))
-    return F.when(test & hinted & rule.test(line), row)
+    test = kind.isin(list(rule.kinds)) & hinted
+    if rule.languages is not None:
+        test = language.isin(list(rule.languages)) & test
+    if rule.skip_comments:
+        test = test & ~comment
+    return test & rule.test(line)
+
+
+def _describe(rules: Sequence[Rule], line: Column, index: Column) -> list[Column]:
+    """Columns of a hit, looked up by rule index; secrets are masked in the evidence."""
+    def lookup(values: list) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
+
+    text = tx.strip(line)
+    title = lookup([r.title for r in rules])
+    for i, r in enumerate(rules):
+        if r.title_of is not None:
+            title = F.when(index == i, r.title_of(line)).otherwise(title)
+        if r.secret is not None:
+            value = r.secret(line)
+            masked = F.replace(tx.strip(line), value, mask(value))
+            text = F.when((index == i) & (value != ""), masked).otherwise(text)
+    return [lookup([r.order for r in rules]).alias("rule_order"), lookup([r.id for r in rules]).alias("rule_id"),
+            lookup([r.family for r in rules]).alias("family"), lookup([r.severity for r in rules]).alias("severity"),
+            title.alias("title"), tx.ellipsis(text, 220, 217).alias("evidence"),
+            lookup([r.confidence for r in rules]).alias("confidence"), lookup([r.cwe for r in rules]).alias("cwe")]
+
+
+def _any_hint(rules: Sequence[Rule], low: Column) -> Column:
+    hints = sorted({h for r in rules for h in r.hints})
+    test = low.contains(hints[0])
+    for hint in hints[1:]:
+        test = test | low.contains(hint)
+    return test
 
 
 def scan_lines(lines: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Uncapped hits of ``rules`` over (.., path, line_no, line, kind, language)."""
+    """Uncapped hits of ``rules`` over (.., path, line_no, line, kind, language).
+
+    One narrow pass: lines without any hint literal are dropped inside generated code, the rules run
+    on the rest, and titles and evidence are worked out only for hits.
+    """
     line = F.col("line")
-    ready = (lines.where((F.length("line") <= MAX_LINE) & line.rlike(r"\S"))
-             .withColumn("_low", F.lower("line")).withColumn("_comment", is_comment(line, F.col("language"))))
-    hits = F.array_compact(F.array(*[
-        _hit(r, line, F.col("_low"), F.col("kind"), F.col("language"), F.col("_comment")) for r in rules]))
     keep = [c for c in lines.columns if c not in ("line", "kind", "language")]
-    return ready.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.*")
+    # a one-row explode keeps lower() and the comment test from being inlined into every rule
+    prepared = F.array(F.struct(F.lower("line").alias("low"), is_comment(line, F.col("language")).alias("comment")))
+    ready = (lines.where((F.length("line") <= MAX_LINE) & line.rlike(r"\S"))
+             .select("*", F.explode(prepared).alias("_p"))
+             .where(_any_hint(rules, F.col("_p.low"))))
+    flags = F.array_compact(F.array(*[
+        F.when(_applies(r, line, F.col("_p.low"), F.col("kind"), F.col("language"), F.col("_p.comment")), F.lit(i))
+        for i, r in enumerate(rules)]))
+    hits = ready.select(*keep, "line", F.explode(flags).alias("_rule"))
+    return hits.select(*keep, *_describe(rules, line, F.col("_rule")))
 
 
 def cap_per_file(hits: DataFrame, cap: int = PER_RULE_PER_FILE) -> DataFrame:

@@ -278,9 +278,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer splits than cores go round-robin to all cores before heavy work.
+
+    An input with enough splits, as any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+
+
 def _run(spark: SparkSession, sf_dir: str, base: str, sql: str) -> DataFrame:
     view = f"_{base}_seed"
-    table(spark, sf_dir, base).createOrReplaceTempView(view)
+    spread(table(spark, sf_dir, base)).createOrReplaceTempView(view)
     return spark.sql(re.sub(rf"\bFROM {base}\b", f"FROM {view}", sql))
 
 
