@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sourcegrain.functions import blocks as B
 from sourcegrain.functions import text as tx
+from sourcegrain.functions.stages import hold
 
 # ---- fixed values: languages and patterns ----
 JS_LANGUAGES = ["javascript", "typescript", "vue", "svelte"]
@@ -285,16 +286,16 @@ def parse(files: DataFrame) -> DataFrame:
     go = source & (F.col("language") == "go")
     lines, br, heads = F.col("lines"), F.col("_braces"), F.col("_heads")
     empty = F.array()
-    df = files.withColumn("_braces", F.when(js | go, B.braces(lines)))
-    df = df.withColumn("_heads", F.when(js, _js_heads(lines, br)))
+    df = hold(files, _braces=F.when(js | go, B.braces(lines)))
+    df = hold(df, _heads=F.when(js, _js_heads(lines, br)))
     symbols = (F.when(js, F.array_sort(F.concat(heads, _js_methods(lines, br, heads)))).when(py, _py_symbols(lines))
                .when(go, _go_symbols(lines, br)).otherwise(empty.cast(SYMBOL)))
-    df = df.withColumn("symbols", symbols)
-    df = df.withColumn("_calls", F.when(js | py, _calls(lines, F.col("symbols"))))
+    df = hold(df, symbols=symbols)
+    df = hold(df, _calls=F.when(js | py, _calls(lines, F.col("symbols"))))
     own = F.filter("symbols", lambda s: s["parent"].isNull() & ~s["name"].startswith("_"))
-    strip_flag = lambda c: F.struct(c["line"].alias("line"), c["method"].alias("method"), c["target"].alias("target"),
+    without_flag = lambda c: F.struct(c["line"].alias("line"), c["method"].alias("method"), c["target"].alias("target"),
                                     c["via"].alias("via"))
-    calls = lambda api: F.coalesce(F.transform(F.filter("_calls", lambda c: c["api"] == api), strip_flag),
+    calls = lambda api: F.coalesce(F.transform(F.filter("_calls", lambda c: c["api"] == api), without_flag),
                                    empty.cast(CALL))
     data = F.when(source, _data_access(lines)).otherwise(empty.cast("array<struct<line:int,kind:string,snippet:string>>"))
     return (df
@@ -313,7 +314,7 @@ def parse(files: DataFrame) -> DataFrame:
 def table(parsed: DataFrame, fact: str, *keep: str) -> DataFrame:
     """One fact list as rows, with its place in the file as ``ordinal``."""
     cols = ("repo_id", "path", *keep)
-    rows = parsed.select(*cols, F.posexplode(fact).alias("ordinal", "f"))
+    rows = hold(parsed.select(*cols, fact), **{fact: F.col(fact)}).select(*cols, F.posexplode(fact).alias("ordinal", "f"))
     inner = [c for c in parsed.schema[fact].dataType.elementType.names if c not in ("neg", "ord")]
     return rows.select(*cols, "ordinal", *[F.col(f"f.{c}").alias("route_path" if (fact, c) == ("routes", "path") else c)
                                            for c in inner])

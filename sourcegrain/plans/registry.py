@@ -20,7 +20,7 @@ class Query:
 
 
 _QUERIES: dict[str, Query] = {}
-_MODULES = ("scan", "rules", "passages", "verify", "clones")
+_MODULES = ("scan", "rules", "passages", "verify", "clones", "facts")
 
 
 def query(name: str, items: str, sql: str | None = None) -> Callable[[Runner], Runner]:

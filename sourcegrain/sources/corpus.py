@@ -295,7 +295,9 @@ def _run(spark: SparkSession, sf_dir: str, base: str, sql: str) -> DataFrame:
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_id, path, content of the derived code corpus."""
-    return _run(spark, sf_dir, "part", code_sql()).select("repo_id", "path", "content")
+    files = _run(spark, sf_dir, "part", code_sql())
+    # a one-row explode above the union keeps later projections from being copied into each branch
+    return files.select(F.explode(F.array(F.struct("repo_id", "path", "content"))).alias("f")).select("f.*")
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
