@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcegrain.functions import text as tx
+from sourcegrain.functions.stages import hold
 from sourcegrain.sources.listing import unsafe_reason
 
 # Statuses by rising severity, the redaction marker, shortest evidence that may move a claim.
@@ -59,8 +60,8 @@ def anchor(claims: DataFrame, files: DataFrame) -> DataFrame:
     df = _attach(claims, files)
     n = F.size("_lines")
     end = F.greatest(F.coalesce("line_end", "line"), F.col("line"))
-    df = df.withColumn("_end", end).withColumn("_span", end - F.col("line")).withColumn(
-        "_parts", F.when(F.coalesce("evidence", F.lit("")) != "", evidence_parts(F.col("evidence"))))
+    df = hold(df, _end=end, _span=end - F.col("line"),
+              _parts=F.when(F.coalesce("evidence", F.lit("")) != "", evidence_parts(F.col("evidence"))))
     in_range = (F.col("line") >= 1) & (F.col("line") <= n)
     text = tx.squash(tx.join_lines(tx.slice_lines(F.col("_lines"), F.col("line"), F.col("_end"))))
     cited = in_range & F.coalesce(parts_match(F.col("_parts"), text), F.lit(True))
@@ -68,8 +69,9 @@ def anchor(claims: DataFrame, files: DataFrame) -> DataFrame:
     may_move = F.col("_parts").isNotNull() & (F.length(first_line) >= MIN_RELOCATE)
     spots = F.filter(F.sequence(F.lit(1), n), lambda i: parts_match(
         F.col("_parts"), tx.squash(tx.join_lines(F.slice("_lines", i, F.col("_span") + 1)))))
-    found = F.when(F.col("_lines").isNotNull() & ~cited & may_move & (n > 0), F.try_element_at(spots, F.lit(1)))
-    df = df.withColumn("_cited", F.coalesce(cited, F.lit(False))).withColumn("_found", found)
+    df = hold(df, _cited=F.coalesce(cited, F.lit(False)))
+    found = F.when(F.col("_lines").isNotNull() & ~F.col("_cited") & may_move & (n > 0), F.try_element_at(spots, F.lit(1)))
+    df = hold(df, _found=found)
     start = F.coalesce("_found", "line")
     status = (F.when(unsafe_reason(F.col("path")).isNotNull(), "unsafe_path").when(F.col("_lines").isNull(), "missing")
               .when(~in_range & F.col("_found").isNull(), "invalid_line")
@@ -111,7 +113,7 @@ def verify(citations: DataFrame, files: DataFrame) -> DataFrame:
     df = df.withColumn("_end", end)
     beyond = F.col("line_start") > n
     now = F.when(F.col("_lines").isNotNull() & ~beyond, tx.hash_range(F.col("_lines"), F.col("line_start"), F.col("_end")))
-    df = df.withColumn("evidence_sha256_current", now)
+    df = hold(df, evidence_sha256_current=now)
     differs = beyond | ((expected != "") & (F.col("evidence_sha256_current") != expected))
     span = F.col("_end") - F.col("line_start") + 1
     spots = F.filter(F.sequence(F.lit(1), n - span + 1),

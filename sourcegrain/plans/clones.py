@@ -126,3 +126,85 @@ def duplicate_metrics(spark, sf_dir):
                          for k in ("clusters", "compared", "members")])
     return total.select("clusters", "compared", (F.col("compared") * (F.col("compared") - 1) / 2).cast("long").alias("comparisons"),
                         "members")
+
+
+# ---- functions of the code corpus ----
+from sourcegrain.operators import clones as FC  # noqa: E402
+from sourcegrain.operators import facts as C  # noqa: E402
+from sourcegrain.plans.facts import JS_EXPORTS, SYMBOL_BASE  # noqa: E402
+from sourcegrain.plans.rules import q  # noqa: E402
+
+
+def _list(words):
+    return "(" + ", ".join(q(w) for w in words) + ")"
+
+
+# clones are sought within one repository here, so the id of the repository leads every shingle
+FUNCTIONS = f"""fb AS (SELECT s.repo_id, s.path, s.name, s.line_start, s.line_end, c.language, array_to_string(c.lines[s.line_start:s.line_end], chr(10)) AS body FROM symbols s
+  JOIN code c USING (repo_id, path) WHERE s.kind IN ('function', 'method') AND s.line_end - s.line_start + 1 >= 4 AND c.path NOT LIKE 'tests/%'),
+ ft AS (SELECT *, list_filter(regexp_extract_all(CASE WHEN language = 'python' THEN regexp_replace(body, '#[^\\n]*', '', 'g') ELSE body END, {q(FC.TOKEN)}),
+  lambda t: NOT regexp_matches(t, '^(//|/\\*)')) AS raw FROM fb),
+ fn AS (SELECT *, list_transform(raw, lambda t, i: CASE WHEN regexp_matches(t, '^["''`]') THEN 'S' WHEN regexp_matches(t, '^[0-9]') THEN 'N'
+  WHEN regexp_matches(t, '^[A-Za-z_$]') THEN CASE WHEN t IN {_list(FC.KEYWORDS + FC.KEEP_GLOBALS)} OR (i > 1 AND raw[i - 1] = '.') THEN t ELSE 'I' END ELSE t END) AS w FROM ft),
+ fs AS (SELECT *, concat(repo_id, ':', path, ':', lpad(line_start::VARCHAR, 8, '0')) AS id FROM fn WHERE len(w) >= 25),
+ items AS (SELECT id, repo_id, path, name, line_start, raw, w, len(w) AS n_tokens, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS sh FROM fs)"""
+_GROUPS = "keyed AS" + ITEMS.split("keyed AS", 1)[1]
+CODE_ITEMS = SYMBOL_BASE + ", " + FUNCTIONS
+CODE_CLUSTERS = CODE_ITEMS + ", " + _GROUPS + ", " + COMPONENTS
+
+
+def function_samples(spark, sf_dir):
+    return FC.samples(C.parse(inputs.code(spark, sf_dir)))
+
+
+@query("function_tokens", "E1 E2", CODE_ITEMS + " SELECT id, name, n_tokens::BIGINT AS n_tokens, len(sh) AS n_shingles, md5(array_to_string(list_sort(sh), '|')) AS shingle_md5 FROM items")
+def function_tokens(spark, sf_dir):
+    return function_samples(spark, sf_dir).select("id", "name", F.col("n_tokens"), F.size("shingles").alias("n_shingles"),
+                                                  F.md5(F.array_join(F.array_sort("shingles"), "|")).alias("shingle_md5"))
+
+
+def code_clusters(spark, sf_dir):
+    items = S.durable(function_samples(spark, sf_dir))
+    placed, rows = FC.function_clusters(items)
+    return items, S.durable(placed), rows
+
+
+@query("function_clusters", "E4 E5 E6 E7", CODE_CLUSTERS + " SELECT cluster, size, edges, round(similarity, 6) AS similarity FROM clusters")
+def function_clusters(spark, sf_dir):
+    return code_clusters(spark, sf_dir)[2].select("cluster", "size", "edges", F.round("similarity", 6).alias("similarity"))
+
+
+_WORDS = (r"list_distinct(list_transform(regexp_extract_all(regexp_replace(replace(name, '_', ' '), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), "
+          r"'[A-Z]?[a-z]+|[A-Z]+|\d+'), lambda p: lower(p)))")
+
+
+@query("cluster_titles", "E8", CODE_CLUSTERS + f""", mw AS (SELECT p.cluster, p.id, {_WORDS} AS words FROM placed p JOIN items i ON i.id = p.id),
+ fl AS (SELECT cluster, count(*) AS size, bool_and(list_has_any(words, {list(FC.VALIDATION_WORDS)})) AS v, bool_and(list_has_any(words, {list(FC.REQUEST_WORDS)})) AS r,
+  bool_or(list_has_any(words, {list(FC.SENSITIVE_WORDS)})) AS sensitive FROM mw GROUP BY 1),
+ wc AS (SELECT cluster, w, count(*) AS n FROM (SELECT cluster, unnest(words) AS w FROM mw) GROUP BY 1, 2),
+ nn AS (SELECT wc.cluster, min(w) AS noun FROM wc JOIN fl USING (cluster) WHERE n = size AND w NOT IN {_list(FC.NAME_STOPWORDS)} AND length(w) > 2 GROUP BY 1),
+ pp AS (SELECT fl.*, noun, CASE WHEN v THEN 'validation' WHEN r THEN 'request helper' ELSE 'logic' END AS purpose FROM fl LEFT JOIN nn USING (cluster))
+ SELECT cluster, purpose, sensitive, concat(CASE WHEN noun IS NOT NULL THEN concat(upper(noun[1]), substr(noun, 2), ' ', purpose)
+  WHEN purpose = 'request helper' THEN 'API request helper' ELSE concat('Similar ', purpose) END, ' duplicated in ', size, ' places') AS title FROM pp""")
+def cluster_titles(spark, sf_dir):
+    items, placed, _ = code_clusters(spark, sf_dir)
+    return FC.describe(placed, items).select("cluster", "purpose", "sensitive", "title")
+
+
+@query("canonical_copies", "E9", CODE_CLUSTERS + ", " + JS_EXPORTS + """ SELECT cluster, id, exported FROM (SELECT p.cluster, p.id, e.name IS NOT NULL AS exported,
+ row_number() OVER (PARTITION BY cluster ORDER BY e.name IS NULL, i.path, p.id) AS rn FROM placed p JOIN items i ON i.id = p.id
+ LEFT JOIN exported e ON e.repo_id = i.repo_id AND e.path = i.path AND e.name = i.name WHERE i.path LIKE 'utils/%' OR i.path LIKE 'lib/%') WHERE rn = 1""")
+def canonical_copies(spark, sf_dir):
+    items, placed, _ = code_clusters(spark, sf_dir)
+    return FC.canonical(placed, items).select("cluster", "id", "exported")
+
+
+@query("cluster_shared_literals", "E10", CODE_CLUSTERS + f""", li AS (SELECT p.cluster, p.id, unnest(list_distinct(list_filter(raw, lambda t: regexp_matches(t, '^["''`]') AND length(t) > 4))) AS lit
+  FROM placed p JOIN items i ON i.id = p.id), lc AS (SELECT cluster, lit, count(*) AS n FROM li GROUP BY 1, 2),
+ sz AS (SELECT cluster, count(*) AS size FROM placed GROUP BY 1),
+ lr AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY -length(lit), lit) AS rn FROM lc JOIN sz USING (cluster)
+  WHERE n = size AND trim(lit, '''"`') NOT IN {_list(FC.TRIVIAL_LITERALS)})
+ SELECT cluster, string_agg(left(lit, 80), ',' ORDER BY rn) AS literals FROM lr WHERE rn <= 3 GROUP BY 1""")
+def cluster_shared_literals(spark, sf_dir):
+    items, placed, _ = code_clusters(spark, sf_dir)
+    return FC.shared_literals(placed, items).select("cluster", F.array_join("literals", ",").alias("literals"))
