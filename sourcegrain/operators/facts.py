@@ -6,6 +6,8 @@ the ``*_table`` functions explode one list into rows.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -278,37 +280,50 @@ def _markers(lines: Column) -> Column:
         r["no"].alias("line"), F.substring(tx.strip(r["s"]), 1, 200).alias("text")))
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Add the fact arrays to classified files; files that are not source get empty arrays."""
+@functools.lru_cache(maxsize=4)
+def _columns(gateway: int) -> dict[str, Column]:
+    """Fact expressions by column name. They only name columns, so one JVM builds them once."""
     source = F.col("kind") == "source"
     js = source & F.col("language").isin(JS_LANGUAGES)
     py = source & (F.col("language") == "python")
     go = source & (F.col("language") == "go")
-    lines, br, heads = F.col("lines"), F.col("_braces"), F.col("_heads")
+    lines, br, heads, symbols = F.col("lines"), F.col("_braces"), F.col("_heads"), F.col("symbols")
     empty = F.array()
-    df = hold(files, _braces=F.when(js | go, B.braces(lines)))
-    df = hold(df, _heads=F.when(js, _js_heads(lines, br)))
-    symbols = (F.when(js, F.array_sort(F.concat(heads, _js_methods(lines, br, heads)))).when(py, _py_symbols(lines))
-               .when(go, _go_symbols(lines, br)).otherwise(empty.cast(SYMBOL)))
-    df = hold(df, symbols=symbols)
-    df = hold(df, _calls=F.when(js | py, _calls(lines, F.col("symbols"))))
     own = F.filter("symbols", lambda s: s["parent"].isNull() & ~s["name"].startswith("_"))
-    without_flag = lambda c: F.struct(c["line"].alias("line"), c["method"].alias("method"), c["target"].alias("target"),
-                                    c["via"].alias("via"))
-    calls = lambda api: F.coalesce(F.transform(F.filter("_calls", lambda c: c["api"] == api), without_flag),
-                                   empty.cast(CALL))
-    data = F.when(source, _data_access(lines)).otherwise(empty.cast("array<struct<line:int,kind:string,snippet:string>>"))
-    return (df
-            .withColumn("imports", F.when(js, _js_imports(lines)).when(py, _py_imports(lines)).otherwise(empty.cast(IMPORT)))
-            .withColumn("exports", F.when(js, _js_exports(lines)).when(py, F.transform(own, lambda s: s["name"]))
-                        .otherwise(empty.cast("array<string>")))
-            .withColumn("routes", F.when(js, _js_routes(lines, br)).when(py, _py_routes(lines, F.col("symbols")))
-                        .otherwise(empty.cast(ROUTE)))
-            .withColumn("api_calls", calls(True)).withColumn("external_calls", calls(False))
-            .withColumn("data_access", data)
-            .withColumn("markers", F.when(source, _markers(lines)).otherwise(empty.cast("array<struct<line:int,text:string>>")))
-            .withColumn("uses_dom", F.when(js, F.exists(lines, lambda s: s.rlike(DOM_USAGE))).otherwise(F.lit(False)))
-            .drop("_braces", "_heads", "_calls"))
+
+    def calls(api: bool) -> Column:
+        rows = F.filter("_calls", lambda c: c["api"] == api)
+        bare = F.transform(rows, lambda c: F.struct(c["line"].alias("line"), c["method"].alias("method"),
+                                                    c["target"].alias("target"), c["via"].alias("via")))
+        return F.coalesce(bare, empty.cast(CALL))
+    return {
+        "_braces": F.when(js | go, B.braces(lines)),
+        "_heads": F.when(js, _js_heads(lines, br)),
+        "symbols": F.when(js, F.array_sort(F.concat(heads, _js_methods(lines, br, heads)))).when(py, _py_symbols(lines))
+        .when(go, _go_symbols(lines, br)).otherwise(empty.cast(SYMBOL)),
+        "_calls": F.when(js | py, _calls(lines, symbols)),
+        "imports": F.when(js, _js_imports(lines)).when(py, _py_imports(lines)).otherwise(empty.cast(IMPORT)),
+        "exports": F.when(js, _js_exports(lines)).when(py, F.transform(own, lambda s: s["name"])).otherwise(
+            empty.cast("array<string>")),
+        "routes": F.when(js, _js_routes(lines, br)).when(py, _py_routes(lines, symbols)).otherwise(empty.cast(ROUTE)),
+        "api_calls": calls(True),
+        "external_calls": calls(False),
+        "data_access": F.when(source, _data_access(lines)).otherwise(
+            empty.cast("array<struct<line:int,kind:string,snippet:string>>")),
+        "markers": F.when(source, _markers(lines)).otherwise(empty.cast("array<struct<line:int,text:string>>")),
+        "uses_dom": F.when(js, F.exists(lines, lambda s: s.rlike(DOM_USAGE))).otherwise(F.lit(False)),
+    }
+
+
+def parse(files: DataFrame) -> DataFrame:
+    """Add the fact arrays to classified files; files that are not source get empty arrays."""
+    cols = _columns(id(files.sparkSession.sparkContext._gateway))
+    df = files
+    for stage in ("_braces", "_heads", "symbols", "_calls"):  # each is read inside lambdas of the next
+        df = hold(df, **{stage: cols[stage]})
+    for name in ("imports", "exports", "routes", "api_calls", "external_calls", "data_access", "markers", "uses_dom"):
+        df = df.withColumn(name, cols[name])
+    return df.drop("_braces", "_heads", "_calls")
 
 
 def table(parsed: DataFrame, fact: str, *keep: str) -> DataFrame:

@@ -10,6 +10,7 @@ from sourcegrain.plans import inputs
 from sourcegrain.plans.oracle import CODE, CODE_LINES, ctes
 from sourcegrain.plans.registry import query
 from sourcegrain.plans.rules import q, rx
+from sourcegrain.session import stored
 
 JS = "language IN ('javascript', 'typescript')"
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -23,6 +24,11 @@ def parsed(spark, sf_dir):
     return C.parse(inputs.code(spark, sf_dir))
 
 
+def fact_table(spark, sf_dir):
+    """The facts as a written table, for jobs that read them more than once."""
+    return stored(parsed(spark, sf_dir))
+
+
 _HIDE = "CASE WHEN t IN ('{', '}', chr(10)) THEN t WHEN regexp_matches(t, '^(/|`)') THEN regexp_replace(t, '[^\\n]', '', 'g') ELSE '' END"
 BRACES = f"""bl AS (SELECT repo_id, path, unnest(range(1, len(b) + 1))::INT AS line_no, unnest(b) AS s FROM (SELECT repo_id, path,
  string_split(array_to_string(list_transform(regexp_extract_all(array_to_string(lines, chr(10)), {q(B.CODE_TOKENS)}),
@@ -291,7 +297,7 @@ def called_identifiers(spark, sf_dir):
  s.line_start, s.line_end, row_number() OVER (PARTITION BY d.repo_id, d.path, d.line ORDER BY s.line_end - s.line_start, s.line_start) AS rn
  FROM data d JOIN symbols s ON s.repo_id = d.repo_id AND s.path = d.path AND d.line BETWEEN s.line_start AND s.line_end) WHERE rn = 1""")
 def symbol_at_line(spark, sf_dir):
-    p = parsed(spark, sf_dir)
+    p = fact_table(spark, sf_dir)
     return C.innermost_symbol(C.table(p, "data_access").select("repo_id", "path", "line"), C.table(p, "symbols"))
 
 
@@ -300,7 +306,7 @@ def symbol_at_line(spark, sf_dir):
  SELECT r.repo_id, r.path, r.name, s.path AS target_path, s.line_start AS target_line FROM r LEFT JOIN LATERAL (SELECT path, line_start FROM symbols s
  WHERE s.repo_id = r.repo_id AND s.name = r.name ORDER BY s.path <> r.path, s.path, s.line_start, s.line_end DESC LIMIT 1) s ON true""")
 def symbol_lookup(spark, sf_dir):
-    p = parsed(spark, sf_dir)
+    p = fact_table(spark, sf_dir)
     names = C.table(p, "routes").where("handler IS NOT NULL").select("repo_id", "path", F.col("handler").alias("name"))
     refs = names.unionByName(names.withColumn("path", F.lit("elsewhere.js"))).distinct()
     return C.resolve_names(refs, p).select("repo_id", "path", "name", F.col("target.path").alias("target_path"),
@@ -310,7 +316,7 @@ def symbol_lookup(spark, sf_dir):
 @query("index_passage_stats", "B3 B5 B6 B7", None)
 def index_passage_stats(spark, sf_dir):
     from sourcegrain.operators import passages as P
-    return P.index_stats(P.index(parsed(spark, sf_dir)))
+    return P.index_stats(P.index(fact_table(spark, sf_dir)))
 
 
 @query("symbol_passages", "B3 B4", SYMBOL_BASE + """SELECT repo_id, path, CASE WHEN parent IS NULL THEN name ELSE concat(parent, '.', name) END AS symbol, line_start,
