@@ -20,7 +20,7 @@ class Query:
 
 
 _QUERIES: dict[str, Query] = {}
-_MODULES = ("scan", "rules", "passages", "verify", "facts", "clones", "findings", "graph")
+_MODULES = ("scan", "rules", "passages", "verify", "facts", "clones", "findings", "graph", "search")
 
 
 def query(name: str, items: str, sql: str | None = None) -> Callable[[Runner], Runner]:
