@@ -281,8 +281,8 @@ def _markers(lines: Column) -> Column:
 
 
 @functools.lru_cache(maxsize=4)
-def _columns(gateway: int) -> dict[str, Column]:
-    """Fact expressions by column name. They only name columns, so one JVM builds them once."""
+def _columns(application: str) -> dict[str, Column]:
+    """Fact expressions by column name. They only name columns, so each application builds them once."""
     source = F.col("kind") == "source"
     js = source & F.col("language").isin(JS_LANGUAGES)
     py = source & (F.col("language") == "python")
@@ -317,7 +317,7 @@ def _columns(gateway: int) -> dict[str, Column]:
 
 def parse(files: DataFrame) -> DataFrame:
     """Add the fact arrays to classified files; files that are not source get empty arrays."""
-    cols = _columns(id(files.sparkSession.sparkContext._gateway))
+    cols = _columns(files.sparkSession.sparkContext.applicationId)
     df = files
     for stage in ("_braces", "_heads", "symbols", "_calls"):  # each is read inside lambdas of the next
         df = hold(df, **{stage: cols[stage]})

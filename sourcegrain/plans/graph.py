@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sourcegrain.operators import facts as C
+from sourcegrain.operators import findings as K
 from sourcegrain.operators import flows as W
 from sourcegrain.operators import graph as G
 from sourcegrain.operators import history as H
@@ -13,7 +14,7 @@ from sourcegrain.plans import inputs
 from sourcegrain.plans.facts import BRACES, CALLS, DATA, JS, JS_IMPORTS, JS_ROUTES, MARKERS, PY_IMPORTS, PY_ROUTES, ROUTES, SYMBOL_BASE, fact_table, parsed
 from sourcegrain.plans.oracle import CODE, CODE_LINES, ctes
 from sourcegrain.plans.registry import query
-from sourcegrain.plans.rules import q, rx
+from sourcegrain.plans.rules import CLAIMS, code_claims, q, rx
 from sourcegrain.sources.corpus import table
 
 
@@ -241,7 +242,6 @@ def legacy_symbols(spark, sf_dir):
 
 @query("report_storyline", "F19", None)
 def report_storyline(spark, sf_dir):
-    from sourcegrain.plans.rules import code_claims
     p = fact_table(spark, sf_dir)
     layers, evidence = G.detect_stack(p)
     return R.storyline(p, layers, evidence, code_claims(spark, sf_dir).withColumnRenamed("line_no", "line"), W.request_flows(p), H.notes(p, 20))
@@ -260,3 +260,28 @@ def time_allocation(spark, sf_dir):
     steps = e.groupBy(F.col("user_id").cast("string").alias("repo_id"), F.col("event_type").alias("key")).agg(
         F.min("event_id").alias("pos"), (10 + 5 * (F.count("*") % 4)).alias("duration"))
     return R.fit_durations(steps).select("repo_id", "key", "duration")
+
+
+_LEGACY = f"""an AS (SELECT *, CASE WHEN path = 'README.md' THEN 0 ELSE 1 END AS stage FROM documented UNION ALL SELECT *, 2 FROM marked),
+ ln AS (SELECT repo_id, unnest(string_split(symbols, ',')) AS name, path, line, stage FROM an WHERE {rx(H.KEYWORDS, 'note')} AND symbols <> ''),
+ lg AS (SELECT repo_id, name, path AS note_path, line AS note_line FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY stage, path, line) AS rn FROM ln) WHERE rn = 1)"""
+
+
+@query("legacy_annotations", "J4", SYMBOL_BASE + f""", {MARKERS}, {_NOTES}, {_LEGACY}, {CLAIMS}, sp AS (SELECT DISTINCT repo_id, path, line_no AS line FROM claims),
+ si AS (SELECT sp.repo_id, sp.path, sp.line, s.name FROM sp JOIN LATERAL (SELECT name FROM symbols s WHERE s.repo_id = sp.repo_id AND s.path = sp.path AND sp.line BETWEEN s.line_start AND s.line_end
+  ORDER BY s.line_end - s.line_start, s.line_start LIMIT 1) s ON true)
+ SELECT repo_id, path, line, name, note_path, note_line FROM si JOIN lg USING (repo_id, name)""")
+def legacy_annotations(spark, sf_dir):
+    p = fact_table(spark, sf_dir)
+    notes = H.legacy_notes(H.notes(p)).withColumn("ordinal", F.struct("stage", "path", "line"))
+    claims = code_claims(spark, sf_dir).select("repo_id", "path", F.col("line_no").alias("line"), F.lit("security").alias("category"))
+    return K.annotate_legacy(claims, C.table(p, "symbols"), notes)
+
+
+@query("clone_annotations", "J4", None)
+def clone_annotations(spark, sf_dir):
+    from sourcegrain.plans.clones import code_clusters
+    items, placed, rows = code_clusters(spark, sf_dir)
+    members = placed.join(items.select("id", "repo_id", "path", "line_start", "line_end"), "id").join(rows.select("cluster", "size"), "cluster")
+    claims = code_claims(spark, sf_dir).select("repo_id", "path", F.col("line_no").alias("line"), F.lit("security").alias("category"))
+    return K.annotate_clones(claims, members.select("repo_id", "path", "line_start", "line_end", "cluster", "size"))

@@ -11,6 +11,7 @@ from sourcegrain.plans import inputs
 from sourcegrain.plans.oracle import CODE, CODE_LINES, DOCS, ctes, hash_sql
 from sourcegrain.plans.registry import query
 from sourcegrain.plans.rules import q
+from sourcegrain.session import stored
 from sourcegrain.sources.corpus import explode_lines, table
 
 _TEXT = "array_to_string(part, chr(10))"
@@ -95,4 +96,4 @@ def label_quality_by_passages(spark, sf_dir):
 
 
 def code_passages(spark, sf_dir, cap=P.PER_FILE_MAX):
-    return P.index(facts.parse(inputs.code(spark, sf_dir)), cap)
+    return P.index(stored(facts.parse(inputs.code(spark, sf_dir))), cap)

@@ -20,7 +20,8 @@ class Query:
 
 
 _QUERIES: dict[str, Query] = {}
-_MODULES = ("scan", "rules", "passages", "verify", "facts", "clones", "findings", "graph", "search")
+_MODULES = ("scan", "rules", "passages", "verify", "facts", "clones", "findings", "graph", "search", "qa",
+            "remediate", "triage", "runs")
 
 
 def query(name: str, items: str, sql: str | None = None) -> Callable[[Runner], Runner]:
