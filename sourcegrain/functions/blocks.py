@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from sourcegrain.functions import text as tx
 
-# Comments, strings and templates hide braces; loops are unrolled so that long
-# strings do not recurse.
+# Comments, strings and templates hide braces; a template may hold substitutions with strings or one
+# more template inside. Loops are unrolled so that long strings do not recurse.
 CODE_TOKENS = (r"//[^\n]*|/\*[\s\S]*?(?:\*/|$)"
                r'|"[^"\\\n]*(?:\\[^\n][^"\\\n]*)*"?'
                r"|'[^'\\\n]*(?:\\[^\n][^'\\\n]*)*'?"
-               r"|`[^`\\]*(?:\\[\s\S][^`\\]*)*`?"
+               r"|`[^`\\$]*(?:(?:\\[\s\S]|\$\{(?:[^{}`'" + '"' + r"]|'[^'\n]*'|" + r'"[^"\n]*"' + r"|`[^`]*`|\{[^{}]*\})*\}|\$)[^`\\$]*)*`?"
                r"|[{}\n]")
 BLOCK_MAX = 800
 SIGNATURE_MAX = 30

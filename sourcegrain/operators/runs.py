@@ -54,7 +54,7 @@ def interrupted(timeline: DataFrame, idle_seconds: int) -> DataFrame:
 def durations(timeline: DataFrame) -> DataFrame:
     """Milliseconds since the first event of the repository, as an aggregate joined back."""
     start = timeline.groupBy("repo_id").agg(F.min("ts").alias("_start"))
-    return timeline.join(start, "repo_id").withColumn("elapsed_ms", F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(F.col("_start").cast("timestamp"))).drop("_start")
+    return timeline.join(start, "repo_id").withColumn("elapsed_ms", F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_start").cast("timestamp"))) / 1000)).drop("_start")
 
 
 def next_analysis(runs: DataFrame) -> DataFrame:

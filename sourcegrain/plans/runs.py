@@ -61,7 +61,7 @@ def interrupted_runs(spark, sf_dir):
     return S.interrupted(timeline(spark, sf_dir), 7200)
 
 
-@query("run_durations", "S8", f"""WITH {_TL} SELECT event_id, epoch_ms(ts) - epoch_ms(min(ts) OVER (PARTITION BY repo_id)) AS elapsed_ms FROM tl""")
+@query("run_durations", "S8", f"""WITH {_TL} SELECT event_id, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY repo_id))) // 1000 AS elapsed_ms FROM tl""")
 def run_durations(spark, sf_dir):
     return S.durations(timeline(spark, sf_dir)).select("event_id", "elapsed_ms")
 
