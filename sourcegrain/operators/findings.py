@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sourcegrain.functions import text as tx
 from sourcegrain.functions.ranking import number_rows
 from sourcegrain.operators.verify import REJECTED, anchor
+from sourcegrain.session import stored
 
 # Severity order.
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 4}
@@ -19,8 +20,11 @@ def severity_rank(severity: Column) -> Column:
 
 
 def filter_claims(claims: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) claims after anchoring; accepted ones carry their corrected lines."""
-    anchored = anchor(claims, files)
+    """(accepted, rejected) claims after anchoring; accepted ones carry their corrected lines.
+
+    The anchored claims are stored, since both parts and all that follows read them.
+    """
+    anchored = stored(anchor(claims, files))
     bad = F.col("status").isin(list(REJECTED))
     return anchored.where(~bad), anchored.where(bad)
 

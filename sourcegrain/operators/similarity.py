@@ -45,7 +45,9 @@ def collapse(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 def similar_pairs(reps: DataFrame, threshold: float = THRESHOLD, token_ratio: float | None = TOKEN_RATIO) -> DataFrame:
     """All pairs of representatives (rep_a < rep_b) with Jaccard >= threshold and their exact score."""
     sets = reps.select("rep", "n_copies", "n_tokens", "shingles", F.size("shingles").alias("n"))
-    keys = sets.select("rep", "n", "n_tokens", F.explode("shingles").alias("s"))
+    # eight-byte keys travel instead of text; a collision only adds a candidate, scores use the real sets
+    hashed = F.transform("shingles", lambda x: F.xxhash64(x))
+    keys = sets.select("rep", "n", "n_tokens", F.explode(hashed).alias("s"))
     frequency = keys.groupBy("s").agg(F.count("*").alias("df"))
     # a shingle that occurs once pairs nothing, but it keeps its place in the prefix
     ranked = keys.join(frequency, "s").withColumn(

@@ -10,6 +10,7 @@ from sourcegrain.plans import inputs
 from sourcegrain.plans.oracle import DOCS, NEXT_DOCS, ctes
 from sourcegrain.plans.registry import query
 from sourcegrain.plans.rules import CODE_CLAIMS, code_claims
+from sourcegrain.session import stored
 
 # Three detectors report on the code corpus: the rules, a reviewer without families, a reviewer with another family.
 DETECTED = """d AS (SELECT repo_id, 'security' AS category, path, line_no AS line, line_no AS line_end, family, severity, title, rule_id,
@@ -54,7 +55,7 @@ _MERGE = """fam AS (SELECT *, first_value(family) OVER (PARTITION BY repo_id, pa
 
 
 def crosschecked(spark, sf_dir):
-    claims = detected(spark, sf_dir).withColumn("indexed_sha256", F.lit(None).cast("string"))
+    claims = stored(detected(spark, sf_dir).withColumn("indexed_sha256", F.lit(None).cast("string")))
     accepted, rejected = K.filter_claims(claims, inputs.code(spark, sf_dir))
     return claims, accepted, rejected, K.merge_claims(accepted)
 
