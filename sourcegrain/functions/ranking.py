@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcegrain.session import durable
+from sourcegrain.session import stored
 
 _SHIFT = 33  # monotonically_increasing_id keeps the partition number above this bit
 
@@ -20,10 +20,10 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str = "position",
                 start: int = 1) -> DataFrame:
     """Add a dense 1-based number in ``order``; with ``per``, numbering restarts for each key value.
 
-    The sorted rows are checkpointed once, so partition numbers stay the same when tasks re-run.
+    The sorted rows are written once, so partition numbers stay the same when tasks re-run.
     """
     keys = [F.col(per).asc(), *order] if per else list(order)
-    ordered = durable(df.orderBy(*keys).withColumn("_mid", F.monotonically_increasing_id()))
+    ordered = stored(df.orderBy(*keys).withColumn("_mid", F.monotonically_increasing_id()))
     located = ordered.select("*", F.shiftright("_mid", _SHIFT).alias("_part"),
                              (F.col("_mid").bitwiseAND((1 << _SHIFT) - 1)).alias("_idx"))
     sizes = located.groupBy("_part").agg(F.count("*").alias("_n"))

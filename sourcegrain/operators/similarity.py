@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcegrain.session import durable
+from sourcegrain.session import durable, stored
 
 # Clone threshold, shingle size, token-count ratio.
 THRESHOLD = 0.72
@@ -33,7 +33,7 @@ def collapse(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Items with the same shingle set and token count share the smallest id as representative.
     """
-    keyed = durable(items.withColumn("set_key", F.sha2(F.concat_ws(
+    keyed = stored(items.withColumn("set_key", F.sha2(F.concat_ws(
         "\u0001", F.col("n_tokens").cast("string"), F.array_join(F.array_sort("shingles"), "\u0002")), 256)))
     groups = keyed.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
     reps = (keyed.join(groups, [keyed["id"] == groups["rep"], keyed["set_key"] == groups["set_key"]])

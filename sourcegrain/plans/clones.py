@@ -58,7 +58,7 @@ def similar_document_pairs(spark, sf_dir):
 def doc_clusters(spark, sf_dir):
     items = doc_items(spark, sf_dir)
     reps, members = S.collapse(items)
-    pairs = S.durable(S.similar_pairs(reps))
+    pairs = S.stored(S.similar_pairs(reps))
     placed, rows = S.clusters(reps, members, pairs)
     return items, placed, rows
 
@@ -164,9 +164,9 @@ def function_tokens(spark, sf_dir):
 
 
 def code_clusters(spark, sf_dir):
-    items = S.durable(function_samples(spark, sf_dir))
+    items = S.stored(function_samples(spark, sf_dir))
     placed, rows = FC.function_clusters(items)
-    return items, S.durable(placed), rows
+    return items, S.stored(placed), rows
 
 
 @query("function_clusters", "E4 E5 E6 E7", CODE_CLUSTERS + " SELECT cluster, size, edges, round(similarity, 6) AS similarity FROM clusters")

@@ -74,12 +74,12 @@ _EDGES = """rel AS (SELECT repo_id, path AS src, regexp_replace(regexp_replace(C
 
 @query("import_edges", "F5 F6", ctes(CODE, CODE_LINES, JS_IMPORTS, _EDGES) + "SELECT * FROM edges")
 def import_edges(spark, sf_dir):
-    return G.import_edges(fact_table(spark, sf_dir))
+    return G.import_edges(parsed(spark, sf_dir))
 
 
 @query("import_in_degree", "F6", ctes(CODE, CODE_LINES, JS_IMPORTS, _EDGES) + "SELECT repo_id, dst AS path, count(*) AS imported_by FROM edges GROUP BY 1, 2")
 def import_in_degree(spark, sf_dir):
-    return G.in_degree(G.import_edges(fact_table(spark, sf_dir)))
+    return G.in_degree(G.import_edges(parsed(spark, sf_dir)))
 
 
 _MODULES = f"""dom AS (SELECT repo_id, path FROM code_lines WHERE {JS} GROUP BY 1, 2 HAVING bool_or({rx(C.DOM_USAGE)})),
