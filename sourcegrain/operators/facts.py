@@ -315,14 +315,26 @@ def _columns(application: str) -> dict[str, Column]:
     }
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Add the fact arrays to classified files; files that are not source get empty arrays."""
+FACTS = ("symbols", "imports", "exports", "routes", "api_calls", "external_calls", "data_access", "markers", "uses_dom")
+_NEEDS_SYMBOLS = {"symbols", "exports", "routes", "api_calls", "external_calls"}
+
+
+def parse(files: DataFrame, *only: str) -> DataFrame:
+    """Add fact arrays to classified files, all or just the named ones; other files get empty arrays.
+
+    A held stage always runs, so stages that the named facts do not need are left out.
+    """
+    wanted = set(only or FACTS)
     cols = _columns(files.sparkSession.sparkContext.applicationId)
     df = files
-    for stage in ("_braces", "_heads", "symbols", "_calls"):  # each is read inside lambdas of the next
+    stages = ["_braces", "_heads", "symbols"] if wanted & _NEEDS_SYMBOLS else []
+    if wanted & {"api_calls", "external_calls"}:
+        stages.append("_calls")
+    for stage in stages:  # each is read inside lambdas of the next
         df = hold(df, **{stage: cols[stage]})
-    for name in ("imports", "exports", "routes", "api_calls", "external_calls", "data_access", "markers", "uses_dom"):
-        df = df.withColumn(name, cols[name])
+    for name in FACTS[1:]:
+        if name in wanted:
+            df = df.withColumn(name, cols[name])
     return df.drop("_braces", "_heads", "_calls")
 
 

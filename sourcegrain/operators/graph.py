@@ -165,15 +165,16 @@ def import_edges(parsed: DataFrame) -> DataFrame:
     rows = C.table(parsed, "imports", "language")
     module, base = F.col("module"), tx.dir_parts(F.col("path"))
     joined = F.concat_ws("/", F.array_join(base, "/"), module)
-    target = F.array_join(_normal_parts(joined), "/")
-    js = F.when(module.startswith("."), F.transform(F.array(*[F.lit(s) for s in RESOLVE_SUFFIXES]), lambda s: F.concat(target, s)))
     depth = F.length(F.regexp_extract(module, r"^(\.*)", 1))
     parent = F.array_join(F.slice(base, F.lit(1), F.greatest(F.size(base) - (depth - 1), F.lit(0))), "/")
     rest = F.replace(F.regexp_replace(module, r"^\.+", ""), F.lit("."), F.lit("/"))
     stem = F.when(depth > 0, F.concat_ws("/", F.nullif(parent, F.lit("")), rest)).otherwise(rest)
-    py = F.when((depth > 0) & (rest == ""), F.array().cast("array<string>")).otherwise(F.transform(
-        F.array(F.lit(".py"), F.lit("/__init__.py")), lambda s: F.concat(stem, s)))
-    candidates = F.when(F.col("language") == "python", py).otherwise(js)
+    python = F.col("language") == "python"
+    rows = rows.where(python | module.startswith("."))
+    rows = hold(rows, bare=(depth > 0) & (rest == ""), target=F.when(python, stem).otherwise(F.array_join(_normal_parts(joined), "/")))
+    js = F.transform(F.array(*[F.lit(s) for s in RESOLVE_SUFFIXES]), lambda s: F.concat("target", s))
+    py = F.when(F.col("bare"), F.array().cast("array<string>")).otherwise(F.array(F.concat("target", F.lit(".py")), F.concat("target", F.lit("/__init__.py"))))
+    candidates = F.when(python, py).otherwise(js)
     rows = rows.select("repo_id", F.col("path").alias("src"), "ordinal", F.posexplode(candidates).alias("priority", "dst"))
     known = parsed.select("repo_id", F.col("path").alias("dst"))
     best = rows.join(known, ["repo_id", "dst"]).groupBy("repo_id", "src", "ordinal").agg(F.min_by("dst", "priority").alias("dst"))

@@ -154,7 +154,7 @@ CODE_CLUSTERS = CODE_ITEMS + ", " + _GROUPS + ", " + COMPONENTS
 
 
 def function_samples(spark, sf_dir):
-    return FC.samples(C.parse(inputs.code(spark, sf_dir)))
+    return FC.samples(C.parse(inputs.code(spark, sf_dir), "symbols", "exports"))
 
 
 @query("function_tokens", "E1 E2", CODE_ITEMS + " SELECT id, name, n_tokens::BIGINT AS n_tokens, len(sh) AS n_shingles, md5(array_to_string(list_sort(sh), '|')) AS shingle_md5 FROM items")

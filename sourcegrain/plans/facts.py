@@ -20,8 +20,8 @@ def ex(pattern: str, group: int, col: str = "line") -> str:
     return f"regexp_extract({col}, {q(pattern)}, {group})"
 
 
-def parsed(spark, sf_dir):
-    return C.parse(inputs.code(spark, sf_dir))
+def parsed(spark, sf_dir, *only):
+    return C.parse(inputs.code(spark, sf_dir), *only)
 
 
 def fact_table(spark, sf_dir):
@@ -104,7 +104,7 @@ _COLS = "repo_id, path, name, kind, line_start, line_end, parent"
 
 
 def symbol_rows(spark, sf_dir, where: str):
-    return C.table(parsed(spark, sf_dir), "symbols", "language").where(where).select(*_COLS.split(", "))
+    return C.table(parsed(spark, sf_dir, "symbols"), "symbols", "language").where(where).select(*_COLS.split(", "))
 
 
 @query("js_symbols", "C1 C3 C4", ctes(CODE, CODE_LINES, JS_HEADS) + f"SELECT {_COLS} FROM js_heads")
@@ -148,7 +148,7 @@ PY_IMPORTS = f"""pi AS (
 
 
 def import_rows(spark, sf_dir, where):
-    rows = C.table(parsed(spark, sf_dir), "imports", "language").where(where)
+    rows = C.table(parsed(spark, sf_dir, "imports"), "imports", "language").where(where)
     return rows.select("repo_id", "path", "line", "module", F.array_join("names", ",").alias("names"))
 
 
@@ -173,13 +173,13 @@ JS_EXPORTS = f"""xj AS (SELECT l.*, c.lines FROM code_lines l JOIN code c USING
 
 @query("js_exports", "C9", ctes(CODE, CODE_LINES, JS_EXPORTS) + "SELECT * FROM exported")
 def js_exports(spark, sf_dir):
-    return (parsed(spark, sf_dir).where(JS).select("repo_id", "path", F.explode("exports").alias("name")))
+    return (parsed(spark, sf_dir, "exports").where(JS).select("repo_id", "path", F.explode("exports").alias("name")))
 
 
 @query("python_exports", "C10", ctes(CODE, CODE_LINES, PY_SYMBOLS) + """SELECT repo_id, path, string_agg(name, ',' ORDER BY line_start) AS exports
  FROM py_symbols WHERE parent IS NULL AND name NOT LIKE '!_%' ESCAPE '!' GROUP BY 1, 2""")
 def python_exports(spark, sf_dir):
-    return (parsed(spark, sf_dir).where("language = 'python'")
+    return (parsed(spark, sf_dir, "exports").where("language = 'python'")
             .select("repo_id", "path", F.array_join("exports", ",").alias("exports")))
 
 
@@ -204,7 +204,7 @@ ROUTES = f"{JS_ROUTES}, {PY_ROUTES}, routes AS (SELECT * FROM js_routes UNION AL
 
 
 def route_rows(spark, sf_dir, where="true"):
-    rows = C.table(parsed(spark, sf_dir), "routes", "language").where(where)
+    rows = C.table(parsed(spark, sf_dir, "routes"), "routes", "language").where(where)
     return rows.select("repo_id", "path", "line", "line_end", "method", "route_path", F.array_join("middlewares", ",").alias("middlewares"), "handler")
 
 
@@ -245,7 +245,7 @@ CALLS = f"""cl AS (SELECT l.*, array_to_string(c.lines[line_no:line_no + 7], ' '
 
 
 def _call_rows(spark, sf_dir, fact):
-    return C.table(parsed(spark, sf_dir), fact).select("repo_id", "path", "line", "method", "target", "via")
+    return C.table(parsed(spark, sf_dir, fact), fact).select("repo_id", "path", "line", "method", "target", "via")
 
 
 @query("internal_api_calls", "C13", ctes(CODE, CODE_LINES, CALLS) + "SELECT * FROM api_calls")
@@ -266,7 +266,7 @@ DATA = f"""data AS (SELECT repo_id, path, line_no AS line, CASE WHEN {rx(C.SQL_T
 
 @query("data_access_lines", "C15", ctes(CODE, CODE_LINES, DATA) + "SELECT * FROM data")
 def data_access_lines(spark, sf_dir):
-    return C.table(parsed(spark, sf_dir), "data_access").drop("ordinal")
+    return C.table(parsed(spark, sf_dir, "data_access"), "data_access").drop("ordinal")
 
 
 MARKERS = f"""markers AS (SELECT repo_id, path, line_no AS line, left({STRIP.format('line')}, 200) AS text FROM code_lines
@@ -275,20 +275,20 @@ MARKERS = f"""markers AS (SELECT repo_id, path, line_no AS line, left({STRIP.for
 
 @query("legacy_markers", "C16", ctes(CODE, CODE_LINES, MARKERS) + "SELECT * FROM markers")
 def legacy_markers(spark, sf_dir):
-    return C.table(parsed(spark, sf_dir), "markers").drop("ordinal")
+    return C.table(parsed(spark, sf_dir, "markers"), "markers").drop("ordinal")
 
 
 @query("dom_files", "C17", ctes(CODE, CODE_LINES) + f"""SELECT repo_id, path FROM code_lines WHERE {JS} GROUP BY 1, 2
  HAVING bool_or({rx(C.DOM_USAGE)})""")
 def dom_files(spark, sf_dir):
-    return parsed(spark, sf_dir).where("uses_dom").select("repo_id", "path")
+    return parsed(spark, sf_dir, "uses_dom").where("uses_dom").select("repo_id", "path")
 
 
 @query("called_identifiers", "C18", SYMBOL_BASE + f"""SELECT DISTINCT repo_id, path, line_start, unnest(regexp_extract_all(replace(array_to_string(
  lines[line_start:line_end], chr(10)), '(', '( '), {q(r'(?:^|[^\w$.])(' + C.ID + r')\s*\(')}, 1)) AS called FROM symbols JOIN code USING (repo_id, path)""")
 def called_identifiers(spark, sf_dir):
     from sourcegrain.functions import text as tx
-    p = parsed(spark, sf_dir).select("repo_id", "path", "lines", F.explode("symbols").alias("s"))
+    p = parsed(spark, sf_dir, "symbols").select("repo_id", "path", "lines", F.explode("symbols").alias("s"))
     body = tx.join_lines(tx.slice_lines(F.col("lines"), F.col("s.line_start"), F.col("s.line_end")))
     return p.select("repo_id", "path", F.col("s.line_start").alias("line_start"), F.explode(C.called_identifiers(body)).alias("called"))
 
@@ -324,7 +324,7 @@ def index_passage_stats(spark, sf_dir):
  FROM symbols JOIN code USING (repo_id, path)""")
 def symbol_passages(spark, sf_dir):
     from sourcegrain.operators import passages as P
-    return P.symbol_passages(parsed(spark, sf_dir)).select("repo_id", "path", "symbol", "line_start", "line_end", "content")
+    return P.symbol_passages(parsed(spark, sf_dir, "symbols")).select("repo_id", "path", "symbol", "line_start", "line_end", "content")
 
 
 @query("window_symbol_names", "B5", SYMBOL_BASE + """, w AS (SELECT repo_id, path, len(lines) AS n, unnest(range(0, 1 + ceil(greatest(len(lines) - 12, 0) / 8.0)::BIGINT)) * 8 + 1 AS ws
@@ -334,5 +334,5 @@ def symbol_passages(spark, sf_dir):
  SELECT repo_id, path, ws::INT AS line_start, string_agg(name, ' ' ORDER BY pos) AS names FROM o GROUP BY 1, 2, 3""")
 def window_symbol_names(spark, sf_dir):
     from sourcegrain.operators import passages as P
-    w = P.windows(parsed(spark, sf_dir).where("kind = 'source'"), window=12, step=8)
+    w = P.windows(parsed(spark, sf_dir, "symbols").where("kind = 'source'"), window=12, step=8)
     return w.where("extra <> ''").select("repo_id", "path", "line_start", F.col("extra").alias("names"))

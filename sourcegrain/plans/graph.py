@@ -42,7 +42,7 @@ _IMPORTED = """im AS (SELECT repo_id, path, line, p.layer, p.value, concat('impo
 
 @query("stack_from_imports", "F2", ctes(CODE, CODE_LINES, JS_IMPORTS, PY_IMPORTS, _JSP, _PYP, _IMPORTED) + "SELECT * FROM im")
 def stack_from_imports(spark, sf_dir):
-    return G.import_claims(parsed(spark, sf_dir)).drop("ordinal")
+    return G.import_claims(parsed(spark, sf_dir, "imports")).drop("ordinal")
 
 
 _CLAIMS = """cm AS (SELECT *, 0 AS stage FROM mf UNION ALL SELECT *, 1 FROM im)"""
@@ -74,12 +74,12 @@ _EDGES = """rel AS (SELECT repo_id, path AS src, regexp_replace(regexp_replace(C
 
 @query("import_edges", "F5 F6", ctes(CODE, CODE_LINES, JS_IMPORTS, _EDGES) + "SELECT * FROM edges")
 def import_edges(spark, sf_dir):
-    return G.import_edges(parsed(spark, sf_dir))
+    return G.import_edges(parsed(spark, sf_dir, "imports"))
 
 
 @query("import_in_degree", "F6", ctes(CODE, CODE_LINES, JS_IMPORTS, _EDGES) + "SELECT repo_id, dst AS path, count(*) AS imported_by FROM edges GROUP BY 1, 2")
 def import_in_degree(spark, sf_dir):
-    return G.in_degree(G.import_edges(parsed(spark, sf_dir)))
+    return G.in_degree(G.import_edges(parsed(spark, sf_dir, "imports")))
 
 
 _MODULES = f"""dom AS (SELECT repo_id, path FROM code_lines WHERE {JS} GROUP BY 1, 2 HAVING bool_or({rx(C.DOM_USAGE)})),
@@ -95,7 +95,7 @@ _MODULES = f"""dom AS (SELECT repo_id, path FROM code_lines WHERE {JS} GROUP BY
 
 @query("module_map", "F7", SYMBOL_BASE + f", {ROUTES}, {_MODULES} SELECT * FROM modules")
 def module_map(spark, sf_dir):
-    return G.module_map(parsed(spark, sf_dir))
+    return G.module_map(parsed(spark, sf_dir, "symbols", "routes", "uses_dom"))
 
 
 _STEM = "regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1')"
@@ -107,14 +107,14 @@ _CAPS = " UNION ".join(
 @query("capabilities", "F8", SYMBOL_BASE + f""", {ROUTES}, {DATA}, cp AS ({_CAPS} UNION SELECT repo_id, path, 'database' FROM data UNION SELECT repo_id, path, 'api' FROM routes)
  SELECT repo_id, capability, count(*) AS files FROM cp GROUP BY 1, 2""")
 def capabilities(spark, sf_dir):
-    return G.capabilities(parsed(spark, sf_dir))
+    return G.capabilities(parsed(spark, sf_dir, "symbols", "routes", "data_access"))
 
 
 @query("capability_symbols", "F8", SYMBOL_BASE + ", cs AS (" + " UNION ALL ".join(f"SELECT *, '{n}' AS capability FROM symbols WHERE {rx(p, 'name')}" for n, p in G.CAPABILITY_NAMES.items())
        + """) SELECT repo_id, capability, n, name, path, line_start FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, capability ORDER BY path, line_start, line_end DESC) AS n
  FROM cs) WHERE n <= 12""")
 def capability_symbols(spark, sf_dir):
-    return G.capability_symbols(parsed(spark, sf_dir))
+    return G.capability_symbols(parsed(spark, sf_dir, "symbols"))
 
 
 @query("important_files", "F9", SYMBOL_BASE + f""", {ROUTES}, {DATA}, {JS_IMPORTS}, {_EDGES}, x AS (SELECT c.repo_id, c.path, c.kind,
@@ -161,12 +161,12 @@ def summary_sentence(spark, sf_dir):
 
 @query("route_table", "F13", SYMBOL_BASE + f", {ROUTES} SELECT repo_id, method, route_path, path, line, middlewares, string_split(path, '/')[1] AS module FROM routes")
 def route_table(spark, sf_dir):
-    return W.route_table(parsed(spark, sf_dir))
+    return W.route_table(parsed(spark, sf_dir, "routes"))
 
 
 @query("protected_routes", "F13", SYMBOL_BASE + f""", {ROUTES} SELECT repo_id, count(*) AS routes, count(*) FILTER (WHERE middlewares <> '') AS protected FROM routes GROUP BY 1""")
 def protected_routes(spark, sf_dir):
-    return W.route_table(parsed(spark, sf_dir)).groupBy("repo_id").agg(F.count("*").alias("routes"), F.count_if(F.col("middlewares") != "").alias("protected"))
+    return W.route_table(parsed(spark, sf_dir, "routes")).groupBy("repo_id").agg(F.count("*").alias("routes"), F.count_if(F.col("middlewares") != "").alias("protected"))
 
 
 # The SQL compares every call with every route of its repository; the Spark job never does.
@@ -229,7 +229,7 @@ def documented_notes(spark, sf_dir):
 
 @query("marker_notes", "F17", SYMBOL_BASE + f", {MARKERS}, {_NOTES} SELECT * FROM marked")
 def marker_notes(spark, sf_dir):
-    n = H.marker_notes(parsed(spark, sf_dir))
+    n = H.marker_notes(parsed(spark, sf_dir, "symbols", "markers"))
     return n.select("repo_id", "path", "line", "note", F.array_join("files", ",").alias("files"), F.array_join("symbols", ",").alias("symbols"))
 
 
