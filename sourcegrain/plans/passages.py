@@ -45,13 +45,12 @@ _SECTIONS = r"""d AS (SELECT *, regexp_matches(line, '^\s{0,3}#{1,6}\s+(.*)$') A
  s AS (SELECT repo_id, path, min(line_no) AS line_start, max(line_no) AS line_end,
  string_agg(line, chr(10) ORDER BY line_no) AS content,
  max(CASE WHEN line_no = sec_start AND is_head THEN left(regexp_replace(regexp_extract(line, '^\s{0,3}#{1,6}\s+(.*)$', 1),
-  '^\s+|\s+$', '', 'g'), 120) END) AS own, min(chunk) AS chunk, min(sec) AS sec FROM c GROUP BY repo_id, path, sec, chunk)
-SELECT repo_id, path, line_start, line_end, content, max(own) OVER (PARTITION BY repo_id, path, sec) AS symbol FROM s
-"""
+  '^\s+|\s+$', '', 'g'), 120) END) AS own, min(chunk) AS chunk, min(sec) AS sec FROM c GROUP BY repo_id, path, sec, chunk)"""
 
 
-@query("heading_sections", "B2", ctes(CODE, CODE_LINES) + ", " + _SECTIONS.split("\nSELECT")[0].strip().replace("", "", 0)
-       + "\nSELECT * FROM (SELECT" + _SECTIONS.split("\nSELECT")[1] + r") WHERE regexp_matches(content, '\S')")
+@query("heading_sections", "B2", ctes(CODE, CODE_LINES) + ", " + _SECTIONS + r"""
+SELECT * FROM (SELECT repo_id, path, line_start, line_end, content, max(own) OVER (PARTITION BY repo_id, path, sec) AS symbol FROM s)
+WHERE regexp_matches(content, '\S')""")
 def heading_sections(spark, sf_dir):
     files = inputs.code(spark, sf_dir).where("kind = 'doc'")
     return P.sections(files).select("repo_id", "path", "line_start", "line_end", "content", "symbol")
