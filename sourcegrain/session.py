@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,10 +28,16 @@ def build_session(app: str = "sourcegrain", master: str | None = None, **conf: s
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a private folder only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    A session in one process that names none gets a private folder; on a cluster that would be another
+    folder on each machine, so there the setting is required.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sourcegrain-ckpt-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -46,8 +53,10 @@ def stored(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     For results that several branches of a job use: computed once, safe against lost executors, and
-    later reads still prune columns and push filters down.
+    later reads still prune columns and push filters down. The table goes when the application ends.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return df.sparkSession.read.schema(df.schema).parquet(path)
