@@ -8,6 +8,8 @@ Only rare shingles become join keys, and no pair is lost (All-Pairs / PPJoin, pu
 
 from __future__ import annotations
 
+import itertools
+
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,7 +76,7 @@ def similar_pairs(reps: DataFrame, threshold: float = THRESHOLD, token_ratio: fl
             .select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "copies_a", "copies_b", "score"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Smallest node of each connected component: (node, component).
 
     Min-label propagation with pointer jumping; each round is checkpointed. Labels move through
@@ -83,7 +85,8 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     both = durable(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
                    .where("src <> dst").distinct())
     labels = durable(nodes.select("node", F.col("node").alias("component")).distinct())
-    for _ in range(max_rounds):
+    rounds = itertools.count() if max_rounds is None else range(max_rounds)
+    for _ in rounds:
         offered = (both.join(labels, both["src"] == labels["node"]).groupBy("dst").agg(F.min("component").alias("best")))
         lowered = labels.join(offered, labels["node"] == offered["dst"], "left").select(
             "node", F.col("component").alias("old"), F.least("component", F.coalesce("best", "component")).alias("mid"))
