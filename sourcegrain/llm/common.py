@@ -24,7 +24,7 @@ def utf8(text: str | Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("")).cast("binary")
 
 
-def in_chunks(docs: DataFrame, id_column: str, text_column: str, chunk_bytes: int = 4 << 20) -> tuple[DataFrame, int]:
+def in_chunks(docs: DataFrame, id_column: str, text_column: str, chunk_bytes: int = 8 << 20) -> tuple[DataFrame, int]:
     """Documents with a column ``_chunk``, dealt out by it, and the number of partitions.
 
     A chunk holds about ``chunk_bytes`` of text of any documents. Operators send one message per chunk and
@@ -32,8 +32,8 @@ def in_chunks(docs: DataFrame, id_column: str, text_column: str, chunk_bytes: in
     """
     total = docs.agg(F.sum(F.octet_length(F.col(text_column).cast("string")))).first()[0] or 0
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (4 * chunk_bytes)))
-    chunk = F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(4 * parts)).cast("int")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / chunk_bytes))
+    chunk = F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(parts)).cast("int")
     return docs.withColumn("_chunk", chunk).repartition(parts, "_chunk"), parts
 
 
