@@ -9,7 +9,6 @@ Only rare shingles become join keys, and no pair is lost (All-Pairs / PPJoin, pu
 from __future__ import annotations
 
 import itertools
-
 import math
 
 from pyspark.sql import Column, DataFrame, Window
