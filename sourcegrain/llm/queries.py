@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import importlib
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcegrain.llm import substrings
+from sourcegrain.llm import bpe, decontaminate, quality, simhash, substrings
 from sourcegrain.plans.registry import Query
 
 _FOUND: dict[str, Query] = {}
@@ -30,5 +31,44 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs).select(F.col("doc.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+@_query("op2_bpe", "BPE encoding and decoding")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), output="digests")
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+@_query("op5_decontaminate", "benchmark decontamination", """
+WITH w AS (SELECT 'd' AS k, doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS a FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM benchmark),
+s AS (SELECT DISTINCT k, id, array_to_string(list_slice(a, p + 1, p + 5), ' ') AS s FROM (
+  SELECT k, id, a, unnest(range(0, greatest(len(a) - 4, 1))) AS p FROM w WHERE len(a) > 0)),
+i AS (SELECT min(id) AS item, count(*) AS copies, l FROM (SELECT id, list(s ORDER BY s) AS l FROM s WHERE k = 'i' GROUP BY id) GROUP BY l),
+x AS (SELECT item, copies, len(l) AS n, unnest(l) AS s FROM i)
+SELECT s.id AS doc_id, x.item AS item_id, x.copies, x.n AS n_shingles, count(*) AS n_shared, count(*) / x.n AS containment
+FROM s JOIN x ON s.s = x.s WHERE s.k = 'd' GROUP BY s.id, x.item, x.copies, x.n HAVING count(*) * 100 >= x.n * 80""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op6_simhash", "SimHash near-dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
+@_query("op8_quality", "quality classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model).select("doc.doc_id", "score")
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 def llm_queries() -> dict[str, Query]:
-    return dict(_FOUND)
+    sql = importlib.import_module("corpus_pipeline").ORACLE_SQL
+    return _FOUND | {"pipeline": Query("pipeline", "corpus pipeline", _pipeline, sql)}
