@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcegrain.llm import bpe, decontaminate, quality, simhash, substrings
+from sourcegrain.llm import bpe, decontaminate, licenses, quality, simhash, substrings, warc
 from sourcegrain.plans.registry import Query
 
 _FOUND: dict[str, Query] = {}
@@ -65,6 +65,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+@_query("op7_licenses", "license scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents")).drop("spans").withColumnRenamed("id", "doc_id")
+
+
+@_query("op9_warc", "WARC archives and index", """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > f THEN f END AS refers_to
+FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages)""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
