@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcegrain.llm import bpe, chat, decontaminate, licenses, neighbours, quality, simhash, substrings, warc
+from sourcegrain.llm import bpe, chat, decontaminate, katz, licenses, neighbours, quality, simhash, substrings, warc
 from sourcegrain.plans.registry import Query
 
 _FOUND: dict[str, Query] = {}
@@ -93,6 +93,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_query("op10_katz", "LM scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
