@@ -16,6 +16,7 @@ from sourcegrain.session import stored
 
 SHINGLE = 5
 PERCENT = 80  # containment asked for
+BROADCAST_DOCS = 250_000  # candidate documents, with the few items of each, up to which they go to every executor
 
 
 def words(text: str | Column) -> Column:
@@ -73,6 +74,8 @@ def search(docs: DataFrame, items: DataFrame, doc_column: str = "doc_id", item_c
     rows = hashes.select("_doc", "hs", F.explode(_starts("hs")).alias("at")).select("_doc", _shingle_hash("hs", "at").alias("h"))
     candidates = stored(rows.join(sketches, "h").select("_doc", F.explode("found").alias("item")).distinct())
     wanted = candidates.groupBy("_doc").agg(F.collect_set("item").alias("items"))  # bounded by the words of one document
+    if candidates.select("_doc").distinct().count() <= BROADCAST_DOCS:
+        wanted = F.broadcast(wanted)  # of checked size; beyond it the texts meet their candidates in a shuffle
     texts = base.join(wanted, "_doc").select("_doc", "items", words("_text").alias("w"))
     held = texts.select("_doc", "items", "w", F.explode(_starts("w")).alias("at")).select("_doc", "items", _shingle_text("w", "at").alias("s"))
     shared = (held.join(numbered.select("item", "n", "s"), "s").where(F.array_contains("items", F.col("item")))
