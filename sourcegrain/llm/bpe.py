@@ -22,7 +22,7 @@ from sourcegrain.llm.common import utf8
 
 NONE = np.int64(1) << np.int64(62)
 PLACE_BITS = 32
-CACHED_WORDS = 300_000  # bound of a worker's memory for words; beyond it the memory starts anew
+CACHED_WORDS = 800_000  # bound of a worker's memory for words; beyond it the memory starts anew
 
 
 class Bpe:
@@ -41,9 +41,11 @@ class Bpe:
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.text = {i: t.encode() for t, i in (vocab | special).items()}
-        self.alone = {c: vocab[c] for c in vocab if len(c) == 1}
-        self.last = {c: vocab[c + end] for c in self.alone if c + end in vocab}
-        self.byte = self._byte_map()
+        self.four = {i: i.to_bytes(4, "little") for i in self.text}
+        stand_ins = self._byte_map()
+        self.byte = {c: b for b, c in enumerate(stand_ins)}
+        self.alone = np.array([vocab[c] for c in stand_ins], dtype=np.int64)
+        self.last = np.array([vocab[c + end] for c in stand_ins], dtype=np.int64)
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], dtype=np.int64)
         self.order = np.argsort(keys, kind="stable")
@@ -61,17 +63,18 @@ class Bpe:
         rest = [b for b in range(256) if b not in keep]
         return [chr(b) if b in keep else chr(256 + rest.index(b)) for b in range(256)]
 
-    def split(self, word: str) -> list[str | int]:
-        """Pieces of a word without white space, in byte-level form, and the ids of special tokens in it."""
-        out: list[str | int] = []
+    def split(self, word: str) -> list[bytes | int]:
+        """Pieces of a word without white space, as bytes, and the ids of special tokens in it."""
+        if self.plain.fullmatch(word) and not (self.cut and "<" in word):
+            return [p.encode() for p in self.pieces.findall(word.lower())]
+        out: list[bytes | int] = []
         for part in self.cut.split(word) if self.cut and "<" in word else [word]:
             if part in self.special:
                 out.append(self.special[part])
             elif self.plain.fullmatch(part):
-                byte = self.byte
-                out += ["".join(byte[b] for b in p.encode()) for p in self.pieces.findall(part.lower())]
+                out += [p.encode() for p in self.pieces.findall(part.lower())]
             elif part:
-                out += [p for p, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(part))]
+                out += [bytes([self.byte[c] for c in p]) for p, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(part))]
         return out
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -79,9 +82,9 @@ class Bpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.order[at], NONE)
 
-    def merge(self, pieces: list[str]) -> list[np.ndarray]:
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
+        out: list[list[int]] = [[]] * len(pieces)
         by_width: dict[int, list[int]] = {}
         for n, p in enumerate(pieces):
             by_width.setdefault(max(1, (len(p) - 1).bit_length()), []).append(n)
@@ -93,11 +96,13 @@ class Bpe:
                     out[n] = ids
         return out
 
-    def _trees(self, pieces: list[str], width: int) -> list[np.ndarray]:
+    def _trees(self, pieces: list[bytes], width: int) -> list[list[int]]:
         count = len(pieces)
         symbol = np.full((count, width + 1), -1, dtype=np.int64)  # the last column stands for no symbol
-        for row, p in enumerate(pieces):
-            symbol[row, :len(p)] = [self.alone[c] for c in p[:-1]] + [self.last[p[-1]]]
+        data, sizes = np.frombuffer(b"".join(pieces), np.uint8), np.array(list(map(len, pieces)))
+        ends = np.cumsum(sizes)
+        symbol[np.repeat(np.arange(count), sizes), np.arange(len(data)) - np.repeat(ends - sizes, sizes)] = self.alone[data]
+        symbol[np.arange(count), sizes - 1] = self.last[data[ends - 1]]
         following = np.tile(np.arange(1, width + 2), (count, 1))
         before = np.tile(np.arange(-1, width), (count, 1))
         rows, places = np.arange(count), np.arange(width)
@@ -138,30 +143,34 @@ class Bpe:
             if has.any():
                 put(active[has], prev[has], pair(active[has], prev[has]))
             active = active[tree[active, 1] < NONE]
-        return [s[s >= 0] for s in symbol[:, :-1]]
+        left = symbol[:, :-1] >= 0
+        ids, cuts = symbol[:, :-1][left].tolist(), np.concatenate([[0], np.cumsum(left.sum(axis=1))]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def learn(self, words: set[bytes]) -> None:
         """Put the ids and the decoded form of new words into the memory."""
         if len(self.words) + len(words) > CACHED_WORDS:
             self.words.clear()
         splits = {w: self.split(w.decode()) for w in words}
-        pieces = list(dict.fromkeys(p for s in splits.values() for p in s if isinstance(p, str)))
+        pieces = list({p for s in splits.values() for p in s if not isinstance(p, int)})
         ids = dict(zip(pieces, self.merge(pieces), strict=True))
-        text = self.text
+        text, four = self.text, self.four
         for w, s in splits.items():
-            numbers = [i for p in s for i in ((p,) if isinstance(p, int) else ids[p].tolist())]
-            self.words[w] = np.array(numbers, dtype="<u4").tobytes(), b" ".join([text[i] for i in numbers])
+            numbers = ids[s[0]] if len(s) == 1 and s[0] in ids else [i for p in s for i in ((p,) if isinstance(p, int) else ids[p])]
+            self.words[w] = b"".join([four[i] for i in numbers]), b" ".join([text[i] for i in numbers])
 
     def encode(self, text: bytes) -> tuple[bytes, bytes]:
         """(ids as little-endian unsigned 32-bit integers, the decoded text)."""
         words = text.split()
         known = self.words
-        missing = {w for w in words if w not in known}
-        if missing:
+        try:
+            got = [known[w] for w in words]
+        except KeyError:
+            missing = {w for w in words if w not in known}
             kept = {w: known[w] for w in set(words) - missing} if len(known) + len(missing) > CACHED_WORDS else None
             self.learn(missing)
             known.update(kept or {})
-        got = [known[w] for w in words]
+            got = [known[w] for w in words]
         return b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]])
 
     def decode(self, ids: bytes) -> bytes:
