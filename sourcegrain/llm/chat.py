@@ -1,7 +1,7 @@
 """Chat formatting in a prefix tree.
 
 Conversations with the same first turns share the nodes of these turns. The forest is laid out once, depth first, as one
-stream of code points: a sort by path, where a node's path is the chain of its ancestors' hashes, is that order, and
+stream of code points: a sort by path, where a node's path is the chain of its ancestors' short hashes, is that order, and
 running sums over range partitions give the places. A node keeps the position id of its first code point (what stands
 before it in its own conversation) and the stream intervals of its ancestors, which are all that it may attend to.
 """
@@ -13,14 +13,14 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcegrain.session import stored
 
 # The turn marks.
 START, END = "<|im_start|>", "<|im_end|>"
-STEP = 16  # bytes of a path per turn
+STEP = 12  # bytes of a path per turn
 _MARK, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
 
 
@@ -73,11 +73,12 @@ def turn_nodes(conversations: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for conv, turns in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                path, position = b"", 0
+                path, link, position = b"", b"", 0
                 items = turns.as_py()
                 for n, t in enumerate(items):
                     formatted, start, end = format_turn(t["role"], t["text"])
-                    path += xxhash.xxh3_128_digest(path[-STEP:] + formatted.encode())
+                    link = xxhash.xxh3_128_digest(link + formatted.encode())
+                    path += link[:STEP]
                     out.append({"path": path, "depth": n + 1, "position": position, "role": t["role"], "formatted": formatted, "loss_start": start,
                                 "loss_end": end, "conv_id": conv, "leaf": n + 1 == len(items)})
                     position += len(formatted)
@@ -88,17 +89,22 @@ def turn_nodes(conversations: DataFrame) -> DataFrame:
     return whole.mapInArrow(run, _NODE)
 
 
+def _node(path: Column) -> Column:
+    """A short name of the node with this path."""
+    return F.unhex(F.md5(path))
+
+
 def forest(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, leaves): the laid-out prefix forest and each conversation's last node.
 
-    Nodes: path, start, length, position, depth, role, formatted, loss_start, loss_end, ancestors (intervals of the
+    Nodes: node, start, length, position, depth, role, formatted, loss_start, loss_end, ancestors (intervals of the
     stream in order). Null texts and roles count as empty; rows without conv_id form one conversation; repeated rows are
     turns of their own; equal conversations end in the same node; an empty table gives no rows.
     """
     spark = conversations.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(turn_nodes(conversations))
-    leaves = rows.where("leaf").select("conv_id", "path")
+    leaves = rows.where("leaf").select("conv_id", _node(F.col("path")).alias("node"))
     distinct = rows.drop("conv_id", "leaf").dropDuplicates(["path"]).withColumn("length", F.char_length("formatted").cast("long"))
     parts = max(parts, rows.count() // 200_000 + 1)
     ordered = distinct.repartitionByRange(parts, "path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id())
@@ -113,28 +119,29 @@ def forest(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
                 total += n
             yield b.append_column("before", pa.array(before, pa.int64()))
 
-    laid = stored(ordered.mapInArrow(running, ordered.schema.simpleString()[7:-1].replace(":", " ") + ", before bigint"))
+    summed = ordered.mapInArrow(running, ordered.schema.simpleString()[7:-1].replace(":", " ") + ", before bigint")
+    laid = stored(summed.withColumn("node", _node(F.col("path"))))
     sizes = laid.groupBy("part").agg(F.sum("length").alias("size"))
     # one row per range partition, so the window is as small as the number of partitions
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     placed = laid.join(F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.col("offset")).drop("part", "before", "offset")
-    spans = placed.select(F.col("path").alias("up"), F.col("start").alias("from"), (F.col("start") + F.col("length")).alias("to"))
-    climbs = placed.where("depth > 1").select("path", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("k"))
-    climbs = climbs.select("path", F.substring("path", F.lit(1), F.col("k") * STEP).alias("up"))
-    found = climbs.join(spans, "up").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("ancestors"))  # bounded by the depth
+    spans = placed.select(F.col("node").alias("up"), F.col("start").alias("from"), (F.col("start") + F.col("length")).alias("to"))
+    climbs = placed.where("depth > 1").select("node", "path", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("k"))
+    climbs = climbs.select("node", _node(F.substring("path", F.lit(1), F.col("k") * STEP)).alias("up"))
+    found = climbs.join(spans, "up").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("ancestors"))  # bounded by the depth
     empty = F.array().cast("array<struct<from:bigint,to:bigint>>")
-    nodes = placed.join(found, "path", "left").withColumn("ancestors", F.coalesce("ancestors", empty))
+    nodes = placed.drop("path").join(found, "node", "left").withColumn("ancestors", F.coalesce("ancestors", empty))
     return nodes, leaves
 
 
 def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """Each conversation parsed from the stream through its leaf's intervals: conv_id, turns array<struct<role, text>>,
     loss_text (all text under the mask, unescaped) and formatted_chars. Equal conversations are read once."""
-    ends = nodes.join(leaves.select("path").distinct(), "path", "left_semi")
+    ends = nodes.join(leaves.select("node").distinct(), "node", "left_semi")
     own = F.array(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("length")).alias("to")))
-    steps = ends.select("path", F.explode(F.concat("ancestors", own)).alias("s")).select("path", F.col("s.from").alias("start"))
+    steps = ends.select("node", F.explode(F.concat("ancestors", own)).alias("s")).select("node", F.col("s.from").alias("start"))
     pieces = steps.join(nodes.select("start", "formatted", "loss_start", "loss_end"), "start")
-    whole = pieces.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "formatted", "loss_start", "loss_end"))).alias("pieces"))
+    whole = pieces.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("start", "formatted", "loss_start", "loss_end"))).alias("pieces"))
 
     def run(batches):
         for b in batches:
@@ -147,9 +154,9 @@ def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
                     loss.append("".join(unescape(p["formatted"][p["loss_start"]:p["loss_end"]]) for p in value))
                     chars.append(len(stream))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(turns, pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))),
-                                                  pa.array(loss, pa.string()), pa.array(chars, pa.int64())], ["path", "turns", "loss_text", "formatted_chars"])
-    read = whole.mapInArrow(run, "path binary, turns array<struct<role:string,text:string>>, loss_text string, formatted_chars long")
-    return leaves.join(read, "path").drop("path")
+                                                  pa.array(loss, pa.string()), pa.array(chars, pa.int64())], ["node", "turns", "loss_text", "formatted_chars"])
+    read = whole.mapInArrow(run, "node binary, turns array<struct<role:string,text:string>>, loss_text string, formatted_chars long")
+    return leaves.join(read, "node").drop("node")
 
 
 def digests(read: DataFrame) -> DataFrame:
