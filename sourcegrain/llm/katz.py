@@ -8,7 +8,8 @@ stores them and answers with partial sums per document; rare words travel in the
 weights need sums per history only, which are bounded by the model's words.
 
 Every history keeps one event of mass for words it never had, besides what Good-Turing takes from the counts up to five:
-p(w|h) = d(c) c / (c(h) + 1), else a(h) p(w), where p(w) is the smoothed share of w among all tokens.
+p(w|h) = d(c) c / (c(h) + 1), else a(h) p(w), where p(w) is the smoothed share of w among all tokens. A history that had
+every symbol has nothing to back off to; its probabilities are divided by their sum.
 """
 
 from __future__ import annotations
@@ -237,7 +238,7 @@ def _bucket(shared):
         for r in np.unique(range_):
             own = range_ == r
             names, number = np.unique(h[own], return_inverse=True)
-            by_count = [np.bincount(number, c[own] == k, len(names)) for k in range(1, DISCOUNTED + 2)]
+            by_count = [np.bincount(number, c[own] == k, len(names)) for k in range(1, DISCOUNTED + 3)]
             mass = np.bincount(number, lex.p[right[seen][own]], len(names))
             out.append({"kind": "history", "bucket": int(r), "a": pack(names), "b": pack(np.concatenate(by_count)), "c": mass.tobytes()})
         with np.errstate(divide="ignore"):
@@ -252,12 +253,14 @@ def _bucket(shared):
             one, two = place[:len(places)], place[len(places):]
             n = len(touched)
             new = ~seen[key]
+            full = seen[key] & (lex.after[left[key]] >= lex.m + 2)  # histories that may have had every symbol
             sums = np.bincount(one, counts * np.where(new, log_back[key], log_seen[key]), n)
             low = [np.bincount(one, counts * (total[key] == k), n) for k in range(1, DISCOUNTED + 1)]
             rare_sum = np.bincount(two, rare_counts * np.log10(rare_total[rare_key] + ADD), n)
             rare_known = np.bincount(two, rare_counts * (rare_total[rare_key] > 0), n)
             out.append({"kind": "sums", "chunk": r["chunk"], "a": pack(touched), "b": sums.tobytes(), "c": pack(np.concatenate([*low, rare_known])),
-                        "d": rare_sum.tobytes(), "e": pack(places[new]), "f": pack(left[key[new]]), "g": pack(counts[new])})
+                        "d": rare_sum.tobytes(), "e": pack(np.concatenate([places[new], places[full]])),
+                        "f": pack(np.concatenate([left[key[new]], left[key[full]] + lex.m + 3])), "g": pack(np.concatenate([counts[new], counts[full]]))})
         return pa.Table.from_pylist(out, _PART_ARROW)
     return work
 
@@ -270,7 +273,7 @@ def _histories(table):
     every = [(unpack(a).astype(np.int64), unpack(b).astype(np.int64), np.frombuffer(c)) for a, b, c in zip(
         *[table[n].to_pylist() for n in "abc"], strict=True)]
     names, number = np.unique(np.concatenate([e[0] for e in every]), return_inverse=True)
-    width = DISCOUNTED + 1
+    width = DISCOUNTED + 2
     low = np.concatenate([e[1].reshape(width, -1) for e in every], axis=1)
     columns = [np.bincount(number, low[k], len(names)).astype(np.int64) for k in range(width)]
     mass = np.bincount(number, np.concatenate([e[2] for e in every]), len(names))
@@ -307,15 +310,16 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lex.total // BUCKET + 1)
     messages = rows.mapInArrow(_messages(shared, buckets), _MESSAGE)
     parts = stored(messages.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket(shared), _PART))
-    fields = ", ".join(f"t{k} long" for k in range(1, DISCOUNTED + 2))
+    fields = ", ".join(f"t{k} long" for k in range(1, DISCOUNTED + 3))
     stats = parts.where("kind = 'history'").select("bucket", "a", "b", "c").groupBy("bucket").applyInArrow(_histories, f"h long, {fields}, mass double").toArrow()
-    low = np.stack([stats[f"t{k}"].to_numpy() for k in range(1, DISCOUNTED + 2)])
-    d = discounts([int(x) for x in low.sum(axis=1)])
-    back = np.zeros(lex.m + 3)
+    low = np.stack([stats[f"t{k}"].to_numpy() for k in range(1, DISCOUNTED + 3)])
+    d = discounts([int(x) for x in low[:-1].sum(axis=1)])
+    back = np.zeros(2 * (lex.m + 3))  # the weight of each history, then what its seen words get if it had every symbol
     h = stats["h"].to_numpy()
     r = np.arange(1, DISCOUNTED + 1)
     kept = 1 + (low[:DISCOUNTED] * (r * (1 - d))[:, None]).sum(axis=0)
     back[h] = np.log10(kept / (lex.after[h] + 1)) - np.log10(np.maximum(1 - stats["mass"].to_numpy(), 1e-300))
+    back[h + lex.m + 3] = np.where(low.sum(axis=0) == lex.m + 2, -np.log10(np.maximum(1 - kept / (lex.after[h] + 1), 1e-300)), 0.0)
     weights = spark.sparkContext.broadcast((back, np.log10(d), float(lex.log_all), float(lex.log_rare), lex.total))
 
     def finish(table):
