@@ -2,7 +2,7 @@
 
 Conversations with the same first turns share the nodes of these turns. The forest is laid out once, depth first, as one
 stream of code points: a sort by path, where a node's path is the chain of its ancestors' short hashes, is that order, and
-running sums over range partitions give the places. A node keeps the position id of its first code point (what stands
+one scan of each range partition with a stack of open nodes gives the places. A node keeps the position id of its first code point (what stands
 before it in its own conversation) and the stream intervals of its ancestors, which are all that it may attend to.
 """
 
@@ -13,7 +13,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcegrain.session import stored
@@ -89,58 +89,129 @@ def turn_nodes(conversations: DataFrame) -> DataFrame:
     return whole.mapInArrow(run, _NODE)
 
 
-def _node(path: Column) -> Column:
-    """A short name of the node with this path."""
-    return F.unhex(F.md5(path))
+class _Open:
+    """The open nodes of a depth-first scan: path, interval and merged intervals up to and with the node."""
+
+    def __init__(self):
+        self.nodes: list[tuple[bytes, int, int, list[tuple[int, int]]]] = []
+
+    def enter(self, path: bytes, start: int, end: int) -> tuple[int, list[tuple[int, int]], list[int]]:
+        """(ancestors before the scan, merged intervals and starts of those in it)."""
+        while self.nodes and not path.startswith(self.nodes[-1][0]):
+            self.nodes.pop()
+        outside = (len(self.nodes[0][0] if self.nodes else path) // STEP) - 1
+        inside = self.nodes[-1][3] if self.nodes else []
+        starts = [n[1] for n in self.nodes]
+        self.nodes.append((path, start, end, merged([*inside, (start, end)])))
+        return outside, inside, starts
+
+
+def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ascending intervals, neighbours joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in intervals:
+        if out and out[-1][1] == a:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+_SPANS = "array<struct<from:bigint,to:bigint>>"
+
+
+def _scan(batches):
+    """Of one range in order: places within the range, and on the last row the nodes that stay open."""
+    open_, total, first, held = _Open(), 0, None, None
+    spans = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+
+    def out(b, before, outside, inside, starts, last):
+        n = b.num_rows
+        stack = [None] * n
+        if last:
+            stack[-1] = [{"from": x[1], "to": x[2]} for x in open_.nodes]
+        firsts = pa.array([first if last and i == n - 1 else None for i in range(n)], pa.binary())
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.int64()), pa.array(outside, pa.int32()), pa.array(inside, spans),
+                                           pa.array(starts, pa.list_(pa.int64())), pa.array(stack, spans), firsts],
+                                          [*b.schema.names, "before", "outside", "inside", "starts", "stack", "first"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held:
+            yield out(*held, False)
+        before, outside, inside, starts = [], [], [], []
+        for path, length, leaf in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), b.column("leaf").to_pylist(), strict=True):
+            first = first or path
+            o, i, s = open_.enter(path, total, total + length)
+            before.append(total)
+            outside.append(o)
+            inside.append([{"from": x, "to": y} for x, y in i])
+            starts.append(s if leaf else None)
+            total += length
+        held = b, before, outside, inside, starts
+    if held:
+        yield out(*held, True)
+
+
+def _carried(ends: list) -> dict[int, tuple[int, list[tuple[int, int]]]]:
+    """Of each range (offset, intervals of the nodes that are open before it), from the last rows of all ranges."""
+    carried, open_, offset = {}, [], 0
+    for r in sorted(ends, key=lambda r: r["part"]):
+        carried[r["part"]] = offset, open_[:len(r["first"]) // STEP - 1]
+        kept = open_[:len(r["path"]) // STEP - len(r["stack"])]
+        open_ = kept + [(x["from"] + offset, x["to"] + offset) for x in r["stack"]]
+        offset += r["before"] + r["length"]
+    return carried
 
 
 def forest(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, leaves): the laid-out prefix forest and each conversation's last node.
 
     Nodes: node, start, length, position, depth, role, formatted, loss_start, loss_end, ancestors (intervals of the
-    stream in order). Null texts and roles count as empty; rows without conv_id form one conversation; repeated rows are
-    turns of their own; equal conversations end in the same node; an empty table gives no rows.
+    stream in order, neighbours joined) and, where a conversation ends, turn_starts (the starts of all its turns before).
+    Null texts and roles count as empty; rows without conv_id form one conversation; repeated rows are turns of their
+    own; equal conversations end in the same node; an empty table gives no rows.
     """
     spark = conversations.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(turn_nodes(conversations))
-    leaves = rows.where("leaf").select("conv_id", _node(F.col("path")).alias("node"))
-    distinct = rows.drop("conv_id", "leaf").dropDuplicates(["path"]).withColumn("length", F.char_length("formatted").cast("long"))
-    parts = max(parts, rows.count() // 200_000 + 1)
+    leaves = rows.where("leaf").select("conv_id", F.unhex(F.md5("path")).alias("node"))
+    same = ("depth", "position", "role", "formatted", "loss_start", "loss_end")
+    distinct = rows.groupBy("path").agg(*[F.first(c).alias(c) for c in same], F.max("leaf").alias("leaf"))
+    distinct = distinct.withColumn("length", F.char_length("formatted").cast("long"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // 200_000 + 1)
     ordered = distinct.repartitionByRange(parts, "path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id())
+    schema = ordered.schema.simpleString()[7:-1].replace(":", " ")
+    laid = stored(ordered.mapInArrow(_scan, f"{schema}, before bigint, outside int, inside {_SPANS}, starts array<bigint>, stack {_SPANS}, first binary"))
+    # one row per range, each with at most a path of open nodes
+    carried = _carried(laid.where("stack is not null").select("part", "path", "first", "stack", "before", "length").collect())
+    shared = spark.sparkContext.broadcast(carried)
 
-    def running(batches):
-        total = 0
+    def place(batches):
         for b in batches:
-            lengths = b.column("length").to_pylist()
-            before = []
-            for n in lengths:
-                before.append(total)
-                total += n
-            yield b.append_column("before", pa.array(before, pa.int64()))
-
-    summed = ordered.mapInArrow(running, ordered.schema.simpleString()[7:-1].replace(":", " ") + ", before bigint")
-    laid = stored(summed.withColumn("node", _node(F.col("path"))))
-    sizes = laid.groupBy("part").agg(F.sum("length").alias("size"))
-    # one row per range partition, so the window is as small as the number of partitions
-    offsets = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    placed = laid.join(F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.col("offset")).drop("part", "before", "offset")
-    spans = placed.select(F.col("node").alias("up"), F.col("start").alias("from"), (F.col("start") + F.col("length")).alias("to"))
-    climbs = placed.where("depth > 1").select("node", "path", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("k"))
-    climbs = climbs.select("node", _node(F.substring("path", F.lit(1), F.col("k") * STEP)).alias("up"))
-    found = climbs.join(spans, "up").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("ancestors"))  # bounded by the depth
-    empty = F.array().cast("array<struct<from:bigint,to:bigint>>")
-    nodes = placed.drop("path").join(found, "node", "left").withColumn("ancestors", F.coalesce("ancestors", empty))
+            start, ancestors, turn_starts = [], [], []
+            for part, before, outside, inside, starts in zip(*[b.column(c).to_pylist() for c in ("part", "before", "outside", "inside", "starts")], strict=True):
+                offset, open_ = shared.value[part]
+                up = open_[:outside]
+                start.append(before + offset)
+                ancestors.append([{"from": x, "to": y} for x, y in merged([*up, *[(i["from"] + offset, i["to"] + offset) for i in inside]])])
+                turn_starts.append(None if starts is None else [x for x, _ in up] + [s + offset for s in starts])
+            spans = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+            yield b.select(kept).append_column("start", pa.array(start, pa.int64())).append_column("ancestors", pa.array(ancestors, spans)).append_column(
+                "turn_starts", pa.array(turn_starts, pa.list_(pa.int64())))
+
+    kept = ["node", "length", *same]
+    named = laid.withColumn("node", F.unhex(F.md5("path"))).drop("path", "stack", "first", "leaf")
+    fields = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in kept)
+    nodes = named.mapInArrow(place, f"{fields}, start bigint, ancestors {_SPANS}, turn_starts array<bigint>")
     return nodes, leaves
 
 
 def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Each conversation parsed from the stream through its leaf's intervals: conv_id, turns array<struct<role, text>>,
+    """Each conversation parsed from the stream at its turns' starts: conv_id, turns array<struct<role, text>>,
     loss_text (all text under the mask, unescaped) and formatted_chars. Equal conversations are read once."""
-    ends = nodes.join(leaves.select("node").distinct(), "node", "left_semi")
-    own = F.array(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("length")).alias("to")))
-    steps = ends.select("node", F.explode(F.concat("ancestors", own)).alias("s")).select("node", F.col("s.from").alias("start"))
-    pieces = steps.join(nodes.select("start", "formatted", "loss_start", "loss_end"), "start")
+    ends = nodes.where("turn_starts is not null").select("node", F.explode(F.concat("turn_starts", F.array("start"))).alias("start"))
+    pieces = ends.join(nodes.select("start", "formatted", "loss_start", "loss_end"), "start")
     whole = pieces.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("start", "formatted", "loss_start", "loss_end"))).alias("pieces"))
 
     def run(batches):
