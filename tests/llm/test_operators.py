@@ -203,7 +203,13 @@ def test_chat(spark):
     assert len(laid) == 9  # shared turns once
     spans = sorted((r["start"], r["start"] + r["length"]) for r in laid)
     assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
-    assert all(r["position"] == sum(b - a for a, b in r["ancestors"]) and len(r["ancestors"]) == r["depth"] - 1 for r in laid)
+    assert all(r["position"] == sum(b - a for a, b in r["ancestors"]) for r in laid)
+    ends = [r for r in laid if r["turn_starts"] is not None]
+    assert len(ends) == len({tuple(t) for t in talks.values()}) and all(len(r["turn_starts"]) == r["depth"] - 1 for r in ends)
+    whole = {r["start"]: r for r in laid}
+    for r in ends:
+        spans = chat.merged([(s, s + whole[s]["length"]) for s in r["turn_starts"]])
+        assert [(x["from"], x["to"]) for x in r["ancestors"]] == spans
     assert chat.read_back(*chat.forest(table.limit(0))).count() == 0
 
 
