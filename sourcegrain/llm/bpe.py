@@ -22,7 +22,7 @@ from sourcegrain.llm.common import utf8
 
 NONE = np.int64(1) << np.int64(62)
 PLACE_BITS = 32
-CACHED_WORDS = 800_000  # bound of a worker's memory for words; beyond it the memory starts anew
+CACHED_WORDS = 400_000  # bound of a worker's memory for words; beyond it the memory starts anew
 
 
 class Bpe:
