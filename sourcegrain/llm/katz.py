@@ -27,7 +27,7 @@ from sourcegrain.llm.common import utf8
 from sourcegrain.session import stored
 
 WORDS = 1 << 18  # words of the model at most; what is broadcast is this many hashes and counts
-CHUNK = 2_000_000  # tokens that a task turns into one set of messages
+CHUNK = 1_300_000  # tokens that a task turns into one set of messages
 BUCKET = 2_000_000  # tokens for each bucket of bigrams
 DISCOUNTED = 5  # counts up to this are discounted
 ADD = 0.1
