@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcegrain.functions import text as tx
@@ -187,7 +187,7 @@ def review(props: DataFrame, files: DataFrame) -> DataFrame:
 def reject_overlaps(reviewed: DataFrame) -> DataFrame:
     """Earlier proposals claim their lines; a later one that shares a line with an accepted one is rejected.
 
-    The order matters, so it is a fold over the proposals of one file, whose number the per-rule cap bounds.
+    The order matters, so it is a fold over the proposals of one file, at most one for each hit in its lines.
     """
     item = F.struct("number", "proposal_id", "line", (F.col("line") + F.size("after") - 1).alias("last"), F.col("rejection").isNull().alias("ok"))
     folded = reviewed.groupBy("repo_id", "path").agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -202,11 +202,11 @@ def reject_overlaps(reviewed: DataFrame) -> DataFrame:
     return reviewed.join(lost, "proposal_id", "left").withColumn("rejection", F.when(F.col("_lost"), "overlap").otherwise(F.col("rejection"))).drop("_lost")
 
 
-def verify_by_rescan(accepted: DataFrame, hits: DataFrame, cap: int = R.PER_RULE_PER_FILE) -> DataFrame:
+def verify_by_rescan(accepted: DataFrame, hits: DataFrame) -> DataFrame:
     """Re-scan each patched file: the target rule must be gone and nothing new may appear.
 
     Rules look at single lines, so the scan after a patch is the file's scan with the touched lines
-    replaced; ``hits`` is the uncapped scan. The per-rule cap applies to both sides before comparing.
+    replaced; ``hits`` is the whole scan, so a hit behind a limit never counts as introduced.
     """
     spans = accepted.select("proposal_id", "repo_id", "path", "line", (F.col("line") + F.size("after") - 1).alias("last"), "rule_id")
     base = spans.drop("rule_id").join(hits.select("repo_id", "path", "line_no", "rule_id", "evidence"), ["repo_id", "path"])
@@ -214,11 +214,8 @@ def verify_by_rescan(accepted: DataFrame, hits: DataFrame, cap: int = R.PER_RULE
     patched = patched.select("proposal_id", "repo_id", "path", "kind", "language", (F.col("at") + F.col("i")).alias("line_no"), F.col("text").alias("line"))
     fresh = R.scan_lines(patched).select("proposal_id", "line_no", "rule_id", "evidence")
     kept = base.where("line_no < line OR line_no > last").select("proposal_id", "line_no", "rule_id", "evidence")
-    w = Window.partitionBy("proposal_id", "rule_id").orderBy("line_no")
-    limited = lambda df: df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap)
-    count = lambda df, name: limited(df).groupBy("proposal_id", "rule_id", "evidence").agg(F.count("*").alias(name))
-    after = limited(kept.unionByName(fresh))
-    before = count(base.select("proposal_id", "line_no", "rule_id", "evidence"), "b")
+    after = kept.unionByName(fresh)
+    before = base.groupBy("proposal_id", "rule_id", "evidence").agg(F.count("*").alias("b"))
     new = (after.groupBy("proposal_id", "rule_id", "evidence").agg(F.count("*").alias("a")).join(before, ["proposal_id", "rule_id", "evidence"], "left")
            .where(F.col("a") > F.coalesce("b", F.lit(0))).groupBy("proposal_id").agg(F.array_sort(F.collect_set("rule_id")).alias("introduced")))
     still = after.join(spans.select("proposal_id", "rule_id", "line", "last"), ["proposal_id", "rule_id"]).where("line_no BETWEEN line AND last").select(

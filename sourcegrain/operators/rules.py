@@ -75,8 +75,6 @@ PROMPT_INJECTION = (r"(?i)\b(?:ignore\s+(?:all\s+)?(?:the\s+)?(?:previous|prior|
                     r"send\s+(?:the|your)\s+(?:api\s+keys?|secrets?|credentials)\s+to)")
 RISK_WORDS = (r"(?i)\b(auth|password|token|secret|jwt|query|exec|eval|cors|req\.body|request\.|cookie|session|crypto|"
               r"upload|admin|payment|card)\b")
-MAX_LINE = 2000
-PER_RULE_PER_FILE = 5
 SCANNER_FAMILIES = {
     "secrets": ["secret"],
     "injection": ["injection", "file", "xss", "validation"],
@@ -292,8 +290,8 @@ def _any_hint(rules: Sequence[Rule], low: Column) -> Column:
     return test
 
 
-def scan_lines(lines: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Uncapped hits of ``rules`` over (.., path, line_no, line, kind, language).
+def scan_lines(lines: DataFrame, rules: Sequence[Rule] = RULES, max_line: int | None = None) -> DataFrame:
+    """All hits of ``rules`` over (.., path, line_no, line, kind, language).
 
     One narrow pass: lines without any hint literal are dropped inside generated code, the rules run
     on the rest, and titles and evidence are worked out only for hits.
@@ -302,7 +300,8 @@ def scan_lines(lines: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     keep = [c for c in lines.columns if c not in ("line", "kind", "language")]
     # a one-row explode keeps lower() and the comment test from being inlined into every rule
     prepared = F.array(F.struct(F.lower("line").alias("low"), is_comment(line, F.col("language")).alias("comment")))
-    ready = (lines.where((F.length("line") <= MAX_LINE) & line.rlike(r"\S"))
+    short = F.lit(True) if max_line is None else F.length("line") <= max_line
+    ready = (lines.where(short & line.rlike(r"\S"))
              .select("*", F.explode(prepared).alias("_p"))
              .where(_any_hint(rules, F.col("_p.low"))))
     flags = F.array_compact(F.array(*[
@@ -312,7 +311,7 @@ def scan_lines(lines: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return hits.select(*keep, *_describe(rules, line, F.col("_rule")))
 
 
-def cap_per_file(hits: DataFrame, cap: int = PER_RULE_PER_FILE) -> DataFrame:
+def cap_per_file(hits: DataFrame, cap: int) -> DataFrame:
     """The first ``cap`` hits of a rule in a file. Row-number limits prune before the shuffle."""
     w = Window.partitionBy("repo_id", "path", "rule_id").orderBy("line_no")
     return hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
@@ -323,8 +322,9 @@ def cap_total(hits: DataFrame, cap: int = 200) -> DataFrame:
     return hits.orderBy("repo_id", "path", "line_no", "rule_order").limit(cap)
 
 
-def scan(lines: DataFrame, rules: Sequence[Rule] = RULES, cap: int | None = PER_RULE_PER_FILE) -> DataFrame:
-    hits = scan_lines(lines, rules)
+def scan(lines: DataFrame, rules: Sequence[Rule] = RULES, cap: int | None = None, max_line: int | None = None) -> DataFrame:
+    """Hits of all lines; with ``cap`` the first ones of a rule in a file, with ``max_line`` only of lines so long at most."""
+    hits = scan_lines(lines, rules, max_line)
     return hits if cap is None else cap_per_file(hits, cap)
 
 

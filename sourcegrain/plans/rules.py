@@ -83,7 +83,7 @@ def _masked(value: str) -> str:
 
 
 def _rule_sql(rule: R.Rule, source: str) -> str:
-    where = [f"kind IN ({', '.join(q(k) for k in rule.kinds)})", "length(line) <= 2000", "regexp_matches(line, '\\S')",
+    where = [f"kind IN ({', '.join(q(k) for k in rule.kinds)})", "regexp_matches(line, '\\S')",
              PREDICATES[rule.id]]
     if rule.languages:
         where.append(f"language IN ({', '.join(q(k) for k in rule.languages)})")
@@ -101,14 +101,17 @@ def _rule_sql(rule: R.Rule, source: str) -> str:
             f"FROM {source} WHERE " + " AND ".join(where))
 
 
-def claims_cte(source: str, name: str = "claims", rules=R.RULES) -> str:
+def claims_cte(source: str, name: str = "claims", rules=R.RULES, cap: int | None = None) -> str:
     union = "\nUNION ALL\n".join(_rule_sql(r, source) for r in rules)
+    if cap is None:
+        return f"{name} AS ({union})"
     return (f"{name} AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path, rule_id "
-            f"ORDER BY line_no) AS rn FROM ({union})) WHERE rn <= 5)")
+            f"ORDER BY line_no) AS rn FROM ({union})) WHERE rn <= {cap})")
 
 
 CLAIMS = claims_cte("code_lines")
 DOC_CLAIMS = claims_cte("doc_lines", "doc_claims")
+CAPPED_CLAIMS = ctes(CODE, CODE_LINES, claims_cte("code_lines", cap=5))
 CODE_CLAIMS = ctes(CODE, CODE_LINES, CLAIMS)
 _OUT = "repo_id, path, line_no, rule_id, family, severity, title, evidence, round(confidence, 2) AS confidence, cwe"
 
@@ -121,6 +124,12 @@ def code_claims(spark, sf_dir, rules=R.RULES):
     return R.scan(_lines(inputs.code(spark, sf_dir)), rules)
 
 
+@query("rule_scan_capped", "D0b", f"{CAPPED_CLAIMS} SELECT {_OUT} FROM claims")
+def rule_scan_capped(spark, sf_dir):
+    """The first five hits of a rule in a file, for callers that want a short report."""
+    return _shape(R.scan(_lines(inputs.code(spark, sf_dir)), cap=5))
+
+
 def doc_claims(spark, sf_dir):
     return R.scan(_lines(inputs.docs(spark, sf_dir)))
 

@@ -27,7 +27,7 @@ def queries(spark, sf_dir):
 
 
 _STOP = "[" + ", ".join(q(w) for w in S.STOPWORDS) + "]"
-_SYN = "(SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {q(w)}, {i})" for k, v in S.SYNONYMS.items() for i, w in enumerate(v.split())) + ") t(k, w, i))"
+_SYN = "(SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {q(w)}, {i})" for k, v in S.SYNONYMS.items() for i, w in enumerate(v)) + ") t(k, w, i))"
 _C = "trim(x, '_')"
 _CMP = f"(strpos({_C}, '_') > 0 OR (regexp_matches({_C}, '[A-Z]') AND regexp_matches({_C}, '[a-z]') AND regexp_matches(substr({_C}, 2), '[A-Z]')))"
 _SPLIT = (r"list_transform(regexp_extract_all(regexp_replace(replace(x, '_', ' '), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|\d+'), lambda p: lower(p))")

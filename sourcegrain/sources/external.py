@@ -58,13 +58,13 @@ def import_findings(runs: DataFrame) -> DataFrame:
     path = tx.drop_dot_slash(F.element_at(F.split(place, ":"), 1))
     mapped = items.select(
         "run_id", "pos", "item_no",
-        F.substring(tx.strip(F.coalesce(first("title", "name", "vulnerability"), F.lit(""))), 1, 160).alias("title"),
+        tx.strip(F.coalesce(first("title", "name", "vulnerability"), F.lit(""))).alias("title"),
         F.coalesce(severity, F.lit("medium")).alias("severity"),
-        F.substring(F.coalesce(first("description", "summary"), F.lit("")), 1, 1200).alias("description"),
-        F.substring(F.coalesce(first("remediation", "fix", "recommendation"), F.lit("")), 1, 800).alias("recommendation"),
+        F.coalesce(first("description", "summary"), F.lit("")).alias("description"),
+        F.coalesce(first("remediation", "fix", "recommendation"), F.lit("")).alias("recommendation"),
         F.nullif(path, F.lit("")).alias("file"),
         F.when(line.rlike(r"^\d+$"), line.cast("int")).alias("line"),
-        F.substring(F.coalesce(first("evidence", "proof_of_concept", "poc"), F.lit("")), 1, 600).alias("evidence"),
+        F.coalesce(first("evidence", "proof_of_concept", "poc"), F.lit("")).alias("evidence"),
         first("cwe", "cwe_id").alias("cwe"),
         first("cvss", "cvss_score").alias("cvss"),
         first("validated", "verified", "proof_of_concept").isNotNull().alias("validated"),

@@ -31,7 +31,7 @@ def scan_arriving(files: DataFrame) -> DataFrame:
 def write_claims(claims: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Cap per file and append; the batch id is part of the path, so a repeated batch replaces itself."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        R.cap_per_file(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     return claims.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
