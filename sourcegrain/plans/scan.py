@@ -114,10 +114,10 @@ def classify_listing(spark, sf_dir):
                                                             F.array_join("tags", ",").alias("tags"))
 
 
-@query("binary_sniff", "A7", """SELECT page_id, page_id % 4 = 0 AND octet_length(encode(url)) < 8192 AS is_binary,
- sha256(CASE WHEN page_id % 4 = 0 THEN concat(url, chr(0), 'tail') ELSE url END) AS sha256 FROM pages""")
+@query("binary_sniff", "A7", """SELECT page_id, page_id % 4 = 0 AND octet_length(encode(html)) < 8192 AS is_binary,
+ sha256(CASE WHEN page_id % 4 = 0 THEN concat(html, chr(0), 'tail') ELSE html END) AS sha256 FROM pages""")
 def binary_sniff(spark, sf_dir):
-    raw = F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit("\u0000tail"))).otherwise(F.col("url"))
+    raw = F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit("\u0000tail"))).otherwise(F.col("html"))
     pages = table(spark, sf_dir, "pages").select("page_id", raw.cast("binary").alias("content"))
     return pages.select("page_id", tx.is_binary(F.col("content")).alias("is_binary"),
                         F.sha2("content", 256).alias("sha256"))
@@ -204,11 +204,11 @@ def listing_budget(spark, sf_dir):
 
 
 @query("replace_file_index", "A14", ctes(DOCS, NEXT_DOCS) + """
-SELECT repo_id, path, sha256 FROM docs WHERE repo_id NOT IN (SELECT repo_id FROM next_docs WHERE repo_id LIKE 'src1%')
-UNION ALL SELECT repo_id, path, sha256 FROM next_docs WHERE repo_id LIKE 'src1%'""")
+SELECT repo_id, path, sha256 FROM docs WHERE repo_id NOT IN (SELECT repo_id FROM next_docs)
+UNION ALL SELECT repo_id, path, sha256 FROM next_docs""")
 def replace_file_index(spark, sf_dir):
     current = inputs.docs(spark, sf_dir).select("repo_id", "path", "sha256")
-    incoming = inputs.next_docs(spark, sf_dir).where("repo_id LIKE 'src1%'").select("repo_id", "path", "sha256")
+    incoming = inputs.next_docs(spark, sf_dir).select("repo_id", "path", "sha256")
     return tables.replace_partitions(current, incoming, ["repo_id"])
 
 

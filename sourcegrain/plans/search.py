@@ -15,15 +15,15 @@ from sourcegrain.plans.rules import q
 from sourcegrain.session import stored
 from sourcegrain.sources.corpus import table
 
-# Query texts: the first words of each benchmark item, some with a keyword or an identifier added.
+# Query texts: each benchmark item, some with a keyword or an identifier added.
 _QUERIES = """qs AS (SELECT item_id AS query_id, concat(CASE item_id % 4 WHEN 0 THEN 'Where is the login of ' WHEN 1 THEN 'findUserByEmail ' WHEN 2 THEN 'how does it '
- ELSE 'where is it ' END, substr(text, 1, 40)) AS text FROM benchmark)"""
+ ELSE 'where is it ' END, text) AS text FROM benchmark)"""
 
 
 def queries(spark, sf_dir):
     m = F.col("item_id") % 4
     lead = F.when(m == 0, "Where is the login of ").when(m == 1, "findUserByEmail ").when(m == 2, "how does it ").otherwise("where is it ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(lead, F.substring("text", 1, 40)).alias("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(lead, "text").alias("text"))
 
 
 _STOP = "[" + ", ".join(q(w) for w in S.STOPWORDS) + "]"
