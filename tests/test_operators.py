@@ -47,10 +47,10 @@ def test_identifiers(spark):
         assert not one(spark, is_compound(F.col("t")), t=name)
 
 
-def scan(spark, *lines, language="javascript", kind="source"):
+def scan(spark, *lines, language="javascript", kind="source", cap=None):
     rows = [("r", "f", i, s, kind, language) for i, s in enumerate(lines, 1)]
     df = spark.createDataFrame(rows, "repo_id string, path string, line_no int, line string, kind string, language string")
-    return sorted((r.line_no, r.rule_id) for r in R.scan(df).collect())
+    return sorted((r.line_no, r.rule_id) for r in R.scan(df, cap=cap).collect())
 
 
 def test_rules_hit_and_miss(spark):
@@ -61,7 +61,9 @@ def test_rules_hit_and_miss(spark):
 
 def test_rule_cap_and_mask(spark):
     lines = [f'const token = "abc{i}defg-1";' for i in range(9)]
-    assert len(scan(spark, *lines)) == 5
+    assert len(scan(spark, *lines)) == 9
+    assert scan(spark, *lines, cap=5) == [(i, "hardcoded-secret") for i in range(1, 6)]
+    assert scan(spark, "x" * 5000 + "; " + lines[0]) == [(1, "hardcoded-secret")]
     df = spark.createDataFrame([("r", "f", 1, lines[0], "source", "javascript")], "repo_id string, path string, line_no int, line string, kind string, language string")
     assert R.scan(df).first()["evidence"] == 'const token = "abc0[REDACTED]";'
 
