@@ -14,7 +14,6 @@ CODE_TOKENS = (r"//[^\n]*|/\*[\s\S]*?(?:\*/|$)"
                r"|'[^'\\\n]*(?:\\[^\n][^'\\\n]*)*'?"
                r"|`[^`\\$]*(?:(?:\\[\s\S]|\$\{(?:[^{}`'" + '"' + r"]|'[^'\n]*'|" + r'"[^"\n]*"' + r"|`[^`]*`|\{[^{}]*\})*\}|\$)[^`\\$]*)*`?"
                r"|[{}\n]")
-BLOCK_MAX = 800
 SIGNATURE_MAX = 30
 
 
@@ -37,8 +36,8 @@ def braces(lines: Column) -> Column:
 
 
 def block_end(all_braces: Column, start: Column) -> Column:
-    """Line that closes the first block opened at or after ``start``; null when none closes in reach."""
-    near = F.filter(all_braces, lambda b: (b["line"] >= start) & (b["line"] < start + BLOCK_MAX))
+    """Line that closes the first block opened at or after ``start``; null when none closes."""
+    near = F.filter(all_braces, lambda b: b["line"] >= start)
     first = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(0).alias("end"))
 
     def step(acc: Column, b: Column) -> Column:

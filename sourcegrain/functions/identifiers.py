@@ -23,8 +23,9 @@ def is_compound(token: Column) -> Column:
     return core.contains("_") | mixed
 
 
-def expand_terms(text: Column, limit: int = 400) -> Column:
-    """Distinct parts (longer than one character) of compound identifiers, in order."""
+def expand_terms(text: Column, limit: int | None = None) -> Column:
+    """Distinct parts (longer than one character) of compound identifiers, in order; the first ``limit`` where set."""
     tokens = F.filter(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)), is_compound)
     parts = F.flatten(F.transform(tokens, split_identifier))
-    return F.slice(F.array_distinct(F.filter(parts, lambda p: F.length(p) > 1)), 1, limit)
+    distinct = F.array_distinct(F.filter(parts, lambda p: F.length(p) > 1))
+    return distinct if limit is None else F.slice(distinct, 1, limit)

@@ -9,6 +9,7 @@ from sourcegrain.functions import text as tx
 from sourcegrain.functions.stages import hold
 from sourcegrain.operators import facts as C
 from sourcegrain.operators.graph import AUTH_NAME
+from sourcegrain.session import stored
 
 # Path parameters, calls that are never traced, most steps before calls stop.
 PARAMETER = r"\$\{[^}]+\}|:\w+|\{[^}]+\}|<[^>]+>"
@@ -142,7 +143,7 @@ def request_flows(parsed: DataFrame, database: str = "Database", limit: int | No
                       F.coalesce("ui_line", "line").alias("step_line"))
     api = flows.select(*head, F.lit(-1).alias("no"), F.lit("API call").alias("layer"), via.alias("label"), F.col("path").alias("step_path"),
                        F.col("line").alias("step_line"))
-    steps = backend_steps(parsed, database)
+    steps = stored(backend_steps(parsed, database))  # read by both branches below
     back = flows.where("resolved").select(*head, "route_file", "route_ordinal").join(
         steps.withColumnRenamed("path", "route_file").withColumnRenamed("ordinal", "route_ordinal"), ["repo_id", "route_file", "route_ordinal"]).drop(
         "route_file", "route_ordinal")

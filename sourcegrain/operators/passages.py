@@ -15,8 +15,6 @@ from sourcegrain.functions.identifiers import expand_terms
 CODE_WINDOW, CODE_STEP = 40, 30
 CONFIG_WINDOW = 60
 SECTION_MAX = 60
-SYMBOL_MAX = 160
-PER_FILE_MAX = 400
 HEADING = r"^\s{0,3}#{1,6}\s+(.*)$"
 
 
@@ -68,7 +66,7 @@ def sections(files: DataFrame, keep: tuple[str, ...] = ("repo_id", "path")) -> D
     def chunks(start: Column, i: Column) -> Column:
         end = F.coalesce(F.get(F.col("_cuts"), i + 1) - 1, total)
         line = F.element_at("lines", start)
-        label = F.when(line.rlike(HEADING), F.substring(tx.strip(F.regexp_extract(line, HEADING, 1)), 1, 120))
+        label = F.when(line.rlike(HEADING), tx.strip(F.regexp_extract(line, HEADING, 1)))
         return F.transform(F.sequence(start, F.greatest(start, end), F.lit(SECTION_MAX)),
                            lambda c: _span(c, F.least(end, c + SECTION_MAX - 1), label))
 
@@ -76,9 +74,12 @@ def sections(files: DataFrame, keep: tuple[str, ...] = ("repo_id", "path")) -> D
     return _rows(ready, F.flatten(F.transform("_cuts", chunks)), "doc", list(keep))
 
 
-def symbol_passages(files: DataFrame, keep: tuple[str, ...] = ("repo_id", "path")) -> DataFrame:
+def symbol_passages(files: DataFrame, keep: tuple[str, ...] = ("repo_id", "path"), max_lines: int | None = None) -> DataFrame:
+    """One passage per symbol, of all its lines unless ``max_lines`` is set."""
+    def last(s: Column) -> Column:
+        return s["line_end"] if max_lines is None else F.least(s["line_end"], s["line_start"] + max_lines - 1)
     spans = F.transform("symbols", lambda s: _span(
-        s["line_start"], F.least(s["line_end"], s["line_start"] + SYMBOL_MAX - 1),
+        s["line_start"], last(s),
         F.when(s["parent"].isNotNull(), F.concat_ws(".", s["parent"], s["name"])).otherwise(s["name"]),
         F.concat_ws(" ", s["kind"], s["name"])))
     return _rows(files, spans, "symbol", list(keep))
@@ -91,7 +92,7 @@ def with_terms(passages: DataFrame) -> DataFrame:
     return passages.withColumn("terms", F.array_join(F.filter(parts, lambda p: p != ""), " ")).drop("extra")
 
 
-def index(files: DataFrame, cap: int | None = PER_FILE_MAX) -> DataFrame:
+def index(files: DataFrame, cap: int | None = None) -> DataFrame:
     """Passages of classified files with ``symbols``; optional cap per file, symbols first."""
     source = files.where("kind = 'source'")
     parts = [symbol_passages(source).withColumn("_rank", F.lit(0)), windows(source).withColumn("_rank", F.lit(1)),

@@ -45,10 +45,9 @@ def recent_events(timeline: DataFrame, max_depth: int | None = None, last: int =
 def interrupted(timeline: DataFrame, idle_seconds: int) -> DataFrame:
     """Open repositories without an event for ``idle_seconds`` before the newest event of all."""
     state = timeline.groupBy("repo_id").agg(F.max("ts").alias("updated_at"), F.max_by("status", F.struct("ts", "event_id")).alias("status"))
-    newest = timeline.agg(F.max("ts").alias("now")).withColumn("one", F.lit(1))
-    rows = state.withColumn("one", F.lit(1)).join(newest, "one").drop("one")
-    stale = F.col("status").isin("queued", "processing") & (F.col("updated_at") <= F.col("now") - F.make_dt_interval(secs=F.lit(idle_seconds)))
-    return rows.where(stale).select("repo_id", "updated_at", F.lit("failed").alias("status"))
+    newest = timeline.agg(F.max("ts")).scalar()
+    stale = F.col("status").isin("queued", "processing") & (F.col("updated_at") <= newest - F.make_dt_interval(secs=F.lit(idle_seconds)))
+    return state.where(stale).select("repo_id", "updated_at", F.lit("failed").alias("status"))
 
 
 def durations(timeline: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def ends_cte(name: str, heads: str) -> str:
     return f"""{name} AS (SELECT repo_id, path, head, min(line_no) AS block_end FROM (SELECT h.repo_id, h.path, h.line_no AS head, b.line_no, b.d,
  sum(b.d) OVER w AS depth, max(b.d) OVER (PARTITION BY h.repo_id, h.path, h.line_no ORDER BY b.line_no, b.k
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened
- FROM {heads} h JOIN brd b ON b.repo_id = h.repo_id AND b.path = h.path AND b.line_no >= h.line_no AND b.line_no < h.line_no + 800
+ FROM {heads} h JOIN brd b ON b.repo_id = h.repo_id AND b.path = h.path AND b.line_no >= h.line_no
  WINDOW w AS (PARTITION BY h.repo_id, h.path, h.line_no ORDER BY b.line_no, b.k))
  WHERE d = -1 AND opened = 1 AND depth <= 0 GROUP BY 1, 2, 3)"""
 

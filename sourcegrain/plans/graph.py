@@ -187,7 +187,7 @@ def match_calls_to_routes(spark, sf_dir):
 
 
 @query("backend_traces", "F15", SYMBOL_BASE + f""", {ROUTES}, {DATA}, {CALLS}, jsr AS (SELECT * FROM routes WHERE handler = 'find'),
- fd AS (SELECT repo_id, path, line_start, line_end FROM symbols WHERE name = 'find'),
+ fd AS (SELECT repo_id, path, line_start, line_end FROM js_heads WHERE name = 'find'),
  u AS (SELECT repo_id, path, line, 0 AS step, 'Route' AS layer, concat(method, ' ', route_path) AS label, line AS step_line FROM jsr
   UNION ALL SELECT repo_id, path, line, 1, 'Auth', 'requireAuth() middleware', line FROM jsr
   UNION ALL SELECT r.repo_id, r.path, r.line, 2, 'Data', 'find()', f.line_start FROM jsr r JOIN fd f USING (repo_id, path)

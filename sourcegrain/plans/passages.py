@@ -44,8 +44,8 @@ _SECTIONS = r"""d AS (SELECT *, regexp_matches(line, '^\s{0,3}#{1,6}\s+(.*)$') A
  c AS (SELECT *, (line_no - sec_start) // 60 AS chunk FROM h),
  s AS (SELECT repo_id, path, min(line_no) AS line_start, max(line_no) AS line_end,
  string_agg(line, chr(10) ORDER BY line_no) AS content,
- max(CASE WHEN line_no = sec_start AND is_head THEN left(regexp_replace(regexp_extract(line, '^\s{0,3}#{1,6}\s+(.*)$', 1),
-  '^\s+|\s+$', '', 'g'), 120) END) AS own, min(chunk) AS chunk, min(sec) AS sec FROM c GROUP BY repo_id, path, sec, chunk)"""
+ max(CASE WHEN line_no = sec_start AND is_head THEN regexp_replace(regexp_extract(line, '^\s{0,3}#{1,6}\s+(.*)$', 1),
+  '^\s+|\s+$', '', 'g') END) AS own, min(chunk) AS chunk, min(sec) AS sec FROM c GROUP BY repo_id, path, sec, chunk)"""
 
 
 @query("heading_sections", "B2", ctes(CODE, CODE_LINES) + ", " + _SECTIONS + r"""
@@ -94,5 +94,5 @@ def label_quality_by_passages(spark, sf_dir):
             .agg(F.count("*").alias("passages")))
 
 
-def code_passages(spark, sf_dir, cap=P.PER_FILE_MAX):
+def code_passages(spark, sf_dir, cap=None):
     return P.index(stored(facts.parse(inputs.code(spark, sf_dir))), cap)

@@ -20,21 +20,39 @@ def stream_table(spark: SparkSession, path: str, schema, pattern: str = "*.parqu
 
 
 def scan_arriving(files: DataFrame) -> DataFrame:
-    """Rule claims of arriving files (repo_id, path, language, kind, content): stateless, so appends only.
-
-    The per-file cap needs all lines of a file at once; it is applied per batch in the sink.
-    """
+    """Rule claims of arriving files (repo_id, path, language, kind, content): stateless, one pass over the lines."""
     lines = explode_lines(with_lines(files), "repo_id", "path", "kind", "language")
     return R.scan_lines(lines)
 
 
 def write_claims(claims: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Cap per file and append; the batch id is part of the path, so a repeated batch replaces itself."""
+    """Append; the batch id is part of the path, so a repeated batch replaces itself."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     return claims.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def write_scans(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Scan arriving files and keep what ``current_claims`` needs to replace the claims of a file that arrives again.
+
+    Each batch writes the keys of its files and their claims, both under the batch id: nothing old is rewritten, and a
+    repeated batch replaces itself. A file that stands twice in one batch counts once, with its greatest content hash.
+    """
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        one = batch.groupBy("repo_id", "path").agg(F.max_by(F.struct(*batch.columns), F.sha2("content", 256)).alias("f")).select("f.*")
+        kept = one.persist()
+        kept.select("repo_id", "path").write.mode("overwrite").parquet(f"{out}/files/batch={batch_id}")
+        scan_arriving(kept).write.mode("overwrite").parquet(f"{out}/claims/batch={batch_id}")
+        kept.unpersist()
+    return files.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_claims(spark: SparkSession, out: str) -> DataFrame:
+    """The claims of each file's latest scan; a file whose latest scan found nothing has none."""
+    latest = spark.read.parquet(f"{out}/files").groupBy("repo_id", "path").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/claims").join(latest, ["repo_id", "path", "batch"]).drop("batch")
+
+
 def hourly_rates(events: DataFrame) -> DataFrame:
     return runs.windowed_rates(events)
 

@@ -25,6 +25,23 @@ def test_incremental_scan_equals_batch(spark):
     assert got == {(r.repo_id, r.path, r.line_no, r.rule_id) for r in batch.collect()} and got
 
 
+def test_a_file_that_arrives_again_replaces_its_claims(spark):
+    src, out, ck = (tempfile.mkdtemp(prefix="sourcegrain-") for _ in range(3))
+    schema = "repo_id string, path string, language string, kind string, content string"
+    bad, good = "const a = 1\neval(userInput)\n", "const a = 1\n"
+
+    def arrive(**contents):
+        rows = [("r", f"{name}.js", "javascript", "source", text) for name, text in contents.items()]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        arriving = jobs.stream_table(spark, src, spark.read.parquet(src).schema)
+        jobs.write_scans(arriving, out, ck).awaitTermination(180)
+        return sorted((r.path, r.line_no) for r in jobs.current_claims(spark, out).collect() if r.rule_id == "unsafe-eval")
+
+    assert arrive(a=bad, b=bad, c=good) == [("a.js", 2), ("b.js", 2)]
+    assert arrive(a=good, c="x = 2\n" + bad) == [("b.js", 2), ("c.js", 3)]
+    assert arrive(b="\n\n" + bad) == [("b.js", 4), ("c.js", 3)]
+
+
 def test_hourly_rates_equal_batch(spark):
     schema = spark.read.parquet(f"{SF}/events.parquet").schema
     stream = shape(jobs.stream_table(spark, SF, schema, "events.parquet"))
