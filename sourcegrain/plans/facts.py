@@ -313,14 +313,26 @@ def symbol_lookup(spark, sf_dir):
                                            F.col("target.line_start").alias("target_line"))
 
 
-@query("index_passage_stats", "B3 B5 B6 B7", None)
+def _spans(memory_type: str, window: int, step: int, where: str) -> str:
+    return f"""SELECT repo_id, path, '{memory_type}' AS memory_type FROM (SELECT repo_id, path, lines, unnest(range(0, CASE WHEN len(lines) = 0 THEN 0
+  ELSE 1 + ceil(greatest(len(lines) - {window}, 0) / {step}.0)::BIGINT END)) * {step} + 1 AS a FROM code WHERE {where})
+  WHERE regexp_matches(array_to_string(lines[a:a + {window - 1}], chr(10)), '\\S')"""
+
+
+@query("index_passage_stats", "B3 B5 B6 B7", SYMBOL_BASE + f""", hd AS (SELECT *, regexp_matches(line, '^\\s{{0,3}}#{{1,6}}\\s+(.*)$') AS is_head FROM code_lines WHERE kind = 'doc'),
+ hg AS (SELECT *, sum(is_head::INT) OVER (PARTITION BY repo_id, path ORDER BY line_no) AS sec FROM hd),
+ hs AS (SELECT *, (line_no - min(line_no) OVER (PARTITION BY repo_id, path, sec)) // 60 AS chunk FROM hg),
+ pa AS (SELECT s.repo_id, s.path, 'symbol' AS memory_type FROM symbols s JOIN code c ON c.repo_id = s.repo_id AND c.path = s.path WHERE c.kind = 'source'
+  UNION ALL {_spans('code', 40, 30, "kind = 'source'")} UNION ALL {_spans('config', 60, 60, "kind IN ('config', 'manifest')")}
+  UNION ALL SELECT repo_id, path, 'doc' FROM hs GROUP BY repo_id, path, sec, chunk HAVING bool_or(regexp_matches(line, '\\S')))
+ SELECT repo_id, memory_type, count(*) AS passages, count(DISTINCT concat(repo_id, chr(0), path)) AS files FROM pa GROUP BY ROLLUP (repo_id, memory_type)""")
 def index_passage_stats(spark, sf_dir):
     from sourcegrain.operators import passages as P
     return P.index_stats(P.index(fact_table(spark, sf_dir)))
 
 
 @query("symbol_passages", "B3 B4", SYMBOL_BASE + """SELECT repo_id, path, CASE WHEN parent IS NULL THEN name ELSE concat(parent, '.', name) END AS symbol, line_start,
- least(line_end, line_start + 159) AS line_end, array_to_string(lines[line_start:least(line_end, line_start + 159)], chr(10)) AS content
+ line_end, array_to_string(lines[line_start:line_end], chr(10)) AS content
  FROM symbols JOIN code USING (repo_id, path)""")
 def symbol_passages(spark, sf_dir):
     from sourcegrain.operators import passages as P

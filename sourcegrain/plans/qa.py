@@ -9,7 +9,7 @@ from sourcegrain.operators import qa as A
 from sourcegrain.operators import search as S
 from sourcegrain.operators import verify as V
 from sourcegrain.plans import inputs
-from sourcegrain.plans.oracle import CODE, ctes
+from sourcegrain.plans.oracle import CODE, ctes, hash_sql
 from sourcegrain.plans.passages import windows_cte
 from sourcegrain.plans.registry import query
 from sourcegrain.plans.rules import CODE_CLAIMS, code_claims, rx
@@ -57,7 +57,10 @@ def names_in_hits(spark, sf_dir):
     return A.names_in_hits(hits, plans)
 
 
-@query("answer_citations", "G9", None)
+@query("answer_citations", "G9", ctes(CODE, _HITS) + f""", ck AS (SELECT p.p_partkey AS query_id, CASE WHEN c.path IS NULL THEN 'missing'
+  WHEN {hash_sql('c.lines[w.line_start:w.line_end]')} = w.sha THEN 'verified' ELSE 'stale' END AS status FROM part p JOIN w ON contains(array_to_string(w.part, chr(10)), concat('checkEmail', p.p_partkey))
+  LEFT JOIN code c ON c.repo_id = w.repo_id AND c.path = w.path)
+ SELECT query_id, status, count(*) AS citations FROM ck GROUP BY 1, 2""")
 def answer_citations(spark, sf_dir):
     # the passages of an answer are re-verified against the current files
     hits, _ = _question_hits(spark, sf_dir)

@@ -8,7 +8,7 @@ from sourcegrain.operators import passages as P
 from sourcegrain.operators import routing as T
 from sourcegrain.operators import search as S
 from sourcegrain.plans import inputs
-from sourcegrain.plans.oracle import DOCS, ctes
+from sourcegrain.plans.oracle import CODE, DOCS, ctes
 from sourcegrain.plans.passages import windows_cte
 from sourcegrain.plans.registry import query
 from sourcegrain.plans.rules import q
@@ -91,14 +91,16 @@ def substring_candidates(spark, sf_dir):
 
 
 # Identifier search over the code corpus: names of functions as queries.
-@query("identifier_candidates", "G4", None)
+@query("identifier_candidates", "G4", ctes(CODE, windows_cte("code", "w", 40, 30, "kind = 'source'")) + """, cp AS (
+ SELECT concat_ws(':', repo_id, path, lpad(line_start::VARCHAR, 8, '0')) AS passage_id, array_to_string(part, chr(10)) AS content FROM w)
+ SELECT p_partkey AS query_id, passage_id, 1.0::DOUBLE AS score FROM part JOIN cp ON contains(content, concat('checkEmail', p_partkey))""")
 def identifier_candidates(spark, sf_dir):
     code = stored(P.windows(inputs.code(spark, sf_dir).where("kind = 'source'")).withColumn(
         "passage_id", F.concat_ws(":", "repo_id", "path", F.lpad(F.col("line_start").cast("string"), 8, "0"))))
     asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("where is checkEmail"), F.col("p_partkey").cast("string")).alias("text"))
     plans = S.plan(asked)
     none = code.select(F.lit(0).cast("long").alias("query_id"), "passage_id").where("false")
-    return S.identifier_candidates(code, plans, none)
+    return S.identifier_candidates(code, plans, none, per_identifier=None)
 
 
 BOOST = f"""ids AS (SELECT query_id, x AS ident FROM qw WHERE {_CMP}), bst AS (SELECT r.query_id, r.passage_id, p.path, p.line_start, p.line_end, lower(p.content) AS low,
