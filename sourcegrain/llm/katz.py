@@ -1,15 +1,20 @@
 """Katz backoff scores from Good-Turing discounted bigram counts.
 
-The model's words are the most frequent ones of the training documents, found by an exact count of all words; the other
-words are one class in which a word has the share of its smoothed count, so that probabilities over all words, a word
-never seen and the end of the text sum to one after every history. A task turns its documents into messages, one for
-each bucket of bigrams, in which a bigram stands once with the documents that hold it. A bucket counts its bigrams,
-stores them and answers with partial sums per document; rare words travel in the same messages by their hash. Backoff
-weights need sums per history only, which are bounded by the model's words.
+Every word of the training documents is a symbol of the model, named by its 64-bit hash; words that are frequent in a
+sample have a small number as name instead, which changes the size of messages and nothing else. A task turns its
+documents into messages, one for each bucket of words and of bigrams, in which a key stands once with the documents that hold it. A
+bucket counts its keys, stores them and answers with partial sums per document. Nothing that grows with the vocabulary
+reaches the driver or every executor: a bucket of bigrams asks the buckets of words for the counts of its words, sends
+what it knows of each history to the history's bucket and gets the backoff weights back, each key once per bucket.
 
 Every history keeps one event of mass for words it never had, besides what Good-Turing takes from the counts up to five:
-p(w|h) = d(c) c / (c(h) + 1), else a(h) p(w), where p(w) is the smoothed share of w among all tokens. A history that had
-every symbol has nothing to back off to; its probabilities are divided by their sum.
+p(w|h) = d(c) c / (c(h) + 1), else a(h) p(w), where p(w) is the smoothed share of w among all tokens. Probabilities over
+all words, a word never seen and the end of the text sum to one after every history. The factor 1 / (c(h) + 1) stands in
+both cases, so each document takes it from the counts of its own words.
+
+With ``WORDS`` set to a number, the model has only so many of the most frequent words, and the other words are one class
+in which a word has the share of its smoothed count. A history that had every symbol has nothing to back off to then; its
+probabilities are divided by their sum.
 """
 
 from __future__ import annotations
@@ -26,13 +31,16 @@ from pyspark.sql import functions as F
 from sourcegrain.llm.common import utf8
 from sourcegrain.session import stored
 
-WORDS = 1 << 18  # words of the model at most; what is broadcast is this many hashes and counts
+WORDS: int | None = None  # words of the model at most, which are broadcast then; None: all words, nothing is broadcast
 CHUNK = 1_300_000  # tokens that a task turns into one set of messages
 BUCKET = 2_000_000  # tokens for each bucket of bigrams
 DISCOUNTED = 5  # counts up to this are discounted
 ADD = 0.1
 SHIFT = np.uint64(20)
 RANGES = 64
+START, END = np.uint64(0), np.uint64(1)
+SHORT = 60_000  # frequent words of a sample with short names, which only make messages smaller
+SAMPLE = 50_000_000  # bytes of that sample
 
 _MESSAGE = "bucket int, chunk long, trained int, docs binary, keys binary, sizes binary, places binary, counts binary, rare binary, rare_sizes binary, rare_places binary, rare_counts binary"
 _NAMES = [f.split(" ")[0] for f in _MESSAGE.split(", ")]
@@ -124,7 +132,15 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_[starts], np.diff(np.concatenate([starts, [len(sorted_)]]))
 
 
-def _split(keys: np.ndarray, docs: np.ndarray, bucket: np.ndarray, buckets: int) -> dict[int, list[bytes]]:
+def _deltas(values: np.ndarray) -> bytes:
+    return pack(np.concatenate([values[:1], np.diff(values)]))
+
+
+def _sums(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+def _split(keys: np.ndarray, docs: np.ndarray, bucket: np.ndarray, buckets: int, packed=lambda kinds: [_deltas(kinds)]) -> dict[int, list[bytes]]:
     """Packed (distinct keys, documents per key, these documents, counts) of each bucket."""
     out: dict[int, list[bytes]] = {}
     order = np.lexsort((docs, keys, bucket))
@@ -136,8 +152,7 @@ def _split(keys: np.ndarray, docs: np.ndarray, bucket: np.ndarray, buckets: int)
             first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])]))
             counts = np.diff(np.concatenate([first, [len(k)]]))
             kinds, sizes = _runs(k[first])
-            deltas = np.concatenate([kinds[:1], np.diff(kinds)])
-            out[b] = [pack(deltas), pack(sizes), pack(d[first]), pack(counts)]
+            out[b] = [*packed(kinds), pack(sizes), pack(d[first]), pack(counts)]
     return out
 
 
@@ -145,6 +160,23 @@ def _mixed(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
 
 
+def _in_chunks(flush):
+    """Calls flush(chunk number, (id, train) rows, texts) for about ``CHUNK`` tokens at a time."""
+    def run(batches):
+        chunk, size, rows, texts = TaskContext.get().partitionId() << 24, 0, [], []
+        for b in batches:
+            for i, train, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                rows.append((i, train))
+                texts.append(text)
+                size += len(text) // 6 + 1
+                if size >= CHUNK or len(rows) >= 1 << 19:
+                    yield from flush(chunk, rows, texts)
+                    chunk, size, rows, texts = chunk + 1, 0, [], []
+        if rows:
+            yield from flush(chunk, rows, texts)
+    return run
+
+
 def _messages(shared, buckets: int):
     def flush(chunk: int, rows: list[tuple], texts: list[bytes]):
         lex: Lexicon = shared.value
@@ -191,33 +223,20 @@ def _messages(shared, buckets: int):
             columns = list(zip(*cells[s:s + 64], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _NAMES)
 
-    def run(batches):
-        chunk, size, rows, texts = TaskContext.get().partitionId() << 24, 0, [], []
-        for b in batches:
-            for i, train, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                rows.append((i, train))
-                texts.append(text)
-                size += len(text) // 6 + 1
-                if size >= CHUNK or len(rows) >= 1 << 19:
-                    yield from flush(chunk, rows, texts)
-                    chunk, size, rows, texts = chunk + 1, 0, [], []
-        if rows:
-            yield from flush(chunk, rows, texts)
-    return run
+    return _in_chunks(flush)
 
 
-def _counted(rows: list[dict], names: tuple[str, str, str, str]):
-    """The distinct keys of all messages, their training counts, and of each message (key numbers, sizes, places, counts)."""
+def _counted(rows: list[dict], names: tuple[str, str, str, str], every: np.ndarray | None = None):
+    """The distinct keys of all messages (in a row: ``every``), their training counts, and of each message (key numbers, sizes, places, counts)."""
     parts, totals = [], []
     for r in rows:
-        keys = np.cumsum(unpack(r[names[0]]), dtype=np.uint64)
+        keys = _sums(r[names[0]])
         sizes, places, counts = (unpack(r[n]).astype(np.int64) for n in names[1:])
         own = counts * (places < r["trained"])
         starts = np.cumsum(sizes) - sizes
         totals.append(np.add.reduceat(own, starts) if len(starts) else np.zeros(0, np.int64))
         parts.append((keys, sizes, places, counts))
-    every = np.concatenate([p[0] for p in parts])
-    kinds, number = np.unique(every, return_inverse=True)
+    kinds, number = np.unique(np.concatenate([p[0] for p in parts]) if every is None else every, return_inverse=True)
     total = np.bincount(number, np.concatenate(totals), len(kinds)).astype(np.int64)
     cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
     return kinds, total, [(n, *p[1:]) for n, p in zip(np.split(number, cuts), parts, strict=True)]
@@ -294,15 +313,9 @@ def discounts(kinds: list[int]) -> np.ndarray:
     return np.where((d > 0) & (d <= 1) & (common < 1), d, plain)
 
 
-def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
-
-    Words are split at ASCII white space after lowering A-Z; each text ends in one end token; null and empty texts are
-    that token alone. Rows whose id is null are trained on and scored like others; repeated rows count each time;
-    without training rows every word is unknown; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).alias("id"), (~held_out(id_column)).alias("train"), utf8(text_column).alias("text"))
+def _limited_scores(rows: DataFrame) -> DataFrame:
+    """Scores of (id, train, text) by a model of at most ``WORDS`` words and the class of the others."""
+    spark = rows.sparkSession
     counts = stored(word_counts(rows))
     trained = rows.where("train").count()
     lex = lexicon(counts, trained)
@@ -339,8 +352,266 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                          "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(own["base"].to_numpy() + rare_sum - rare * log_all),
                          "score": pa.array(score + rare_sum - rare * log_rare)})
 
-    kind = rows.schema["id"].dataType.simpleString()
-    ddl = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     chunks = parts.where("kind in ('docs', 'sums')").drop("bucket")
-    return chunks.groupBy("chunk").applyInArrow(finish, ddl)
+    return chunks.groupBy("chunk").applyInArrow(finish, _ddl(rows))
+
+
+def _ddl(rows: DataFrame) -> str:
+    kind = rows.schema["id"].dataType.simpleString()
+    return f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+# ---- the model of all words ----
+_KEYED = "bucket int, chunk long, trained int, docs binary, lefts binary, rights binary, sizes binary, places binary, counts binary, words binary, word_sizes binary, word_places binary, word_counts binary"
+_KEYED_NAMES = [f.split(" ")[0] for f in _KEYED.split(", ")]
+_STEP = "kind string, bucket int, source int, chunk long, a binary, b binary, c binary, d binary, stats array<long>"
+_STEP_ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("source", pa.int32()), ("chunk", pa.int64())]
+                        + [(n, pa.binary()) for n in "abcd"] + [("stats", pa.list_(pa.int64()))])
+
+
+def _pair_bucket(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
+    return _mixed(left * np.uint64(0xC2B2AE3D27D4EB4F) + right, buckets)
+
+
+def short_names(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, names) of the words with short names; the more frequent, the smaller."""
+    sample = rows.sample(min(1.0, SAMPLE / max(size, 1)), seed=7)
+    top = word_counts(sample).orderBy(F.desc("c"), "w").limit(SHORT).toArrow()
+    hashes = top["w"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (order + 2).astype(np.uint64)
+
+
+def _named(hashes: np.ndarray, short: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    known, names = short
+    if not len(known):
+        return hashes
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, names[at], hashes)
+
+
+def _keyed(buckets: int, shared):
+    """Messages of words and bigrams by their names."""
+    def flush(chunk: int, rows: list[tuple], texts: list[bytes]):
+        order = sorted(range(len(rows)), key=lambda i: not rows[i][1])  # training documents first
+        trained = sum(r[1] for r in rows)
+        known: dict[bytes, int] = {}
+        numbers, lengths = [], []
+        for i in order:
+            words = texts[i].lower().split()
+            lengths.append(len(words))
+            numbers.extend([known.setdefault(w, len(known)) for w in words])
+        names = np.concatenate([_named(_hashes(known), shared.value), np.array([END, START], np.uint64)])
+        by_name, kinds = np.argsort(names), len(names)
+        rank = np.empty(kinds, np.int64)  # within the chunk a symbol is its place among the sorted names
+        rank[by_name] = np.arange(kinds)
+        names = names[by_name]
+        lengths, w = np.array(lengths, np.int64), rank[np.array(numbers, np.int64)]
+        doc = np.repeat(np.arange(len(order)), lengths)
+        # symbols of all texts in a row, each with a start and an end
+        symbols = np.full(len(w) + 2 * len(order), rank[-1], np.int64)
+        symbols[np.arange(len(w)) + 2 * doc + 1] = w
+        ends = np.cumsum(lengths + 2) - 1
+        symbols[ends] = rank[-2]
+        right = np.ones(len(symbols), bool)
+        right[ends - lengths - 1] = False
+        places = np.flatnonzero(right)
+        left, right = symbols[places - 1], symbols[places]
+        owner = np.repeat(np.arange(len(order)), lengths + 1)
+        pairs = _split(left * kinds + right, owner, _pair_bucket(names[left], names[right], buckets), buckets,
+                       lambda keys: [_deltas(names[keys // kinds]), pack(names[keys % kinds])])
+        words = _split(w, doc, _mixed(names[w], buckets), buckets, lambda keys: [_deltas(names[keys])])
+        nothing = pack(np.zeros(0, np.uint64))
+        blob = pa.BufferOutputStream()
+        table = pa.table({"id": pa.array([rows[i][0] for i in order]), "train": pa.array([rows[i][1] for i in order], pa.bool_()), "n": lengths + 1})
+        with pa.ipc.new_stream(blob, table.schema) as out:
+            out.write_table(table)
+        cells = [[b, chunk, trained, None, *pairs.get(b, [nothing] * 5), *words.get(b, [nothing] * 4)] for b in sorted(pairs.keys() | words.keys())]
+        cells.append([chunk % buckets, chunk, trained, blob.getvalue().to_pybytes(), *[nothing] * 9])
+        types = [pa.int32(), pa.int64(), pa.int32()] + [pa.binary()] * 10
+        for s in range(0, len(cells), 64):
+            columns = list(zip(*cells[s:s + 64], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _KEYED_NAMES)
+    return _in_chunks(flush)
+
+
+def _by_bucket(names: np.ndarray, number: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The names ordered by bucket, ``number`` as places in that order, and where each bucket starts."""
+    bucket = _mixed(names, buckets)
+    order = np.lexsort((names, bucket))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return names[order], place[number], np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _count_bucket(buckets: int):
+    def work(table):
+        rows = table.to_pylist()
+        bucket, out = rows[0]["bucket"], []
+        words, word_total, word_messages = _counted(rows, ("words", "word_sizes", "word_places", "word_counts"))
+        histories, left = np.unique(np.concatenate([_sums(r["lefts"]) for r in rows]), return_inverse=True)
+        rights, right = np.unique(np.concatenate([unpack(r["rights"]) for r in rows]), return_inverse=True)
+        histories, left, _ = _by_bucket(histories, left, buckets)
+        rights, right, edges = _by_bucket(rights, right, buckets)
+        width = max(len(rights), 1)
+        kinds, total, messages = _counted(rows, ("lefts", "sizes", "places", "counts"), left * width + right)
+        left, right = kinds // width, kinds % width
+        seen = total > 0
+        out.append({"kind": "stats", "bucket": bucket, "stats": [*[int((total == k).sum()) for k in range(1, DISCOUNTED + 2)],
+                                                                 int(word_total.sum()), int((word_total > 0).sum())]})
+        out.append({"kind": "words", "bucket": bucket, "a": _deltas(words), "b": pack(word_total)})
+        out.append({"kind": "model", "bucket": bucket, "a": _deltas(histories), "b": _deltas(left[seen]), "c": pack(right[seen]), "d": pack(total[seen])})
+        for b in np.flatnonzero(np.diff(edges)):
+            out.append({"kind": "ask", "bucket": int(b), "source": bucket, "a": _deltas(rights[edges[b]:edges[b + 1]])})
+        with np.errstate(divide="ignore"):
+            log_seen = np.where(seen, np.log10(total), 0.0)
+        log_base, log_after = np.log10(word_total + ADD), np.log10(word_total + 1)
+        for r, (number, sizes, places, counts), (word, word_sizes, word_places, word_counts) in zip(rows, messages, word_messages, strict=True):
+            if r["docs"] is not None:
+                out.append({"kind": "docs", "chunk": r["chunk"], "a": r["docs"]})
+                continue
+            key, word_key = np.repeat(number, sizes), np.repeat(word, word_sizes)
+            touched, place = np.unique(np.concatenate([places, word_places]), return_inverse=True)
+            one, two = place[:len(places)], place[len(places):]
+            n = len(touched)
+            base = np.bincount(two, word_counts * log_base[word_key], n)
+            score = np.bincount(one, counts * log_seen[key], n) - np.bincount(two, word_counts * log_after[word_key], n)
+            low = [np.bincount(one, counts * (total[key] == k), n) for k in range(1, DISCOUNTED + 1)]
+            known = np.bincount(two, word_counts * (word_total[word_key] > 0), n)
+            out.append({"kind": "sums", "chunk": r["chunk"], "a": pack(touched), "b": np.concatenate([base, score]).tobytes(), "c": pack(np.concatenate([*low, known]))})
+            new = ~seen[key]
+            if new.any():
+                out.append({"kind": "new", "bucket": bucket, "chunk": r["chunk"], "a": pack(places[new]), "b": pack(left[key[new]]),
+                            "c": pack(right[key[new]]), "d": pack(counts[new])})
+        return pa.Table.from_pylist(out, _STEP_ARROW)
+    return work
+
+
+def _answer(trained: int):
+    """The counts of the words that the buckets of bigrams ask for, in the order of the question."""
+    def work(table):
+        rows = table.to_pylist()
+        own = [r for r in rows if r["kind"] == "words"]
+        words, total = (_sums(own[0]["a"]), unpack(own[0]["b"])) if own else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        words, total = np.append(words, np.uint64(0)), np.append(total, np.uint64(0))  # the last one stands for none
+        out = []
+        for r in rows:
+            if r["kind"] == "ask":
+                asked = _sums(r["a"])
+                at = np.searchsorted(words[:-1], asked)
+                found = np.where(words[at] == asked, total[at], np.uint64(0))
+                out.append({"kind": "count", "bucket": r["source"], "source": r["bucket"], "a": pack(np.where(asked == END, np.uint64(trained), found))})
+        return pa.Table.from_pylist(out, _STEP_ARROW)
+    return work
+
+
+def _answers(rows: list[dict], kind: str, read) -> np.ndarray:
+    parts = [read(r["a"]) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["source"])]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _history_parts(buckets: int, d: np.ndarray):
+    """What a bucket of bigrams knows of each of its histories, also of those it has no training bigram of."""
+    taken = np.concatenate([[0], np.arange(1, DISCOUNTED + 1) * (1 - d), [0]])
+
+    def work(table):
+        rows = table.to_pylist()
+        model = next(r for r in rows if r["kind"] == "model")
+        count = _answers(rows, "count", unpack).astype(np.int64)
+        histories, left, right, total = _sums(model["a"]), _sums(model["b"]).astype(np.int64), unpack(model["c"]).astype(np.int64), unpack(model["d"]).astype(np.int64)
+        n = len(histories)
+        lost = np.bincount(left, taken[np.minimum(total, DISCOUNTED + 1)], n)
+        mass = np.bincount(left, count[right], n).astype(np.int64)
+        follow = np.bincount(left, minlength=n)
+        edges = np.searchsorted(_mixed(histories, buckets), np.arange(buckets + 1))
+        out = []
+        for b in np.flatnonzero(np.diff(edges)):
+            own = slice(edges[b], edges[b + 1])
+            out.append({"kind": "history", "bucket": int(b), "source": model["bucket"], "a": _deltas(histories[own]), "b": lost[own].tobytes(),
+                        "c": pack(mass[own]), "d": pack(follow[own])})
+        return pa.Table.from_pylist(out, _STEP_ARROW)
+    return work
+
+
+def _weights(total: int, kinds: int):
+    """log10 of a(h) (c(h) + 1) for the histories that each bucket of bigrams named, in its order."""
+    def work(table):
+        rows = table.to_pylist()
+        names = [_sums(r["a"]) for r in rows]
+        every, number = np.unique(np.concatenate(names), return_inverse=True)
+        lost = np.bincount(number, np.concatenate([np.frombuffer(r["b"]) for r in rows]), len(every))
+        mass = np.bincount(number, np.concatenate([unpack(r["c"]) for r in rows]), len(every))
+        follow = np.bincount(number, np.concatenate([unpack(r["d"]) for r in rows]), len(every))
+        left = total - mass + ADD * (kinds + 1 - follow)  # a word never seen is always left
+        weight = np.log10(1 + lost) + np.log10(total + ADD * (kinds + 1)) - np.log10(left)
+        parts = np.split(weight[number], np.cumsum([len(x) for x in names])[:-1])
+        return pa.Table.from_pylist([{"kind": "weight", "bucket": r["source"], "source": r["bucket"], "a": x.tobytes()} for r, x in zip(rows, parts, strict=True)], _STEP_ARROW)
+    return work
+
+
+def _backed_off(log_all: float):
+    """Sums per document over the bigrams without training count."""
+    def work(table):
+        rows, out = table.to_pylist(), []
+        count, weight = _answers(rows, "count", unpack), _answers(rows, "weight", np.frombuffer)
+        share = np.log10(count + ADD) - log_all
+        for r in rows:
+            if r["kind"] == "new":
+                places, left, right, counts = (unpack(r[n]).astype(np.int64) for n in "abcd")
+                touched, place = np.unique(places, return_inverse=True)
+                out.append({"kind": "back", "chunk": r["chunk"], "a": pack(touched), "b": np.bincount(place, counts * (weight[left] + share[right])).tobytes()})
+        return pa.Table.from_pylist(out, _STEP_ARROW)
+    return work
+
+
+def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+
+    Words are split at ASCII white space after lowering A-Z; each text ends in one end token; null and empty texts are
+    that token alone. Rows whose id is null are trained on and scored like others; repeated rows count each time;
+    without training rows every word is unknown; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_column).alias("id"), (~held_out(id_column)).alias("train"), utf8(text_column).alias("text"))
+    if WORDS is not None:
+        return _limited_scores(rows)
+    size, trained = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // BUCKET + 1)
+
+    def each(table: DataFrame, work) -> DataFrame:
+        return table.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(work, _STEP)
+
+    shared = spark.sparkContext.broadcast(short_names(rows, size))
+    parts = stored(each(rows.mapInArrow(_keyed(buckets, shared), _KEYED), _count_bucket(buckets)))
+    of = lambda *kinds: parts.where(F.col("kind").isin(*kinds))
+    *low, total, kinds = of("stats").agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(DISCOUNTED + 3)]).first()
+    total, kinds = total + trained, kinds + (trained > 0)
+    d = discounts(low)
+    counts = stored(each(of("words", "ask"), _answer(trained)))
+    weights = each(each(of("model").unionByName(counts), _history_parts(buckets, d)), _weights(total, kinds))
+    log_d, log_all = np.log10(d), float(np.log10(total + ADD * (kinds + 1)))
+    back = each(of("new").unionByName(counts).unionByName(weights), _backed_off(log_all))
+
+    def finish(table):
+        parts = table.to_pylist()
+        own = pa.ipc.open_stream(next(p["a"] for p in parts if p["kind"] == "docs")).read_all()
+        n = own["n"].to_numpy()
+        base = np.log10(trained + ADD) - n * log_all
+        score, known = np.full(len(n), -np.log10(trained + 1)), np.full(len(n), int(trained > 0))
+        for p in parts:
+            if p["kind"] == "docs":
+                continue
+            at, sums = unpack(p["a"]).astype(np.int64), np.frombuffer(p["b"])
+            if p["kind"] == "back":
+                score[at] += sums
+                continue
+            small = unpack(p["c"]).astype(np.int64).reshape(DISCOUNTED + 1, -1)
+            base[at] += sums[:len(at)]
+            score[at] += sums[len(at):] + log_d @ small[:DISCOUNTED]
+            known[at] += small[DISCOUNTED]
+        return pa.table({"id": own["id"], "held_out": pc.invert(own["train"]), "n_tokens": own["n"], "n_known": pa.array(known),
+                         "train_tokens": pa.array(np.full(len(n), total, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
+
+    chunks = of("docs", "sums").unionByName(back).select("kind", "chunk", "a", "b", "c")
+    return chunks.groupBy("chunk").applyInArrow(finish, _ddl(rows))
 

@@ -1,6 +1,7 @@
 """Each operator on small tables with nulls, empty and long texts, ties, repeated rows, clashing column names and no rows."""
 
 import collections
+import functools
 import hashlib
 import math
 import zlib
@@ -292,6 +293,38 @@ def test_katz_is_normalised_and_exact(spark, nothing, monkeypatch, limit):
     assert katz.scores(nothing).count() == 0
 
 
+def test_katz_models_every_word(spark):
+    """More words than any former bound; bigrams of rare words have counts, histories and backoff weights of their own."""
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(f"v{int(x)}" for x in rng.zipf(1.4, 30) % 200)) for i in range(200)] + [(200, None), (201, ""), (5, "again V1 v2"), (None, "v1 v2")]
+    texts += [(1000 + i, " ".join(f"a{j} b{j} a{j} {'b' if j % 3 else 'c'}{j}" for j in range(i * 500, i * 500 + 700))) for i in range(280)]
+    got = katz.scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    tokens = [(i, (t or "").lower().split() + ["\n"]) for i, t in texts]
+    count = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
+    total, kinds = sum(count.values()), len(count)
+    assert kinds > 1 << 18
+    pairs = collections.Counter((a, b) for i, ws in tokens if not held(i) for a, b in zip(["", *ws], ws, strict=False))
+    d = katz.discounts([sum(c == r for c in pairs.values()) for r in range(1, 7)])
+    after, followers = collections.Counter(), collections.defaultdict(list)
+    for (a, b), c in pairs.items():
+        after[a] += c
+        followers[a].append(b)
+    share = lambda w: (count[w] + 0.1) / (total + 0.1 * (kinds + 1))
+    seen = lambda h, w: (d[pairs[h, w] - 1] if pairs[h, w] <= 5 else 1) * pairs[h, w] / (after[h] + 1)
+
+    @functools.cache
+    def backoff(h):
+        return (1 - sum(seen(h, w) for w in followers[h])) / (1 - sum(map(share, followers[h])))
+    want = collections.Counter()
+    for i, ws in tokens:
+        base = sum(math.log10(share(w)) for w in ws)
+        own = sum(math.log10(seen(h, w) if (h, w) in pairs else backoff(h) * share(w)) for h, w in zip(["", *ws], ws, strict=False))
+        want[i, held(i), len(ws), sum(count[w] > 0 for w in ws), total, round(base, 5), round(own, 5)] += 1
+    assert collections.Counter((r["id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in got) == want
+    assert katz.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
