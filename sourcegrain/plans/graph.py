@@ -186,6 +186,12 @@ def match_calls_to_routes(spark, sf_dir):
     return W.match_routes(C.table(p, "api_calls"), C.table(p, "routes")).drop("route_ordinal")
 
 
+def _traces(parsed_files, routes):
+    steps = W.backend_steps(parsed_files)
+    rows = routes.select("repo_id", "path", "ordinal", "line")
+    return steps.join(rows, ["repo_id", "path", "ordinal"]).select("repo_id", "path", "line", "layer", "label", "step_path", "step_line")
+
+
 @query("backend_traces", "F15", SYMBOL_BASE + f""", {ROUTES}, {DATA}, {CALLS}, jsr AS (SELECT * FROM routes WHERE handler = 'find'),
  fd AS (SELECT repo_id, path, line_start, line_end FROM js_heads WHERE name = 'find'),
  u AS (SELECT repo_id, path, line, 0 AS step, 'Route' AS layer, concat(method, ' ', route_path) AS label, line AS step_line FROM jsr
@@ -196,9 +202,14 @@ def match_calls_to_routes(spark, sf_dir):
  SELECT repo_id, path, line, layer, label, step_line FROM u""")
 def backend_traces(spark, sf_dir):
     p = fact_table(spark, sf_dir)
-    steps = W.backend_steps(p)
-    routes = C.table(p, "routes").where("handler = 'find'").select("repo_id", "path", "ordinal", "line")
-    return steps.join(routes, ["repo_id", "path", "ordinal"]).select("repo_id", "path", "line", "layer", "label", "step_line")
+    return _traces(p, C.table(p, "routes").where("handler = 'find'")).drop("step_path")
+
+
+@query("backend_traces_all", "F15", None)
+def backend_traces_all(spark, sf_dir):
+    """Traces of the routes of any handler, inline ones included; the SQL of backend_traces knows those of `find` only."""
+    p = fact_table(spark, sf_dir)
+    return _traces(p, C.table(p, "routes"))
 
 
 @query("request_flows", "F16", None)

@@ -96,6 +96,16 @@ def test_js_blocks_ignore_strings_comments_templates(spark):
     assert [(r.path, r.line_end, list(r.middlewares), r.handler) for r in row.routes] == [("/p/:id", 12, ["auth"], None)]
 
 
+def test_traces_of_routes_of_any_handler(spark, monkeypatch):
+    from sourcegrain.plans import graph
+    js = "function list(req, res) {\n  res.json({});\n}\nrouter.get('/a', list);\nrouter.post('/b', requireAuth, (req, res) => {\n  res.json({});\n});\n"
+    files = parse(spark, m_dot_js=js, n_dot_py="@app.get('/x')\ndef show():\n    return 1\n")
+    monkeypatch.setattr(graph, "fact_table", lambda *_: files)
+    got = {(r.path, r.line, r.layer, r.label) for r in graph.backend_traces_all(spark, None).collect()}
+    assert got == {("m.js", 4, "Route", "GET /a"), ("m.js", 5, "Route", "POST /b"), ("m.js", 5, "Auth", "requireAuth() middleware"), ("n.py", 1, "Route", "GET /x"),
+                   ("m.js", 4, "Service", "list()"), ("n.py", 1, "Service", "show()")}
+
+
 def test_route_matching_against_brute_force(spark):
     rng = random.Random(3)
     seg = lambda: rng.choice(["a", "b", ":id", "c"])
