@@ -13,11 +13,14 @@ from sourcegrain.sources.corpus import spread, table
 WORD = r"[\p{L}\p{N}]+"
 
 
-def doc_items(spark, sf_dir, min_words: int = 25):
-    """id, n_tokens and word 5-shingles of documents with enough words."""
+SQL_WORDS = 25  # the SQL below leaves out shorter documents; the queries named _all have no such floor
+
+
+def doc_items(spark, sf_dir, min_words: int | None = None):
+    """id, n_tokens and word 5-shingles of the documents that have words, at least ``min_words`` if given."""
     d = spread(table(spark, sf_dir, "documents"))
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    d = d.select(F.col("doc_id").alias("id"), words.alias("t")).where(F.size("t") >= min_words)
+    d = d.select(F.col("doc_id").alias("id"), words.alias("t")).where(F.size("t") >= (min_words or 1))
     return d.select("id", F.size("t").alias("n_tokens"), S.shingles(F.col("t")).alias("shingles"))
 
 
@@ -46,17 +49,35 @@ COMPONENTS = """reach AS (WITH RECURSIVE und AS (SELECT rep_a AS a, rep_b AS b F
 
 @query("word_shingles", "E3", "WITH " + ITEMS + " SELECT id, n_tokens::BIGINT AS n_tokens, len(sh) AS n_shingles FROM items")
 def word_shingles(spark, sf_dir):
-    return doc_items(spark, sf_dir).select("id", "n_tokens", F.size("shingles").alias("n_shingles"))
+    return doc_items(spark, sf_dir, SQL_WORDS).select("id", "n_tokens", F.size("shingles").alias("n_shingles"))
 
 
 @query("similar_document_pairs", "E4 E5", "WITH " + ITEMS + " SELECT rep_a, rep_b, round(score, 6) AS score FROM pairs")
 def similar_document_pairs(spark, sf_dir):
+    reps, _ = S.collapse(doc_items(spark, sf_dir, SQL_WORDS))
+    return S.similar_pairs(reps).select("rep_a", "rep_b", F.round("score", 6).alias("score"))
+
+
+@query("similar_document_pairs_all", "E4 E5", None)
+def similar_document_pairs_all(spark, sf_dir):
     reps, _ = S.collapse(doc_items(spark, sf_dir))
     return S.similar_pairs(reps).select("rep_a", "rep_b", F.round("score", 6).alias("score"))
 
 
-def doc_clusters(spark, sf_dir):
-    items = doc_items(spark, sf_dir)
+@query("document_clusters_all", "E6 E7", None)
+def document_clusters_all(spark, sf_dir):
+    _, _, rows = doc_clusters(spark, sf_dir)
+    return rows.select("cluster", "size", "edges", F.round("similarity", 6).alias("similarity"))
+
+
+@query("cluster_members_all", "E6", None)
+def cluster_members_all(spark, sf_dir):
+    _, placed, _ = doc_clusters(spark, sf_dir)
+    return placed.select("id", "cluster")
+
+
+def doc_clusters(spark, sf_dir, min_words: int | None = None):
+    items = doc_items(spark, sf_dir, min_words)
     reps, members = S.collapse(items)
     pairs = S.stored(S.similar_pairs(reps))
     placed, rows = S.clusters(reps, members, pairs)
@@ -66,13 +87,13 @@ def doc_clusters(spark, sf_dir):
 @query("document_clusters", "E6 E7", "WITH " + ITEMS + ", " + COMPONENTS +
        " SELECT cluster, size, edges, round(similarity, 6) AS similarity FROM clusters")
 def document_clusters(spark, sf_dir):
-    _, _, rows = doc_clusters(spark, sf_dir)
+    _, _, rows = doc_clusters(spark, sf_dir, SQL_WORDS)
     return rows.select("cluster", "size", "edges", F.round("similarity", 6).alias("similarity"))
 
 
 @query("cluster_members", "E6", "WITH " + ITEMS + ", " + COMPONENTS + " SELECT id, cluster FROM placed")
 def cluster_members(spark, sf_dir):
-    _, placed, _ = doc_clusters(spark, sf_dir)
+    _, placed, _ = doc_clusters(spark, sf_dir, SQL_WORDS)
     return placed.select("id", "cluster")
 
 
@@ -81,7 +102,7 @@ def cluster_members(spark, sf_dir):
  - len(list_intersect(a.sh, o.sh))), 6) AS similarity FROM placed p JOIN items a ON a.id = p.cluster JOIN items o ON o.id = p.id
  WHERE p.id <> p.cluster""")
 def cluster_anchor_pairs(spark, sf_dir):
-    items, placed, rows = doc_clusters(spark, sf_dir)
+    items, placed, rows = doc_clusters(spark, sf_dir, SQL_WORDS)
     anchors = rows.select("cluster", F.col("cluster").alias("anchor"))
     return S.anchor_pairs(items, placed, anchors).withColumn("similarity", F.round("similarity", 6))
 
@@ -108,7 +129,7 @@ def identical_file_groups(spark, sf_dir):
  SELECT cluster, CASE WHEN size >= 3 THEN 'medium' ELSE 'low' END AS severity,
  round(least(0.97, 0.55 + similarity * 0.4), 6) AS confidence FROM clusters""")
 def cluster_findings(spark, sf_dir):
-    _, _, rows = doc_clusters(spark, sf_dir)
+    _, _, rows = doc_clusters(spark, sf_dir, SQL_WORDS)
     return rows.select("cluster", F.when(F.col("size") >= 3, "medium").otherwise("low").alias("severity"),
                        F.round(F.least(F.lit(0.97), 0.55 + F.col("similarity") * 0.4), 6).alias("confidence"))
 
@@ -117,7 +138,7 @@ def cluster_findings(spark, sf_dir):
  SELECT (SELECT count(*) FROM clusters) AS clusters, count(*) AS compared, (count(*) * (count(*) - 1) / 2)::BIGINT AS comparisons,
  (SELECT count(*) FROM placed) AS members FROM items""")
 def duplicate_metrics(spark, sf_dir):
-    items, placed, rows = doc_clusters(spark, sf_dir)
+    items, placed, rows = doc_clusters(spark, sf_dir, SQL_WORDS)
     tagged = None
     for name, df in (("clusters", rows), ("compared", items), ("members", placed)):
         part = df.select(F.lit(name).alias("k")).groupBy("k").agg(F.count("*").alias("n"))

@@ -150,6 +150,16 @@ def test_similarity_join_against_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and want
 
 
+def test_short_documents_have_clones(spark, tmp_path):
+    from sourcegrain.plans import clones
+    long = " ".join(f"w{i}" for i in range(30))
+    texts = ["one two three", "One, two three!", "one two four", "a b c d e f g h i j k l m n o p", "a b c d e f g h i j k l m n o q", "!!!", "???", None, long, long]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.id, r.cluster) for r in clones.cluster_members_all(spark, str(tmp_path)).collect()} == {(0, 0), (1, 0), (3, 3), (4, 3), (8, 8), (9, 8)}
+    assert {(r.rep_a, r.rep_b) for r in clones.similar_document_pairs_all(spark, str(tmp_path)).collect()} == {(3, 4)}
+    assert {(r.id, r.cluster) for r in clones.cluster_members(spark, str(tmp_path)).collect()} == {(8, 8), (9, 8)}
+
+
 def test_components_of_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(0, 70)] + [(100, i) for i in range(101, 180)]
     nodes = spark.range(0, 200).select(F.col("id").alias("node"))
