@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcegrain.llm import bpe, chat, decontaminate, katz, licenses, neighbours, quality, simhash, substrings, warc
+from sourcegrain.llm import (
+    bpe, chat, collocations, decontaminate, filter_audit, katz, licenses, neighbours, quality, secrets, simhash, substrings, warc,
+)
 from sourcegrain.plans.registry import Query
 
 _FOUND: dict[str, Query] = {}
@@ -97,6 +99,61 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
+@_query("op11_secrets", "secret scan")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+@_query("op12_collocations", "phrase collocation mining", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+o AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM w CROSS JOIN (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS c FROM o GROUP BY ALL),
+n AS (SELECT lang, sum(c) AS n FROM f WHERE k = 1 GROUP BY lang),
+g AS (SELECT lang, k, phrase, c, string_split(phrase, ' ') AS x FROM f WHERE c >= 10 AND k > 1),
+cut AS (SELECT lang, phrase, k, c, x, unnest(range(1, k)) AS j FROM g),
+s AS (SELECT cut.lang, cut.phrase, cut.k, cut.c AS a, j, l.c AS l, r.c AS r, 1000000 * cut.c * cut.c // (l.c * r.c) AS score FROM cut
+  JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(x[1:j], ' ')
+  JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(x[j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT lang, phrase, max(c) AS c FROM (
+  SELECT lang, c, unnest([array_to_string(x[1:2], ' '), array_to_string(x[2:3], ' ')]) AS phrase FROM g WHERE k = 3) GROUP BY ALL),
+z AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.c IS NULL OR b.k = 3 OR 100 * i.c < 50 * a)
+SELECT z.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n::BIGINT AS n, score::BIGINT AS score
+FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), first=2000)
+
+
+@_query("op13_filter_audit", "filter interaction audit", r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS f FROM t),
+l AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (doc_id > f)::INT AS mask
+  FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS docs, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+walk(prefix, applied, before, bit, step) AS (SELECT '', 0, 0, 0, 0
+  UNION ALL SELECT prefix || letter, applied | letters.bit, applied, letters.bit, step + 1 FROM walk JOIN letters ON applied & letters.bit = 0),
+e AS (SELECT part, prefix, step, bit, sum(docs * (mask & applied = 0)::INT) AS kept,
+    sum(docs * (mask & before = 0 AND mask & bit <> 0)::INT) AS removed, sum(docs * (mask & before <> 0 AND mask & bit <> 0)::INT) AS redundant,
+    sum(docs * (mask = bit)::INT) AS unique_fails, sum(good * (mask & before = 0 AND mask & bit <> 0)::INT) AS good_lost,
+    sum(toxic * (mask & before = 0 AND mask & bit <> 0)::INT) AS toxic_lost
+  FROM walk CROSS JOIN c WHERE step > 0 GROUP BY ALL),
+r AS (SELECT o.prefix AS filter_order, e.* FROM e JOIN walk o ON o.step = 5 AND e.prefix = left(o.prefix, e.step))
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
