@@ -22,13 +22,13 @@ from pyspark.sql import types as T
 from sourcegrain.llm.common import utf8
 from sourcegrain.session import stored
 
-CHUNK_WORDS = 2_000_000  # bound of a task's memory; a longer piece is a chunk of its own
+CHUNK_WORDS = 4_000_000  # bound of a task's memory; a longer piece is a chunk of its own
 
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _BREAK = -1
 
 _OCCURRENCES = "chunk long, lang string, size long, words array<string>, counts array<long>, entries long, ids binary"
-_EXTENSIONS = "chunk long, lang string, prefix long, last long, n long"
+_EXTENSIONS = "chunk long, prefix long, last long, n long"
 
 
 class _Open:
@@ -40,12 +40,27 @@ class _Open:
         self.size = 0
 
 
-def _rows(held: dict[str, _Open], chunk: int) -> pa.RecordBatch:
+def _packed(numbers: np.ndarray) -> bytes:
+    """Word numbers as four byte planes, compressed: commoner words have smaller numbers, so the high planes are short."""
+    return pa.compress((numbers + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, entries: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * entries, codec="zstd", asbytes=True), np.uint8).reshape(4, entries)
+    return planes.T.copy().view("<u4").ravel().astype(np.int64) - 1
+
+
+def _rows(held: dict[str, _Open], first: int) -> pa.RecordBatch:
+    """One chunk per language, numbered from ``first``."""
     columns: list[list] = [[], [], [], [], [], [], []]
-    for lang, o in held.items():
+    for chunk, (lang, o) in enumerate(held.items(), first):
         ids = np.frombuffer(o.ids, np.int32)
-        counts = np.bincount(ids[ids >= 0], minlength=len(o.known)).tolist()
-        row = (chunk, lang, o.size, list(o.known), counts, len(ids), pa.compress(ids.tobytes(), codec="zstd", asbytes=True))
+        counts = np.bincount(ids[ids >= 0], minlength=len(o.known))
+        order = np.argsort(-counts, kind="stable")
+        number = np.full(len(order) + 1, _BREAK, dtype=np.int64)  # the last entry is that of a break
+        number[order] = np.arange(len(order))
+        words = list(o.known)
+        row = (chunk, lang, o.size, [words[i] for i in order], counts[order], len(ids), _packed(number[ids]))
         for column, value in zip(columns, row, strict=True):
             column.append(value)
     types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
@@ -54,8 +69,8 @@ def _rows(held: dict[str, _Open], chunk: int) -> pa.RecordBatch:
 
 
 def occurrences(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """The occurrence relation: per chunk and language the distinct words with their counts, and the numbers of the words
-    in order of piece and place, -1 between pieces (compressed)."""
+    """The occurrence relation, in chunks of one language: the distinct words, commonest first, with their counts, and the
+    numbers of the words in order of piece and place, -1 between pieces (packed)."""
     def run(batches):
         held: dict[str, _Open] = {}
         number, words = TaskContext.get().partitionId() << 32, 0
@@ -75,7 +90,7 @@ def occurrences(docs: DataFrame, text_column: str = "text", lang_column: str = "
                     words += len(parts)
                     if words >= chunk_words:
                         yield _rows(held, number)
-                        held, number, words = {}, number + 1, 0
+                        held, number, words = {}, number + len(held), 0
         if held:
             yield _rows(held, number)
 
@@ -133,31 +148,26 @@ def _survivors(word: np.ndarray, found: dict[int, tuple[np.ndarray, np.ndarray,
 def _extended(relation: DataFrame, survivors: DataFrame, length: int) -> DataFrame:
     """Counts of the phrases of ``length`` words per chunk: the relation semi-joined with all shorter survivors."""
     def run(key, left, right):
+        prefix, last, gid = (right.column(c).to_numpy() for c in ("prefix", "last", "gid"))
+        level = right.column("level").to_numpy()
+        by_level = {k: (prefix[level == k], last[level == k], gid[level == k]) for k in range(1, length)}
         out = []
-        by_level = {}
-        levels = right.column("level").to_numpy()
-        values = [right.column(c).to_numpy() for c in ("prefix", "last", "gid")]
-        for k in range(1, length):
-            by_level[k] = tuple(v[levels == k] for v in values)
         for ids, entries in zip(left.column("ids").to_pylist(), left.column("entries").to_pylist(), strict=True):
-            local = np.frombuffer(pa.decompress(ids, decompressed_size=4 * entries, codec="zstd"), np.int32)
-            code, _, gid = by_level[1]
+            local = _unpacked(ids, entries)
+            code, _, number = by_level[1]
             numbers = np.full(int(local.max(initial=0)) + 2, -1, dtype=np.int64)  # the last entry is that of a break
-            numbers[code] = gid
+            numbers[code] = number
             word = numbers[local]
-            places, codes, phrases, words = _extension(_survivors(word, by_level, length - 1), word, length)
+            _, codes, phrases, words = _extension(_survivors(word, by_level, length - 1), word, length)
             found, counts = np.unique(codes, return_counts=True)
-            many = len(found)
             a, b = np.divmod(found, max(len(words), 1))
-            out.append(pa.Table.from_arrays(
-                [pa.array(np.full(many, key[0].as_py()), pa.int64()), pa.array([key[1].as_py()] * many, pa.string()),
-                 pa.array(phrases[a], pa.int64()), pa.array(words[b], pa.int64()), pa.array(counts, pa.int64())],
-                ["chunk", "lang", "prefix", "last", "n"]))
-        return pa.concat_tables(out) if out else pa.Table.from_arrays(
-            [pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())], ["chunk", "lang", "prefix", "last", "n"])
+            chunk = np.full(len(found), key[0].as_py(), dtype=np.int64)
+            out.append(pa.table([pa.array(c, pa.int64()) for c in (chunk, phrases[a], words[b], counts)], names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * 4, names)
 
-    left = relation.select("chunk", "lang", "entries", "ids").groupBy("chunk", "lang")
-    return left.cogroup(survivors.select("chunk", "lang", "level", "prefix", "last", "gid").groupBy("chunk", "lang")).applyInArrow(run, _EXTENSIONS)
+    names = ["chunk", "prefix", "last", "n"]
+    left = relation.select("chunk", "entries", "ids").groupBy("chunk")
+    return left.cogroup(survivors.groupBy("chunk")).applyInArrow(run, _EXTENSIONS)
 
 
 def frequent(docs: DataFrame, max_words: int = 3, min_count: int = 10, text_column: str = "text", lang_column: str = "lang",
@@ -172,20 +182,20 @@ def frequent(docs: DataFrame, max_words: int = 3, min_count: int = 10, text_colu
     relation = stored(occurrences(docs, text_column, lang_column, chunk_words))
     totals = relation.groupBy("lang").agg(F.sum("size").alias("n"))
     words = relation.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("prefix", "w"))
-    words = words.select("chunk", "lang", F.col("prefix").cast("long").alias("prefix"), F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
+    words = words.select("chunk", "lang", "prefix", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
     found = _counted(words, ["phrase", "lang"], min_count)
     one = found.where("first").select("gid", "lang", "phrase", F.col("total").alias("count"))
-    survivors = found.select("chunk", "lang", F.lit(1).alias("level"), "prefix", F.lit(0).cast("long").alias("last"), "gid")
+    survivors = found.select("chunk", F.lit(1).alias("level"), F.col("prefix").cast("long").alias("prefix"), F.lit(0).cast("long").alias("last"), "gid")
     phrases, shorter = one.select("lang", "phrase", F.lit(1).alias("n_words"), "count"), one
     for k in range(2, max_words + 1):
         # The language needs no place in the key: a word's number belongs to one language.
         found = _counted(_extended(relation, survivors, k), ["last", "prefix"], min_count)
-        head = shorter.select(F.col("gid").alias("prefix"), F.col("phrase").alias("head"))
+        head = shorter.select(F.col("gid").alias("prefix"), "lang", F.col("phrase").alias("head"))
         tail = one.select(F.col("gid").alias("last"), F.col("phrase").alias("tail"))
         shorter = stored(found.where("first").join(head, "prefix").join(tail, "last")
                          .select("gid", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), F.col("total").alias("count")))
         phrases = phrases.unionByName(shorter.select("lang", "phrase", F.lit(k).alias("n_words"), "count"))
-        survivors = survivors.unionByName(found.select("chunk", "lang", F.lit(k).alias("level"), "prefix", "last", "gid"))
+        survivors = survivors.unionByName(found.select("chunk", F.lit(k).alias("level"), "prefix", "last", "gid"))
     return phrases, totals
 
 
