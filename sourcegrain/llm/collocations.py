@@ -10,6 +10,7 @@ of a frequent shorter phrase and a frequent word, so no word gathers its occurre
 
 from __future__ import annotations
 
+import struct
 from array import array
 
 import numpy as np
@@ -23,6 +24,7 @@ from sourcegrain.llm.common import utf8
 from sourcegrain.session import stored
 
 CHUNK_WORDS = 4_000_000  # bound of a task's memory; a longer piece is a chunk of its own
+SENT_ROWS = 1_000_000  # likewise, of the surviving phrases that a task sends back to the chunks in one go
 
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _BREAK = -1
@@ -40,14 +42,14 @@ class _Open:
         self.size = 0
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Word numbers as four byte planes, compressed: commoner words have smaller numbers, so the high planes are short."""
-    return pa.compress((numbers + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+def _packed(numbers: np.ndarray, width: int) -> bytes:
+    """Numbers from -1 on as ``width`` byte planes, compressed: small numbers leave the high planes empty."""
+    return pa.compress((numbers + 1).astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(packed: bytes, entries: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * entries, codec="zstd", asbytes=True), np.uint8).reshape(4, entries)
-    return planes.T.copy().view("<u4").ravel().astype(np.int64) - 1
+def _unpacked(packed: bytes, entries: int, width: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=width * entries, codec="zstd", asbytes=True), np.uint8)
+    return planes.reshape(width, entries).T.copy().view(f"<u{width}").ravel().astype(np.int64) - 1
 
 
 def _rows(held: dict[str, _Open], first: int) -> pa.RecordBatch:
@@ -60,7 +62,7 @@ def _rows(held: dict[str, _Open], first: int) -> pa.RecordBatch:
         number = np.full(len(order) + 1, _BREAK, dtype=np.int64)  # the last entry is that of a break
         number[order] = np.arange(len(order))
         words = list(o.known)
-        row = (chunk, lang, o.size, [words[i] for i in order], counts[order], len(ids), _packed(number[ids]))
+        row = (chunk, lang, o.size, [words[i] for i in order], counts[order], len(ids), _packed(number[ids], 4))
         for column, value in zip(columns, row, strict=True):
             column.append(value)
     types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
@@ -99,12 +101,52 @@ def occurrences(docs: DataFrame, text_column: str = "text", lang_column: str = "
 
 
 def _counted(rows: DataFrame, keys: list[str], min_count: int) -> DataFrame:
-    """The rows whose key counts ``min_count`` or more in all chunks: with the key's ``total``, a number ``gid`` of the key,
-    and ``first`` on one row of each key."""
+    """The rows whose key counts ``min_count`` or more in all chunks, with a number ``gid`` of the key; one row of each key
+    is marked ``first`` and has its total and the columns that are not numbers (null elsewhere)."""
     dealt = rows.repartition(*keys).withColumn("_row", F.monotonically_increasing_id())
     key = Window.partitionBy(*keys)
     found = dealt.withColumn("total", F.sum("n").over(key)).withColumn("gid", F.min("_row").over(key)).where(F.col("total") >= min_count)
-    return stored(found.withColumn("first", F.col("_row") == F.col("gid")).drop("_row", "n"))
+    first = F.col("_row") == F.col("gid")
+    once = {c: F.when(first, F.col(c)) for c in ("total", "phrase", "lang") if c in found.columns}
+    return stored(found.withColumn("first", first).withColumns(once).drop("_row", "n"))
+
+
+def _sent(found: DataFrame, level: int) -> DataFrame:
+    """The surviving phrases of each chunk as messages: one per chunk and SENT_ROWS rows of a task, or task."""
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= SENT_ROWS:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        chunk, *columns = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        order = np.argsort(chunk, kind="stable")
+        names, starts = np.unique(chunk[order], return_index=True)
+        ends = np.append(starts[1:], len(order))
+        columns = [c[order] for c in columns]
+        blobs = [b"".join([struct.pack("<q", len(p)) + p for p in (_packed(c[a:e], 8) for c in columns)]) for a, e in zip(starts, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array([level] * len(names), pa.int32()), pa.array(ends - starts, pa.int64()),
+                                           pa.array(blobs, pa.binary())], ["chunk", "level", "entries", "phrases"])
+
+    return found.select("chunk", "prefix", "last", "gid").mapInArrow(run, "chunk long, level int, entries long, phrases binary")
+
+
+def _received(right: pa.Table, length: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The messages to one chunk by level: (prefix, last, gid) of the phrases shorter than ``length``."""
+    out: dict[int, list[list[np.ndarray]]] = {k: [[np.zeros(0, np.int64)] * 3] for k in range(1, length)}
+    for level, entries, blob in zip(*(right.column(c).to_pylist() for c in ("level", "entries", "phrases")), strict=True):
+        at, columns = 0, []
+        for _ in range(3):
+            size, = struct.unpack_from("<q", blob, at)
+            columns.append(_unpacked(blob[at + 8:at + 8 + size], entries, 8))
+            at += 8 + size
+        out[level].append(columns)
+    return {k: tuple(np.concatenate(c) for c in zip(*parts, strict=True)) for k, parts in out.items()}
 
 
 def _numbered(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +180,7 @@ def _survivors(word: np.ndarray, found: dict[int, tuple[np.ndarray, np.ndarray,
     here = word
     for k in range(2, length + 1):
         places, codes, phrases, words = _extension(here, word, k)
-        prefix, last, gid = found.get(k, (np.zeros(0, np.int64),) * 3)
+        prefix, last, gid = found[k]
         keys = np.searchsorted(phrases, prefix) * max(len(words), 1) + np.searchsorted(words, last)
         here = np.full(len(word), -1, dtype=np.int64)
         here[places] = _lookup(keys, gid, codes)
@@ -148,12 +190,10 @@ def _survivors(word: np.ndarray, found: dict[int, tuple[np.ndarray, np.ndarray,
 def _extended(relation: DataFrame, survivors: DataFrame, length: int) -> DataFrame:
     """Counts of the phrases of ``length`` words per chunk: the relation semi-joined with all shorter survivors."""
     def run(key, left, right):
-        prefix, last, gid = (right.column(c).to_numpy() for c in ("prefix", "last", "gid"))
-        level = right.column("level").to_numpy()
-        by_level = {k: (prefix[level == k], last[level == k], gid[level == k]) for k in range(1, length)}
+        by_level = _received(right, length)
         out = []
         for ids, entries in zip(left.column("ids").to_pylist(), left.column("entries").to_pylist(), strict=True):
-            local = _unpacked(ids, entries)
+            local = _unpacked(ids, entries, 4)
             code, _, number = by_level[1]
             numbers = np.full(int(local.max(initial=0)) + 2, -1, dtype=np.int64)  # the last entry is that of a break
             numbers[code] = number
@@ -185,7 +225,7 @@ def frequent(docs: DataFrame, max_words: int = 3, min_count: int = 10, text_colu
     words = words.select("chunk", "lang", "prefix", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
     found = _counted(words, ["phrase", "lang"], min_count)
     one = found.where("first").select("gid", "lang", "phrase", F.col("total").alias("count"))
-    survivors = found.select("chunk", F.lit(1).alias("level"), F.col("prefix").cast("long").alias("prefix"), F.lit(0).cast("long").alias("last"), "gid")
+    survivors = _sent(found.select("chunk", F.col("prefix").cast("long").alias("prefix"), F.lit(0).cast("long").alias("last"), "gid"), 1)
     phrases, shorter = one.select("lang", "phrase", F.lit(1).alias("n_words"), "count"), one
     for k in range(2, max_words + 1):
         # The language needs no place in the key: a word's number belongs to one language.
@@ -195,7 +235,7 @@ def frequent(docs: DataFrame, max_words: int = 3, min_count: int = 10, text_colu
         shorter = stored(found.where("first").join(head, "prefix").join(tail, "last")
                          .select("gid", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), F.col("total").alias("count")))
         phrases = phrases.unionByName(shorter.select("lang", "phrase", F.lit(k).alias("n_words"), "count"))
-        survivors = survivors.unionByName(found.select("chunk", F.lit(k).alias("level"), "prefix", "last", "gid"))
+        survivors = survivors.unionByName(_sent(found, k))
     return phrases, totals
 
 
