@@ -80,7 +80,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for text in b.column(2).to_pylist():
                 for w in text.lower().split():
                     counts[w] = counts.get(w, 0) + 1
-                if len(counts) > 1_000_000:
+                if len(counts) > 50_000:
                     yield out()
                     counts.clear()
         yield out()
