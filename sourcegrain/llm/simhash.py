@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sourcegrain.llm.common import utf8
 from sourcegrain.operators.similarity import components
@@ -46,8 +47,8 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
         for b in batches:
             values = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.int64())], ["id", "fp"])
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), utf8(text_column).alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_column).alias("id"), utf8(text_column).alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())]))
 
 
 def _views(fp: Column) -> Column:
@@ -213,7 +214,14 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents that have the smallest id of their group, each id once; rows without id stay."""
-    firsts = groups(docs, id_column, text_column).where("id = component").select(F.col("id").alias(id_column)).distinct()
-    kept = docs.join(firsts, id_column, "left_semi").dropDuplicates([id_column])
+    """One document of each group: the one of the smallest id, of several texts with that id the one of the smallest digest,
+    of rows that repeat id and text one. An id whose texts lie in several groups can so stay once for each. Rows without
+    id link others but all stay. Columns are those of ``docs``; an empty table gives no rows.
+    """
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    digest = F.unhex(F.sha2(text, 256))
+    keyed = docs.select(F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"), digest.alias("digest")).alias("key"), text.alias("text"))
+    firsts = groups(keyed, "key", "text").where("id = component and not id.no_id").select(F.col("id.id").alias("_first_id"), F.col("id.digest").alias("_first_digest")).distinct()
+    same = (docs[id_column] == F.col("_first_id")) & (F.col("_own_digest") == F.col("_first_digest"))
+    kept = docs.withColumn("_own_digest", digest).join(firsts, same, "left_semi").dropDuplicates([id_column, "_own_digest"]).drop("_own_digest")
     return kept.unionByName(docs.where(F.col(id_column).isNull()))

@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import itertools
 import math
 import zlib
 
@@ -353,3 +354,20 @@ def test_arrow_types_survive(spark):
     rows = spark.createDataFrame([(1, "a b", [1, 2], {"k": 1.5})], "doc_id long, text string, l array<int>, m map<string,double>")
     assert substrings.remove_repeats(rows).select("doc.*").first() == rows.first()
     assert isinstance(pa.array([1]), pa.Array)
+
+
+@pytest.mark.parametrize("rows", list(itertools.permutations([(3, "B"), (5, "A"), (5, "B")])))
+def test_near_dedup_loses_no_text(spark, rows):
+    """Two texts of one id in different groups: each group keeps one document."""
+    text = {"A": "one sentence about green apples and their many uses in the kitchen", "B": "nothing of the kind stands in this second and rather longer text at all"}
+    docs = spark.createDataFrame([(i, text[t], "x") for i, t in rows], "doc_id long, text string, key string")
+    kept = sorted(tuple(r) for r in simhash.keep_first(docs).collect())
+    assert kept == [(3, text["B"], "x"), (5, text["A"], "x")]
+
+
+def test_near_dedup_keeps_one_of_two_texts_of_an_id(spark):
+    long = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(5, long + " end", 1), (5, long, 1), (5, long, 1), (7, long, 2), (None, long, 3), (None, "", 4)], "doc_id long, text string, n int")
+    kept = simhash.keep_first(docs).collect()
+    assert sorted(r.n for r in kept) == [1, 3, 4] and [r.doc_id for r in kept if r.n == 1] == [5]
+    assert simhash.keep_first(docs.limit(0)).collect() == []
