@@ -194,21 +194,26 @@ def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_col
 
     def run(batches):
         bpe = loaded(vocabulary)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                texts = b.column(1).to_pylist()
-                fresh = {w for t in texts for w in t.split()} - bpe.words.keys()
-                if fresh and len(fresh) <= CACHED_WORDS // 2:
-                    bpe.learn(fresh)
-                done = [bpe.encode(t) for t in texts]
-                counts = pa.array([len(i) // 4 for i, _ in done], pa.int64())
-                if digests:
-                    two = [pa.array([hashlib.sha256(x[k]).hexdigest() for x in done], pa.string()) for k in (0, 1)]
-                else:
-                    two = [pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in done], pa.list_(pa.int32())),
-                           pa.array([bpe.decode(i).decode() for i, _ in done], pa.string())]
-                yield pa.RecordBatch.from_arrays([b.column(0), counts, *two], schema.fieldNames())
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    yield encoded(bpe, whole.slice(at, 256))
+        finally:
+            bpe.words.clear()  # the worker outlives the task and may serve other operators
+
+    def encoded(bpe: Bpe, b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column(1).to_pylist()
+        fresh = {w for t in texts for w in t.split()} - bpe.words.keys()
+        if fresh and len(fresh) <= CACHED_WORDS // 2:
+            bpe.learn(fresh)
+        done = [bpe.encode(t) for t in texts]
+        counts = pa.array([len(i) // 4 for i, _ in done], pa.int64())
+        if digests:
+            two = [pa.array([hashlib.sha256(x[k]).hexdigest() for x in done], pa.string()) for k in (0, 1)]
+        else:
+            two = [pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in done], pa.list_(pa.int32())),
+                   pa.array([bpe.decode(i).decode() for i, _ in done], pa.string())]
+        return pa.RecordBatch.from_arrays([b.column(0), counts, *two], schema.fieldNames())
 
     two = [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [
         ("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]

@@ -7,6 +7,7 @@ exactly A-Z, which are the word rules of these operators.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -42,21 +43,31 @@ class Words:
 
     def __init__(self, texts: Iterable[bytes]):
         known: dict[bytes, int] = {}
-        numbers: list[int] = []
-        self.words: list[list[bytes]] = []
+        numbers, lengths = array("i"), []
         for text in texts:
             words = text.split()
-            self.words.append(words)
+            lengths.append(len(words))
             numbers.extend([known.setdefault(w, len(known)) for w in words])
-        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in known), dtype=">u8").astype(np.uint64)
-        digests = digests.reshape(-1, 2)
-        ids = np.array(numbers, dtype=np.int64)
-        self.high, self.low = digests[ids, 0], digests[ids, 1]
-        lengths = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        self.place = np.arange(len(ids)) - np.repeat(self.starts[:-1], lengths)  # within its own text
-        self.left = np.repeat(self.starts[1:], lengths) - np.arange(len(ids))  # words from here to the end
-        self.size = np.repeat(lengths, lengths)
+        self.distinct = list(known)  # each word is held once, however often it stands
+        self.ids = np.array(numbers, dtype=np.int32)
+        self._digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in known), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+        sizes = np.array(lengths, dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        here = np.arange(len(self.ids), dtype=np.int32)
+        self.place = here - np.repeat(self.starts[:-1].astype(np.int32), sizes)  # within its own text
+        self.left = np.repeat(self.starts[1:].astype(np.int32), sizes) - here  # words from here to the end
+
+    @property
+    def high(self) -> np.ndarray:
+        return self._digests[self.ids, 0]
+
+    @property
+    def low(self) -> np.ndarray:
+        return self._digests[self.ids, 1]
+
+    def of(self, text: int) -> np.ndarray:
+        """The word numbers of one text."""
+        return self.ids[self.starts[text]:self.starts[text + 1]]
 
 
 def rolling(values: np.ndarray, width: int, base: np.uint64) -> np.ndarray:

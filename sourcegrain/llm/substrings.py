@@ -10,7 +10,6 @@ passage that a third of all documents hold is one entry per chunk and no pairs a
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ class _Chunk:
         self.window, width = window, window - PERIOD + 1
         self.words = w = Words(texts)
         self.whole = w.left >= window
-        here = np.isin(w.place % PERIOD, COVER) & (w.left >= width) & (w.size >= window)
+        here = np.isin(w.place % PERIOD, COVER) & (w.left >= width) & (w.place + w.left >= window)
         self.anchors = np.flatnonzero(here)
         self.anchor_hash = rolling(w.high, width, BASE_HIGH)[self.anchors]
 
@@ -44,11 +43,11 @@ class _Chunk:
     def candidates(self, repeated: np.ndarray) -> np.ndarray:
         """Starts of the windows over a repeated anchor; ``repeated`` goes with the sorted distinct anchors."""
         keys = np.unique(self.anchor_hash)
-        marks = np.zeros(len(self.whole) + 1, np.int64)
+        marks = np.zeros(len(self.whole) + 1, np.int32)
         marks[self.anchors + 1] = repeated[np.searchsorted(keys, self.anchor_hash)]
-        total = np.cumsum(marks)
-        ends = np.minimum(np.arange(len(self.whole)) + PERIOD, len(self.whole))
-        return np.flatnonzero(self.whole & (total[ends] > total[:-1]))
+        total = np.cumsum(marks, dtype=np.int32)
+        starts = np.flatnonzero(self.whole)
+        return starts[total[np.minimum(starts + PERIOD, len(self.whole))] > total[starts]]
 
     def second_round(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct (high, low) of the candidates, whether each stands twice here, and each start's number."""
@@ -150,10 +149,11 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         high, _, _, number = c.second_round(starts)
         gone = c.removed(starts[_answers(back, 2, high, buckets)[number]])
         n_words, n_removed, kept_text, digests = [], [], [], []
-        for text, words, s in zip(texts, c.words.words, c.words.starts[:-1], strict=True):
-            mask = gone[s:s + len(words)]
+        distinct = c.words.distinct
+        for number, text in enumerate(texts):
+            words, mask = c.words.of(number), gone[c.words.starts[number]:c.words.starts[number + 1]]
             lost = int(mask.sum())
-            kept = b" ".join(words if not lost else compress(words, ~mask))
+            kept = b" ".join([distinct[i] for i in (words[~mask] if lost else words).tolist()])
             n_words.append(len(words))
             n_removed.append(lost)
             kept_text.append(kept if lost else text)
