@@ -49,7 +49,7 @@ def _packed(numbers: np.ndarray, width: int) -> bytes:
 
 def _unpacked(packed: bytes, entries: int, width: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(packed, decompressed_size=width * entries, codec="zstd", asbytes=True), np.uint8)
-    return planes.reshape(width, entries).T.copy().view(f"<u{width}").ravel().astype(np.int64) - 1
+    return planes.reshape(width, entries).T.copy().view(f"<i{width}").ravel() - 1
 
 
 def _rows(held: dict[str, _Open], first: int) -> pa.RecordBatch:
@@ -100,110 +100,112 @@ def occurrences(docs: DataFrame, text_column: str = "text", lang_column: str = "
     return docs.select(lang.alias("lang"), utf8(text_column).alias("text")).mapInArrow(run, _OCCURRENCES)
 
 
+_FOUND = "chunk long, entries long, phrases binary, gid long, prefix long, last long, lang string, phrase string, count long"
+_FOUND_ARROW = pa.schema([("chunk", pa.int64()), ("entries", pa.int64()), ("phrases", pa.binary()), ("gid", pa.int64()), ("prefix", pa.int64()),
+                          ("last", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("count", pa.int64())])
+
+
 def _counted(rows: DataFrame, keys: list[str], min_count: int) -> DataFrame:
-    """The rows whose key counts ``min_count`` or more in all chunks, with a number ``gid`` of the key; one row of each key
-    is marked ``first`` and has its total and the columns that are not numbers (null elsewhere)."""
+    """The keys that count ``min_count`` or more in all chunks, each with a number of its own (``gid``): one row with its
+    count per key, and messages that tell each chunk the numbers of its surviving keys (``entries`` is not null)."""
     dealt = rows.repartition(*keys).withColumn("_row", F.monotonically_increasing_id())
     key = Window.partitionBy(*keys)
     found = dealt.withColumn("total", F.sum("n").over(key)).withColumn("gid", F.min("_row").over(key)).where(F.col("total") >= min_count)
     first = F.col("_row") == F.col("gid")
-    once = {c: F.when(first, F.col(c)) for c in ("total", "phrase", "lang") if c in found.columns}
-    return stored(found.withColumn("first", first).withColumns(once).drop("_row", "n"))
-
-
-def _sent(found: DataFrame, level: int) -> DataFrame:
-    """The surviving phrases of each chunk as messages: one per chunk and SENT_ROWS rows of a task, or task."""
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= SENT_ROWS:
-                yield packed(held)
-                held = []
-        if held:
-            yield packed(held)
-
-    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        chunk, *columns = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
-        order = np.argsort(chunk, kind="stable")
-        names, starts = np.unique(chunk[order], return_index=True)
-        ends = np.append(starts[1:], len(order))
-        columns = [c[order] for c in columns]
-        blobs = [b"".join([struct.pack("<q", len(p)) + p for p in (_packed(c[a:e], 8) for c in columns)]) for a, e in zip(starts, ends, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array([level] * len(names), pa.int32()), pa.array(ends - starts, pa.int64()),
-                                           pa.array(blobs, pa.binary())], ["chunk", "level", "entries", "phrases"])
-
-    return found.select("chunk", "prefix", "last", "gid").mapInArrow(run, "chunk long, level int, entries long, phrases binary")
+    texts = [F.when(first, F.col(c)).alias(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "phrase")]
+    found = found.select("chunk", F.col("prefix").cast("long").alias("prefix"), "last", "gid", *texts, F.when(first, F.col("total")).alias("count"))
+    return stored(found.mapInArrow(_outcome, _FOUND))
+
+
+def _outcome(batches):
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        once = pa.table(batch.filter(batch.column("count").is_valid()).columns, batch.schema.names)
+        yield from _full({c: once[c] for c in ("gid", "prefix", "last", "lang", "phrase", "count")}, len(once)).to_batches()
+        held.append(batch.select(["chunk", "prefix", "last", "gid"]))
+        size += batch.num_rows
+        if size >= SENT_ROWS:
+            yield from _messages(held).to_batches()
+            held, size = [], 0
+    if held:
+        yield from _messages(held).to_batches()
+
+
+def _full(columns: dict, rows: int) -> pa.Table:
+    """A table of all columns of an outcome, null where none is given."""
+    return pa.table([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in _FOUND_ARROW], schema=_FOUND_ARROW)
+
+
+def _messages(held: list[pa.RecordBatch]) -> pa.Table:
+    chunk, *columns = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+    order = np.argsort(chunk, kind="stable")
+    names, starts = np.unique(chunk[order], return_index=True)
+    ends = np.append(starts[1:], len(order))
+    blobs = []
+    for a, e in zip(starts, ends, strict=True):
+        packed = [_packed(c[order[a:e]], 8) for c in columns]
+        blobs.append(struct.pack("<3q", *map(len, packed)) + b"".join(packed))
+    return _full({"chunk": pa.array(names), "entries": pa.array(ends - starts, pa.int64()), "phrases": pa.array(blobs, pa.binary())}, len(names))
 
 
 def _received(right: pa.Table, length: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The messages to one chunk by level: (prefix, last, gid) of the phrases shorter than ``length``."""
     out: dict[int, list[list[np.ndarray]]] = {k: [[np.zeros(0, np.int64)] * 3] for k in range(1, length)}
     for level, entries, blob in zip(*(right.column(c).to_pylist() for c in ("level", "entries", "phrases")), strict=True):
-        at, columns = 0, []
-        for _ in range(3):
-            size, = struct.unpack_from("<q", blob, at)
-            columns.append(_unpacked(blob[at + 8:at + 8 + size], entries, 8))
-            at += 8 + size
+        at, columns = 24, []
+        for size in struct.unpack_from("<3q", blob):
+            columns.append(_unpacked(blob[at:at + size], entries, 8))
+            at += size
         out[level].append(columns)
     return {k: tuple(np.concatenate(c) for c in zip(*parts, strict=True)) for k, parts in out.items()}
 
 
-def _numbered(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers that are not -1, and at each place the rank among them or -1."""
-    distinct = np.unique(numbers[numbers >= 0])
-    return distinct, np.where(numbers >= 0, np.searchsorted(distinct, numbers), -1)
+def _extension(ids: np.ndarray, found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix, last, count) of the phrases of ``length`` words of a chunk whose two parts of one word less survived.
 
-
-def _lookup(keys: np.ndarray, values: np.ndarray, sought: np.ndarray) -> np.ndarray:
-    """The value of each sought key, or -1."""
-    if not len(keys):
-        return np.full(len(sought), -1, dtype=np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
-    return np.where(keys[at] == sought, values[at], -1)
-
-
-def _extension(prefix: np.ndarray, word: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Adjacent surviving phrases of ``length - 1`` words merged by place: places, their codes (rank of the phrase times the
-    number of words, plus rank of the last word), and the numbers behind the ranks of phrases and of words."""
-    phrases, a = _numbered(prefix)
-    words, b = _numbered(word)
-    n = max(len(word) - length + 1, 0)
-    places = np.flatnonzero((a[:n] >= 0) & (a[1:n + 1] >= 0))  # a break has no number, so both are in one piece
-    return places, a[places] * max(len(words), 1) + b[places + length - 1], phrases, words
-
-
-def _survivors(word: np.ndarray, found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> np.ndarray:
-    """At each place the number of the surviving phrase of ``length`` words that starts there, or -1."""
-    here = word
+    At each level the places of the surviving phrases are merged with themselves one place on; a phrase is the rank of
+    its first part times the number of surviving words, plus the rank of its last word. Breaks have no rank, so both
+    parts lie in one piece.
+    """
+    code, _, gid = found[1]
+    words = np.sort(gid)
+    rank = np.full(int(ids.max(initial=0)) + 2, -1, dtype=np.int32)  # the last entry is that of a break
+    rank[code] = np.searchsorted(words, gid)
+    last = rank[ids]
+    phrases, here, many = words, last, max(len(words), 1)
     for k in range(2, length + 1):
-        places, codes, phrases, words = _extension(here, word, k)
-        prefix, last, gid = found[k]
-        keys = np.searchsorted(phrases, prefix) * max(len(words), 1) + np.searchsorted(words, last)
-        here = np.full(len(word), -1, dtype=np.int64)
-        here[places] = _lookup(keys, gid, codes)
-    return here
+        n = max(len(last) - k + 1, 0)
+        places = np.flatnonzero((here[:n] >= 0) & (here[1:n + 1] >= 0))
+        codes = here[places].astype(np.int64) * many
+        codes += last[k - 1:][places]
+        if k == length:
+            break
+        prefix, end, gid = found[k]
+        keys = np.searchsorted(phrases, prefix) * many + np.searchsorted(words, end)
+        order = np.argsort(keys)
+        phrases = np.sort(gid)
+        here = np.full(len(last), -1, dtype=np.int32)
+        if len(keys):
+            keys, ranks = keys[order], np.searchsorted(phrases, gid)[order]
+            at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+            hit = keys[at] == codes
+            here[places[hit]] = ranks[at[hit]]
+    seen, counts = np.unique(codes, return_counts=True)
+    first, word = np.divmod(seen, many)
+    return phrases[first], words[word], counts
 
 
 def _extended(relation: DataFrame, survivors: DataFrame, length: int) -> DataFrame:
     """Counts of the phrases of ``length`` words per chunk: the relation semi-joined with all shorter survivors."""
     def run(key, left, right):
-        by_level = _received(right, length)
-        out = []
+        found = _received(right, length)
+        out = [pa.table([pa.array([], pa.int64())] * 4, names)]
         for ids, entries in zip(left.column("ids").to_pylist(), left.column("entries").to_pylist(), strict=True):
-            local = _unpacked(ids, entries, 4)
-            code, _, number = by_level[1]
-            numbers = np.full(int(local.max(initial=0)) + 2, -1, dtype=np.int64)  # the last entry is that of a break
-            numbers[code] = number
-            word = numbers[local]
-            _, codes, phrases, words = _extension(_survivors(word, by_level, length - 1), word, length)
-            found, counts = np.unique(codes, return_counts=True)
-            a, b = np.divmod(found, max(len(words), 1))
-            chunk = np.full(len(found), key[0].as_py(), dtype=np.int64)
-            out.append(pa.table([pa.array(c, pa.int64()) for c in (chunk, phrases[a], words[b], counts)], names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * 4, names)
+            columns = _extension(_unpacked(ids, entries, 4), found, length)
+            chunk = np.full(len(columns[0]), key[0].as_py(), dtype=np.int64)
+            out.append(pa.table([pa.array(c, pa.int64()) for c in (chunk, *columns)], names))
+        return pa.concat_tables(out)
 
     names = ["chunk", "prefix", "last", "n"]
     left = relation.select("chunk", "entries", "ids").groupBy("chunk")
@@ -222,20 +224,23 @@ def frequent(docs: DataFrame, max_words: int = 3, min_count: int = 10, text_colu
     relation = stored(occurrences(docs, text_column, lang_column, chunk_words))
     totals = relation.groupBy("lang").agg(F.sum("size").alias("n"))
     words = relation.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("prefix", "w"))
-    words = words.select("chunk", "lang", "prefix", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
+    words = words.select("chunk", "lang", "prefix", F.lit(0).cast("long").alias("last"), F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
     found = _counted(words, ["phrase", "lang"], min_count)
-    one = found.where("first").select("gid", "lang", "phrase", F.col("total").alias("count"))
-    survivors = _sent(found.select("chunk", F.col("prefix").cast("long").alias("prefix"), F.lit(0).cast("long").alias("last"), "gid"), 1)
-    phrases, shorter = one.select("lang", "phrase", F.lit(1).alias("n_words"), "count"), one
+    one = found.where("count is not null").select("gid", "lang", "phrase", "count")
+
+    def messages(level: int) -> DataFrame:
+        return found.where("entries is not null").select("chunk", F.lit(level).alias("level"), "entries", "phrases")
+
+    survivors, phrases, shorter = messages(1), one.select("lang", "phrase", F.lit(1).alias("n_words"), "count"), one
     for k in range(2, max_words + 1):
         # The language needs no place in the key: a word's number belongs to one language.
         found = _counted(_extended(relation, survivors, k), ["last", "prefix"], min_count)
         head = shorter.select(F.col("gid").alias("prefix"), "lang", F.col("phrase").alias("head"))
         tail = one.select(F.col("gid").alias("last"), F.col("phrase").alias("tail"))
-        shorter = stored(found.where("first").join(head, "prefix").join(tail, "last")
-                         .select("gid", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), F.col("total").alias("count")))
+        shorter = stored(found.where("count is not null").select("gid", "prefix", "last", "count").join(head, "prefix").join(tail, "last")
+                         .select("gid", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "count"))
         phrases = phrases.unionByName(shorter.select("lang", "phrase", F.lit(k).alias("n_words"), "count"))
-        survivors = survivors.unionByName(_sent(found, k))
+        survivors = survivors.unionByName(messages(k))
     return phrases, totals
 
 
