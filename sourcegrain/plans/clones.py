@@ -13,7 +13,7 @@ from sourcegrain.sources.corpus import spread, table
 WORD = r"[\p{L}\p{N}]+"
 
 
-SQL_WORDS = 25  # the SQL below leaves out shorter documents; the queries named _all have no such floor
+SQL_WORDS = 25  # floor of the queries that look at longer documents only; those named _all have none
 
 
 def doc_items(spark, sf_dir, min_words: int | None = None):
@@ -25,9 +25,9 @@ def doc_items(spark, sf_dir, min_words: int | None = None):
 
 
 # Brute force in SQL: every shingle pair, independent of the prefix filter.
-ITEMS = f"""items AS (SELECT doc_id AS id, w, len(w) AS n_tokens, list_distinct(list_transform(range(1, len(w) - 3),
- lambda i: array_to_string(w[i:i + 4], ' '))) AS sh FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w
- FROM documents) WHERE len(w) >= 25),
+ITEMS = f"""items AS (SELECT doc_id AS id, w, len(w) AS n_tokens, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
+ list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh
+ FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents) WHERE len(w) >= {SQL_WORDS}),
  keyed AS (SELECT *, md5(concat(n_tokens, ':', array_to_string(list_sort(sh), '|'))) AS k FROM items),
  grp AS (SELECT k, min(id) AS rep, count(*) AS n_copies FROM keyed GROUP BY k),
  reps AS (SELECT g.rep, g.n_copies, i.n_tokens, i.sh FROM grp g JOIN keyed i ON i.id = g.rep),
@@ -47,6 +47,9 @@ COMPONENTS = """reach AS (WITH RECURSIVE und AS (SELECT rep_a AS a, rep_b AS b F
  placed AS (SELECT k.id, g.rep, l.cluster FROM keyed k JOIN grp g USING (k) JOIN label l ON l.rep = g.rep JOIN clusters USING (cluster))"""
 
 
+ITEMS_ALL = ITEMS.replace(f"len(w) >= {SQL_WORDS}", "len(w) >= 1", 1)
+
+
 @query("word_shingles", "E3", "WITH " + ITEMS + " SELECT id, n_tokens::BIGINT AS n_tokens, len(sh) AS n_shingles FROM items")
 def word_shingles(spark, sf_dir):
     return doc_items(spark, sf_dir, SQL_WORDS).select("id", "n_tokens", F.size("shingles").alias("n_shingles"))
@@ -58,22 +61,22 @@ def similar_document_pairs(spark, sf_dir):
     return S.similar_pairs(reps).select("rep_a", "rep_b", F.round("score", 6).alias("score"))
 
 
-@query("similar_document_pairs_all", "E4 E5", None)
+@query("similar_document_pairs_all", "E4 E5", "WITH " + ITEMS_ALL + " SELECT rep_a, rep_b, round(score, 6) AS score FROM pairs")
 def similar_document_pairs_all(spark, sf_dir):
     reps, _ = S.collapse(doc_items(spark, sf_dir))
     return S.similar_pairs(reps).select("rep_a", "rep_b", F.round("score", 6).alias("score"))
 
 
-@query("document_clusters_all", "E6 E7", None)
+@query("document_clusters_all", "E6 E7", "WITH " + ITEMS_ALL + ", " + COMPONENTS +
+       " SELECT cluster, size, edges, round(similarity, 6) AS similarity FROM clusters")
 def document_clusters_all(spark, sf_dir):
     _, _, rows = doc_clusters(spark, sf_dir)
     return rows.select("cluster", "size", "edges", F.round("similarity", 6).alias("similarity"))
 
 
-@query("cluster_members_all", "E6", None)
+@query("cluster_members_all", "E6", "WITH " + ITEMS_ALL + ", " + COMPONENTS + " SELECT id, cluster FROM placed")
 def cluster_members_all(spark, sf_dir):
-    _, placed, _ = doc_clusters(spark, sf_dir)
-    return placed.select("id", "cluster")
+    return S.memberships(*S.collapse(doc_items(spark, sf_dir))).select("id", "cluster")
 
 
 def doc_clusters(spark, sf_dir, min_words: int | None = None):
@@ -93,8 +96,7 @@ def document_clusters(spark, sf_dir):
 
 @query("cluster_members", "E6", "WITH " + ITEMS + ", " + COMPONENTS + " SELECT id, cluster FROM placed")
 def cluster_members(spark, sf_dir):
-    _, placed, _ = doc_clusters(spark, sf_dir, SQL_WORDS)
-    return placed.select("id", "cluster")
+    return S.memberships(*S.collapse(doc_items(spark, sf_dir, SQL_WORDS))).select("id", "cluster")
 
 
 @query("cluster_anchor_pairs", "E11", "WITH " + ITEMS + ", " + COMPONENTS + """

@@ -148,6 +148,15 @@ def test_similarity_join_against_brute_force(spark):
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in names for b in names if a < b}
     want = {k: v for k, v in want.items() if v >= SIM.THRESHOLD}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and want
+    root = {n: n for n in names}
+    for _ in names:
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.rep: r.cluster for r in SIM.linked(reps).collect()} == root
+    sizes = [sum(root[rep_of[i]] == c for i in rep_of) for c in names]
+    placed = {r.id: r.cluster for r in SIM.memberships(reps, members).collect()}
+    assert placed == {i: root[r] for i, r in rep_of.items() if sizes[names.index(root[r])] >= 2}
+    assert SIM.linked(reps.limit(0)).collect() == []
 
 
 def test_short_documents_have_clones(spark, tmp_path):
