@@ -74,8 +74,33 @@ _BASE = ctes(DOCS, _PASSAGES, _QUERIES, PLAN, BM25)
 
 @query("bm25_candidates", "G2 G7", _BASE + " SELECT query_id, passage_id, round(score, 6) AS score FROM ranked")
 def bm25_candidates(spark, sf_dir):
-    index = S.postings(passages(spark, sf_dir).select("passage_id", "content", "path"))
-    return S.bm25(stored(index), S.plan(queries(spark, sf_dir))).select("query_id", "passage_id", F.round("score", 6).alias("score"))
+    index = S.build_index(passages(spark, sf_dir).select("passage_id", "content", "path"))
+    return S.bm25(index, S.plan(queries(spark, sf_dir))).select("query_id", "passage_id", F.round("score", 6).alias("score"))
+
+
+# Code and configuration passages; each question sees one repository or all, and one type of passage or all.
+_CODE_WINDOWS = windows_cte("code", "w", P.CODE_WINDOW, P.CODE_STEP, "kind = 'source'")
+_CONFIG_WINDOWS = windows_cte("code", "wc", P.CONFIG_WINDOW, P.CONFIG_WINDOW, "kind IN ('config', 'manifest')")
+_TYPED = """ps AS (SELECT *, concat_ws(':', repo_id, path, memory_type, lpad(line_start::VARCHAR, 8, '0')) AS passage_id FROM (
+  SELECT repo_id, path, 'code' AS memory_type, line_start, array_to_string(part, chr(10)) AS content FROM w
+  UNION ALL SELECT repo_id, path, 'config', line_start, array_to_string(part, chr(10)) FROM wc)),
+ sc AS (SELECT item_id AS query_id, CASE WHEN item_id % 7 <> 0 THEN (item_id % 5)::VARCHAR END AS repo, CASE item_id % 3 WHEN 0 THEN 'code' WHEN 1 THEN 'config' END AS type FROM benchmark)"""
+_SCOPED = BM25.replace("FROM qx JOIN part USING (term) GROUP BY", """FROM qx JOIN part USING (term) JOIN ps USING (passage_id) JOIN sc USING (query_id)
+  WHERE (sc.repo IS NULL OR sc.repo = ps.repo_id) AND (sc.type IS NULL OR sc.type = ps.memory_type) GROUP BY""")
+
+
+@query("scoped_search", "G2 G7", ctes(CODE, _CODE_WINDOWS, _CONFIG_WINDOWS, _TYPED, _QUERIES, PLAN, _SCOPED) + " SELECT query_id, passage_id, round(score, 6) AS score FROM ranked")
+def scoped_search(spark, sf_dir):
+    files = inputs.code(spark, sf_dir)
+    rows = P.windows(files.where("kind = 'source'")).unionByName(
+        P.windows(files.where("kind IN ('config', 'manifest')"), "config", P.CONFIG_WINDOW, P.CONFIG_WINDOW))
+    rows = rows.withColumn("passage_id", F.concat_ws(":", "repo_id", "path", "memory_type", F.lpad(F.col("line_start").cast("string"), 8, "0")))
+    index = S.build_index(rows.select("passage_id", "repo_id", "memory_type", "content", "path"))
+    item = F.col("item_id")
+    types = F.when(item % 3 == 0, F.array(F.lit("code"))).when(item % 3 == 1, F.array(F.lit("config")))
+    scope = table(spark, sf_dir, "benchmark").select(item.alias("query_id"), F.when(item % 7 != 0, (item % 5).cast("string")).alias("repo_id"), types.alias("memory_types"))
+    found = S.bm25(index, S.plan(queries(spark, sf_dir)), scope=scope)
+    return found.select("query_id", "passage_id", F.round("score", 6).alias("score"))
 
 
 _NEEDLES = """nd AS (SELECT query_id, term, n FROM (SELECT query_id, term, n FROM terms UNION ALL SELECT query_id, term, n + 1000 FROM expanded)),
@@ -118,7 +143,7 @@ BOOST = f"""ids AS (SELECT query_id, x AS ident FROM qw WHERE {_CMP}), bst AS (S
 def _boosted(spark, sf_dir):
     ps = stored(passages(spark, sf_dir).select("passage_id", "repo_id", "path", "content", "symbol", "memory_type", "line_start", "line_end"))
     plans = S.plan(queries(spark, sf_dir))
-    return S.boost(S.bm25(stored(S.postings(ps.drop("symbol"))), plans), ps, plans)
+    return S.boost(S.bm25(S.build_index(ps.drop("symbol")), plans), ps, plans)
 
 
 @query("boosted_scores", "G5", _BASE + ", " + BOOST + " SELECT query_id, passage_id, round(final, 6) AS score FROM boosted")

@@ -49,14 +49,31 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _shared_path(spark: SparkSession) -> str:
+    """A new path below the shared folder that goes when the application ends."""
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def bucketed(df: DataFrame, columns: list[str], order: list[str], buckets: int | None = None) -> DataFrame:
+    """Like ``stored``, as a table bucketed by ``columns`` and sorted within its buckets: joins on all of ``columns`` read
+    it without a shuffle. ``buckets`` defaults to the session's number of shuffle partitions."""
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"sourcegrain_{uuid.uuid4().hex}"
+    (df.repartition(count, *columns).write.bucketBy(count, *columns).sortBy(*order).format("parquet")
+     .option("path", _shared_path(spark)).saveAsTable(name))
+    return spark.table(name)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     For results that several branches of a job use: computed once, safe against lost executors, and
     later reads still prune columns and push filters down. The table goes when the application ends.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = _shared_path(df.sparkSession)
     df.write.parquet(path)
-    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return df.sparkSession.read.schema(df.schema).parquet(path)

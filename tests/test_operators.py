@@ -1,8 +1,12 @@
 """Operators on small literal fixtures, against expected values or brute force."""
 
+import collections
 import hashlib
+import math
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from sourcegrain.functions import text as tx
@@ -201,3 +205,49 @@ def test_containing_against_brute_force(spark):
     ns = spark.createDataFrame([(n,) for n in needles], "needle string")
     got = {(r.needle, int(r.passage_id)) for r in S.containing(ps, ns, lower=False).collect()}
     assert got == {(n, i) for n in needles for i, t in enumerate(texts) if n in t}
+
+
+def _plain_bm25(passages, queries, limit, scope):
+    """(query, passage): score by the formula, every term against every token."""
+    tokens = {p: [(t, 1.0) for t in re.findall(r"[a-z0-9]+", c.lower())] + [(t, 3.0) for t in re.findall(r"[a-z0-9]+", path)] for p, path, c, _, _ in passages}
+    tokens = {p: t for p, t in tokens.items() if t}
+    mean = sum(map(len, tokens.values())) / len(tokens)
+    out = {}
+    for q, terms in queries.items():
+        scores = collections.Counter()
+        for term in terms:
+            tf = {p: sum(w for t, w in ts if (t.startswith(term) if len(term) >= 3 else t == term)) for p, ts in tokens.items()}
+            tf = {p: f for p, f in tf.items() if f}
+            idf = math.log((len(tokens) - len(tf) + 0.5) / (len(tf) + 0.5))
+            for p, f in tf.items():
+                scores[p] += (idf if idf > 0 else 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(tokens[p]) / mean))
+        seen = {p for p, _, _, repo, kind in passages if q not in scope or (scope[q][0] in (None, repo) and (scope[q][1] is None or kind in scope[q][1]))}
+        best = sorted((-round(s, 9), p, s) for p, s in scores.items() if p in seen)[:limit]
+        out |= {(q, p): s for _, p, s in best}
+    return out
+
+
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_index_search_against_plain_scores(spark, limit):
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in ("alpha", "alp", "beta", "be", "gam", "gamma") for b in ("", "x", "xy", "1")] + ["tail"]
+    passages = [(f"p{i:03d}", "src/mod.py" if i % 5 else "zeta/alpha.py", " ".join(rng.choices(words, k=rng.randint(0, 30)) + ["shared"] * (i % 4 > 0)), f"r{i % 3}", "code" if i % 2 else "doc")
+                for i in range(90)] + [("p900", "", "...", "r0", "doc")]
+    asked = {1: "alpha shared", 2: "shared src", 3: "gamma tail be", 4: "zeta shared", 5: "nothing", 6: "alp beta shared src mod", 7: "shared"}
+    scope = {2: ("r1", None), 3: (None, ["doc"]), 6: ("r2", ["code"]), 5: ("r9", None)}
+    rows = spark.createDataFrame([(*p, 1) for p in passages], "passage_id string, path string, content string, repo_id string, memory_type string, dl int").drop("dl")
+    index = S.build_index(rows)
+    plans = S.plan(spark.createDataFrame(list(asked.items()), "query_id long, text string"))
+    limits = spark.createDataFrame([(q, *x) for q, x in scope.items()], "query_id long, repo_id string, memory_types array<string>")
+    terms = {q: {t for t in r.terms + r.expanded} for q, r in ((r.query_id, r) for r in plans.collect())}
+    got = {(r.query_id, r.passage_id): r.score for r in S.bm25(index, plans, limit, limits).collect()}
+    want = _plain_bm25(passages, terms, limit, scope)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 10
+    every = {(r.query_id, r.passage_id) for r in S.bm25(index, plans, None, limits).collect()}
+    assert every == _plain_bm25(passages, terms, None, scope).keys()
+
+
+def test_index_of_nothing(spark):
+    rows = spark.createDataFrame([("a", "", None)], "passage_id string, path string, content string")
+    plans = S.plan(spark.createDataFrame([(1, "alpha"), (2, None), (3, "")], "query_id long, text string"))
+    assert S.bm25(S.build_index(rows), plans).collect() == []
