@@ -201,22 +201,43 @@ _WORDS = (r"list_distinct(list_transform(regexp_extract_all(regexp_replace(repla
           r"'[A-Z]?[a-z]+|[A-Z]+|\d+'), lambda p: lower(p)))")
 
 
-@query("cluster_titles", "E8", CODE_CLUSTERS + f""", mw AS (SELECT p.cluster, p.id, {_WORDS} AS words FROM placed p JOIN items i ON i.id = p.id),
+_TITLES = CODE_CLUSTERS + f""", mw AS (SELECT p.cluster, p.id, {_WORDS} AS words FROM placed p JOIN items i ON i.id = p.id),
  fl AS (SELECT cluster, count(*) AS size, bool_and(list_has_any(words, {list(FC.VALIDATION_WORDS)})) AS v, bool_and(list_has_any(words, {list(FC.REQUEST_WORDS)})) AS r,
   bool_or(list_has_any(words, {list(FC.SENSITIVE_WORDS)})) AS sensitive FROM mw GROUP BY 1),
  wc AS (SELECT cluster, w, count(*) AS n FROM (SELECT cluster, unnest(words) AS w FROM mw) GROUP BY 1, 2),
  nn AS (SELECT wc.cluster, min(w) AS noun FROM wc JOIN fl USING (cluster) WHERE n = size AND w NOT IN {_list(FC.NAME_STOPWORDS)} AND length(w) > 2 GROUP BY 1),
- pp AS (SELECT fl.*, noun, CASE WHEN v THEN 'validation' WHEN r THEN 'request helper' ELSE 'logic' END AS purpose FROM fl LEFT JOIN nn USING (cluster))
- SELECT cluster, purpose, sensitive, concat(CASE WHEN noun IS NOT NULL THEN concat(upper(noun[1]), substr(noun, 2), ' ', purpose)
-  WHEN purpose = 'request helper' THEN 'API request helper' ELSE concat('Similar ', purpose) END, ' duplicated in ', size, ' places') AS title FROM pp""")
+ pp AS (SELECT fl.*, noun, CASE WHEN v THEN 'validation' WHEN r THEN 'request helper' ELSE 'logic' END AS purpose FROM fl LEFT JOIN nn USING (cluster)),
+ tt AS (SELECT cluster, purpose, sensitive, concat(CASE WHEN noun IS NOT NULL THEN concat(upper(noun[1]), substr(noun, 2), ' ', purpose)
+  WHEN purpose = 'request helper' THEN 'API request helper' ELSE concat('Similar ', purpose) END, ' duplicated in ', size, ' places') AS title FROM pp)"""
+
+
+@query("cluster_titles", "E8", _TITLES + " SELECT cluster, purpose, sensitive, title FROM tt")
 def cluster_titles(spark, sf_dir):
     items, placed, _ = code_clusters(spark, sf_dir)
     return FC.describe(placed, items).select("cluster", "purpose", "sensitive", "title")
 
 
-@query("canonical_copies", "E9", CODE_CLUSTERS + ", " + JS_EXPORTS + """ SELECT cluster, id, exported FROM (SELECT p.cluster, p.id, e.name IS NOT NULL AS exported,
+@query("function_findings", "E13", _TITLES + """ SELECT cluster, title, CASE WHEN size >= 3 OR sensitive THEN 'medium' ELSE 'low' END AS severity, sensitive,
+ round(least(0.97, 0.55 + similarity * 0.4), 6) AS confidence, i.path, i.name AS symbol, i.line_start, size AS copies
+ FROM tt JOIN clusters USING (cluster) JOIN items i ON i.id = cluster""")
+def function_findings(spark, sf_dir):
+    items, placed, rows = code_clusters(spark, sf_dir)
+    return FC.cluster_findings(placed, rows, items).withColumn("confidence", F.round("confidence", 6))
+
+
+_CANONICAL = CODE_CLUSTERS + ", " + JS_EXPORTS + """, cc AS (SELECT cluster, id, exported FROM (SELECT p.cluster, p.id, e.name IS NOT NULL AS exported,
  row_number() OVER (PARTITION BY cluster ORDER BY e.name IS NULL, i.path, p.id) AS rn FROM placed p JOIN items i ON i.id = p.id
- LEFT JOIN exported e ON e.repo_id = i.repo_id AND e.path = i.path AND e.name = i.name WHERE i.path LIKE 'utils/%' OR i.path LIKE 'lib/%') WHERE rn = 1""")
+ LEFT JOIN exported e ON e.repo_id = i.repo_id AND e.path = i.path AND e.name = i.name WHERE i.path LIKE 'utils/%' OR i.path LIKE 'lib/%') WHERE rn = 1)"""
+
+
+@query("function_duplicate_metrics", "E14", _CANONICAL + """ SELECT (SELECT count(*) FROM clusters) AS clusters, count(*) AS compared,
+ (count(*) * (count(*) - 1) // 2)::BIGINT AS comparisons, (SELECT count(*) FROM cc) AS reuse_existing FROM items""")
+def function_duplicate_metrics(spark, sf_dir):
+    items, placed, rows = code_clusters(spark, sf_dir)
+    return FC.duplicate_metrics(placed, rows, items)
+
+
+@query("canonical_copies", "E9", _CANONICAL + " SELECT cluster, id, exported FROM cc")
 def canonical_copies(spark, sf_dir):
     items, placed, _ = code_clusters(spark, sf_dir)
     return FC.canonical(placed, items).select("cluster", "id", "exported")

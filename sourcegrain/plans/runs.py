@@ -27,9 +27,9 @@ def shape(e):
                     i.alias("id"))
 
 
-@query("timeline_last_entries", "S2", f"""WITH {_TL} SELECT repo_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, event_id DESC) AS n FROM tl) WHERE n <= 50""")
+@query("timeline_last_entries", "S2", f"""WITH {_TL} SELECT repo_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, event_id DESC) AS n FROM tl) WHERE n <= {S.TIMELINE_MAX}""")
 def timeline_last_entries(spark, sf_dir):
-    return S.last_entries(timeline(spark, sf_dir), 50).select("repo_id", "event_id")
+    return S.last_entries(timeline(spark, sf_dir)).select("repo_id", "event_id")
 
 
 @query("latest_runs", "S3", f"""WITH {_TL} SELECT repo_id, analysis_no, agent, max(event_id) AS id, max_by(status, event_id) AS status FROM tl GROUP BY 1, 2, 3""")
