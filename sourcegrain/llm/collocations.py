@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sourcegrain.llm.common import utf8
 from sourcegrain.session import stored
