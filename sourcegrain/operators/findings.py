@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcegrain.functions import text as tx
@@ -29,13 +29,13 @@ def filter_claims(claims: DataFrame, files: DataFrame) -> tuple[DataFrame, DataF
     return anchored.where(~bad), anchored.where(bad)
 
 
-def filter_locations(claims: DataFrame, locations: DataFrame, files: DataFrame) -> DataFrame:
-    """Claims whose located copies still hold: a claim with locations needs two verified ones."""
+def filter_locations(claims: DataFrame, locations: DataFrame, files: DataFrame, keep_counts: bool = False) -> DataFrame:
+    """Claims whose located copies still hold: a claim with locations needs two verified ones (``kept``, on request)."""
     good = anchor(locations, files).where(~F.col("status").isin(list(REJECTED)))
     kept = good.groupBy("claim_id").agg(F.count("*").alias("kept"))
     had = locations.groupBy("claim_id").agg(F.count("*").alias("had"))
     return (claims.join(had, "claim_id", "left").join(kept, "claim_id", "left")
-            .where(F.col("had").isNull() | (F.coalesce("kept", F.lit(0)) >= 2)).drop("had", "kept"))
+            .where(F.col("had").isNull() | (F.coalesce("kept", F.lit(0)) >= 2)).drop("had", *([] if keep_counts else ["kept"])))
 
 
 def merge_claims(claims: DataFrame) -> DataFrame:
@@ -105,15 +105,53 @@ def number_findings(findings: DataFrame, with_category: bool = True) -> DataFram
     return number_rows(findings, order, "number", per="repo_id")
 
 
-def lifecycle(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Each fingerprint of two analyses as resolved, new or unchanged; first analyses have no new ones."""
-    old = previous.groupBy("repo_id", "fingerprint").agg(F.max_by("title", "analysis_order").alias("old_title"))
+def from_hits(hits: DataFrame) -> DataFrame:
+    """Findings of rule hits (repo_id, path, line_no, text, sha256 and the columns of a scan): one per hit, with its
+    fingerprint and the hash of its line, so that no content has to be fetched to cite it."""
+    rows = hits.select("repo_id", F.lit("security").alias("category"), "path", F.col("line_no").alias("line"), "rule_id", "rule_order", "title",
+                       "severity", "confidence", "evidence", F.sha2(tx.rstrip(F.col("text")), 256).alias("evidence_sha256"),
+                       F.col("sha256").alias("file_sha256"))
+    return rows.withColumn("fingerprint", fingerprint(F.col("category"), F.col("rule_id"), F.col("path"), F.col("evidence")))
+
+
+def number_occurrences(findings: DataFrame) -> DataFrame:
+    """Add ``occurrence``: the place, from 1, of a finding among those of its fingerprint, in line order.
+
+    The window's keys hold the path, so a group is never larger than the findings of one file.
+    """
+    w = Window.partitionBy("repo_id", "path", "fingerprint").orderBy("line", "rule_order")
+    return findings.withColumn("occurrence", F.row_number().over(w))
+
+
+def _states(old: DataFrame, now: DataFrame, key: list[str]) -> DataFrame:
+    """Outer join of both sides on ``key`` with ``state``; old holds old_title, now holds title."""
     had = old.select("repo_id").distinct().withColumn("_had", F.lit(True))
-    now = current.select("repo_id", "fingerprint", "title")
-    both = old.join(now, ["repo_id", "fingerprint"], "full_outer").join(had, "repo_id", "left")
+    both = old.join(now, key, "full_outer").join(had, "repo_id", "left")
     state = (F.when(F.col("title").isNull(), "resolved").when(F.col("_had").isNull(), "first")
              .when(F.col("old_title").isNull(), "new").otherwise("unchanged"))
-    return both.select("repo_id", "fingerprint", F.coalesce("title", "old_title").alias("title"), state.alias("state"))
+    return both.withColumn("state", state).withColumn("title", F.coalesce("title", "old_title")).drop("_had", "old_title")
+
+
+def lifecycle(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Each fingerprint of two analyses as resolved, new or unchanged; first analyses have no new ones.
+
+    Every current finding is a row; equal earlier ones count once, under their last title by analysis_order.
+    """
+    old = previous.groupBy("repo_id", "fingerprint").agg(F.max_by("title", "analysis_order").alias("old_title"))
+    states = _states(old, current.select("repo_id", "fingerprint", "title"), ["repo_id", "fingerprint"])
+    return states.select("repo_id", "fingerprint", "title", "state")
+
+
+def occurrence_lifecycle(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Findings of two analyses matched one to one: the n-th of a fingerprint with the n-th, in line order.
+
+    A file that holds a finding twice and later once has one unchanged and one resolved row; ``old_line`` and ``line``
+    tell where each side stands, one of them null where that side has no such finding.
+    """
+    key = ["repo_id", "path", "fingerprint", "occurrence"]
+    old = number_occurrences(previous).select(*key, F.col("title").alias("old_title"), F.col("line").alias("old_line"))
+    now = number_occurrences(current).select(*key, "title", "line")
+    return _states(old, now, key).select(*key, "title", "old_line", "line", "state")
 
 
 def lifecycle_counts(states: DataFrame) -> DataFrame:

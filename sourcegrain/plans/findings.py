@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sourcegrain.functions import text as tx
 from sourcegrain.operators import findings as K
 from sourcegrain.operators import verify as V
+from sourcegrain.operators.rules import scan
 from sourcegrain.plans import inputs
-from sourcegrain.plans.oracle import DOCS, NEXT_DOCS, ctes
+from sourcegrain.plans.oracle import CODE, SNAPSHOTS, ctes
 from sourcegrain.plans.registry import query
-from sourcegrain.plans.rules import CODE_CLAIMS, code_claims
+from sourcegrain.plans.rules import CODE_CLAIMS, claims_cte, code_claims
 from sourcegrain.session import stored
+from sourcegrain.sources.corpus import explode_lines
 
 # Three detectors report on the code corpus: the rules, a reviewer without families, a reviewer with another family.
 DETECTED = """d AS (SELECT repo_id, 'security' AS category, path, line_no AS line, line_no AS line_end, family, severity, title, rule_id,
@@ -112,67 +115,84 @@ def number_findings(spark, sf_dir):
     return K.number_findings(code_findings(spark, sf_dir)).select("repo_id", "finding_id", "number")
 
 
-@query("insight_rows", "K6", _IDENT + """ SELECT repo_id, 'finding' AS memory_type, concat('Security finding (', severity, '): ', title, ' at ', path, ':', line, '.') AS content
- FROM ident""")
-def insight_rows(spark, sf_dir):
-    f = crosschecked(spark, sf_dir)[3]
-    none = f.where("false").select("repo_id", "title", F.lit("resolved").alias("state"))
-    return K.insight_rows(f, none)
+# Rule findings of all lines of both corpora, in both snapshots.
+def _findings_sql(name, lines):
+    hits = claims_cte(lines, f"{name}_hits")
+    return f"""{hits}, {name} AS (SELECT h.*, line_no AS line, l.line AS text, l.sha256, {_FP} AS fingerprint,
+ row_number() OVER (PARTITION BY repo_id, path, {_FP} ORDER BY line_no, rule_order) AS occurrence
+ FROM (SELECT *, 'security' AS category FROM {name}_hits) h JOIN {lines} l USING (repo_id, path, line_no))"""
 
 
-# One finding per document on its first line; the second snapshot resolves, renews or keeps it.
-_DOC_FINDINGS = """{name} AS (SELECT repo_id, 'security' AS category, path, 1 AS line, concat('rule-', doc_id % 9) AS rule_id, lines[1] AS evidence,
- CASE doc_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS severity, doc_id,
- left(sha256(concat_ws('|', 'security', 'rule-N', path, lower(trim(regexp_replace(lines[1], '\\s+', ' ', 'g'))))), 16) AS fingerprint FROM {source} WHERE len(lines) > 0)"""
-OLD_F = _DOC_FINDINGS.format(name="old_f", source="docs")
-NEW_F = _DOC_FINDINGS.format(name="new_f", source="next_docs")
+def snapshot_findings(files):
+    """Findings of the whole-text scan of ``files``, with the hash of each line cited. No shuffle."""
+    lines = explode_lines(files, "repo_id", "path", "kind", "language", "sha256").withColumn("text", F.col("line"))
+    return K.from_hits(scan(lines))
 
 
-def doc_findings(files):
-    rule = F.concat(F.lit("rule-"), (F.col("doc_id") % 9).cast("string"))
-    m = F.col("doc_id") % 4
-    rows = files.where(F.size("lines") > 0).select(
-        "repo_id", F.lit("security").alias("category"), "path", F.lit(1).alias("line"), rule.alias("rule_id"), rule.alias("title"),
-        F.element_at("lines", 1).alias("evidence"), F.when(m == 0, "high").when(m == 1, "low").otherwise("medium").alias("severity"), "doc_id", "sha256")
-    return rows.withColumn("fingerprint", K.fingerprint(F.col("category"), F.col("rule_id"), F.col("path"), F.col("evidence")))
+def both_findings(spark, sf_dir):
+    """Stored findings of the first snapshot, those of the second one, and the files of the second."""
+    before, after = inputs.snapshots(spark, sf_dir)
+    old = stored(snapshot_findings(before).withColumn("analysis_order", F.struct("line", "rule_order")))
+    return old, snapshot_findings(after), after
 
 
 def _states(spark, sf_dir):
-    old = doc_findings(inputs.docs(spark, sf_dir)).withColumn("analysis_order", F.col("doc_id"))
-    return K.lifecycle(old, doc_findings(inputs.next_docs(spark, sf_dir)))
+    old, new, _ = both_findings(spark, sf_dir)
+    return K.lifecycle(old, new)
 
 
-_STATES = ctes(DOCS, NEXT_DOCS, OLD_F, NEW_F) + """, st AS (SELECT repo_id, fingerprint, 'resolved' AS state FROM old_f WHERE fingerprint NOT IN (SELECT fingerprint FROM new_f)
- UNION ALL SELECT repo_id, fingerprint, CASE WHEN fingerprint IN (SELECT fingerprint FROM old_f) THEN 'unchanged' ELSE 'new' END FROM new_f)"""
+_BOTH = ctes(SNAPSHOTS, _findings_sql("old_f", "old_lines"), _findings_sql("new_f", "new_lines"))
+_STATES = """st AS (SELECT repo_id, fingerprint, max_by(title, line * 1000 + rule_order) AS title, 'resolved' AS state FROM old_f
+  WHERE fingerprint NOT IN (SELECT fingerprint FROM new_f) GROUP BY 1, 2
+ UNION ALL SELECT repo_id, fingerprint, title, CASE WHEN repo_id NOT IN (SELECT repo_id FROM old_f) THEN 'first'
+  WHEN fingerprint IN (SELECT fingerprint FROM old_f) THEN 'unchanged' ELSE 'new' END FROM new_f)"""
 
 
-@query("finding_lifecycle", "K4", _STATES + " SELECT * FROM st")
+@query("finding_lifecycle", "K4", _BOTH + ", " + _STATES + " SELECT repo_id, fingerprint, state FROM st")
 def finding_lifecycle(spark, sf_dir):
     return _states(spark, sf_dir).select("repo_id", "fingerprint", "state")
 
 
-@query("lifecycle_counts", "K4", _STATES + """ SELECT repo_id, count(*) FILTER (WHERE state = 'resolved') AS resolved, count(*) FILTER (WHERE state = 'new') AS "new",
- count(*) FILTER (WHERE state = 'unchanged') AS unchanged, 0::BIGINT AS "first" FROM st GROUP BY 1""")
+@query("lifecycle_counts", "K4", _BOTH + ", " + _STATES + """ SELECT repo_id, count(*) FILTER (WHERE state = 'resolved') AS resolved, count(*) FILTER (WHERE state = 'new') AS "new",
+ count(*) FILTER (WHERE state = 'unchanged') AS unchanged, count(*) FILTER (WHERE state = 'first') AS "first" FROM st GROUP BY 1""")
 def lifecycle_counts(spark, sf_dir):
     return K.lifecycle_counts(_states(spark, sf_dir))
 
 
+@query("finding_occurrences", "K4", _BOTH + """ SELECT coalesce(o.repo_id, n.repo_id) AS repo_id, coalesce(o.path, n.path) AS path,
+ coalesce(o.fingerprint, n.fingerprint) AS fingerprint, coalesce(o.occurrence, n.occurrence) AS occurrence, o.line AS old_line, n.line,
+ CASE WHEN n.path IS NULL THEN 'resolved' WHEN coalesce(o.repo_id, n.repo_id) NOT IN (SELECT repo_id FROM old_f) THEN 'first'
+  WHEN o.path IS NULL THEN 'new' ELSE 'unchanged' END AS state
+ FROM old_f o FULL JOIN new_f n ON o.repo_id = n.repo_id AND o.path = n.path AND o.fingerprint = n.fingerprint AND o.occurrence = n.occurrence""")
+def finding_occurrences(spark, sf_dir):
+    """Equal findings of one file, matched one to one across the snapshots."""
+    old, new, _ = both_findings(spark, sf_dir)
+    return K.occurrence_lifecycle(old, new).drop("title")
+
+
+@query("insight_rows", "K6", _IDENT + ", " + _BOTH.removeprefix("WITH ").replace(CODE + ",", "") + ", " + _STATES + """ SELECT repo_id, 'finding' AS memory_type,
+ concat('Security finding (', severity, '): ', title, ' at ', path, ':', line, '.') AS content FROM ident
+ UNION ALL SELECT repo_id, 'history', concat('Resolved since the previous analysis: ', title, '.') FROM st WHERE state = 'resolved'""")
+def insight_rows(spark, sf_dir):
+    return K.insight_rows(crosschecked(spark, sf_dir)[3], _states(spark, sf_dir))
+
+
 def _checked(spark, sf_dir):
-    f = doc_findings(inputs.docs(spark, sf_dir))
-    cites = f.select("repo_id", "path", "category", "severity", "doc_id", F.col("line").alias("line_start"), F.lit(1).alias("line_end"),
-                     F.sha2(F.regexp_replace("evidence", r"\s+$", ""), 256).alias("evidence_sha256"), F.col("sha256").alias("file_sha256"))
-    return V.verify(cites, inputs.next_docs(spark, sf_dir))
+    old, _, after = both_findings(spark, sf_dir)
+    return V.verify(old.withColumnRenamed("line", "line_start").withColumn("line_end", F.col("line_start")), after)
 
 
-_CHECKED = ctes(DOCS, NEXT_DOCS, OLD_F) + r""", ck AS (SELECT o.*, CASE WHEN n.path IS NULL THEN 'missing'
- WHEN regexp_replace(o.evidence, '\s+$', '') <> regexp_replace(n.lines[1], '\s+$', '') THEN 'stale' ELSE 'verified' END AS status
- FROM old_f o LEFT JOIN next_docs n USING (repo_id, path))"""
+_CHECKED = ctes(SNAPSHOTS, _findings_sql("old_f", "old_lines")) + r""", ck AS (SELECT o.*, CASE WHEN f.path IS NULL THEN 'missing'
+ WHEN n.line IS NULL OR regexp_replace(o.text, '\s+$', '') <> regexp_replace(n.line, '\s+$', '') THEN 'stale' ELSE 'verified' END AS status
+ FROM old_f o LEFT JOIN new_files f USING (repo_id, path) LEFT JOIN new_lines n ON n.repo_id = o.repo_id AND n.path = o.path AND n.line_no = o.line)"""
 
 
-@query("repository_metrics", "K7", _CHECKED + """ SELECT repo_id, (SELECT count(*) FROM docs d WHERE d.repo_id = ck.repo_id) AS files, count(*) AS security, 0::BIGINT AS duplicate,
- count(*) FILTER (WHERE status = 'verified') AS verified, count(*) FILTER (WHERE status = 'stale') AS stale, count(*) AS total FROM ck GROUP BY repo_id""")
+@query("repository_metrics", "K7", _CHECKED + """ SELECT f.repo_id, f.files, coalesce(c.total, 0) AS security, 0::BIGINT AS duplicate, coalesce(c.verified, 0) AS verified,
+ coalesce(c.stale, 0) AS stale, coalesce(c.total, 0) AS total FROM (SELECT repo_id, count(*) AS files FROM old_files GROUP BY 1) f
+ LEFT JOIN (SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE status = 'verified') AS verified, count(*) FILTER (WHERE status = 'stale') AS stale
+  FROM ck GROUP BY 1) c USING (repo_id)""")
 def repository_metrics(spark, sf_dir):
-    return K.repository_metrics(_checked(spark, sf_dir), inputs.docs(spark, sf_dir))
+    return K.repository_metrics(_checked(spark, sf_dir), inputs.snapshots(spark, sf_dir)[0])
 
 
 @query("verification_breakdown", "K9", _CHECKED + """ SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE status = 'verified') AS verified,
@@ -181,17 +201,31 @@ def verification_breakdown(spark, sf_dir):
     return K.verification_breakdown(_checked(spark, sf_dir))
 
 
-@query("finding_list_filter", "K8", _CHECKED + " SELECT repo_id, path, status FROM ck WHERE status <> 'verified' AND severity = 'high'")
+@query("finding_list_filter", "K8", _CHECKED + " SELECT repo_id, path, line, rule_id, status FROM ck WHERE status <> 'verified' AND severity = 'high'")
 def finding_list_filter(spark, sf_dir):
-    return K.visible(_checked(spark, sf_dir), "security", "stale", "high").select("repo_id", "path", "status")
+    rows = K.visible(_checked(spark, sf_dir), "security", "stale", "high")
+    return rows.select("repo_id", "path", F.col("line_start").alias("line"), "rule_id", "status")
+
+
+# Findings of one rule with the same evidence in several places of a repository are one claim with locations.
+_CLAIM_ID = r"""left(sha256(concat_ws('|', repo_id, rule_id, trim(regexp_replace(evidence, '\s+', ' ', 'g')))), 16)"""
+_SQUASHED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_PARTS = ("string_split(regexp_replace(" + _SQUASHED.format("evidence") + ", '…$', ''), '[REDACTED]')")
+_LIKE = ("concat('%', array_to_string(list_filter(list_transform(" + _PARTS
+         + r", lambda x: trim(replace(replace(replace(x, '\', '\\'), '%', '\%'), '_', '\_'))), lambda x: x <> ''), '%'), '%')")
 
 
-@query("located_claims", "J1", ctes(DOCS, NEXT_DOCS, OLD_F) + r""", loc AS (SELECT (o.doc_id // 3)::BIGINT AS claim_id, o.repo_id, o.path,
- n.path IS NOT NULL AND (strpos(trim(regexp_replace(n.lines[1], '\s+', ' ', 'g')), trim(regexp_replace(o.evidence, '\s+', ' ', 'g'))) > 0
-  OR (length(trim(regexp_replace(o.evidence, '\s+', ' ', 'g'))) >= 6 AND len(list_filter(n.lines, lambda x: strpos(trim(regexp_replace(x, '\s+', ' ', 'g')),
-   trim(regexp_replace(o.evidence, '\s+', ' ', 'g'))) > 0)) > 0)) AS ok FROM old_f o LEFT JOIN next_docs n USING (repo_id, path))
- SELECT claim_id FROM loc GROUP BY 1 HAVING count(*) FILTER (WHERE ok) >= 2""")
+@query("located_claims", "J1", ctes(SNAPSHOTS, _findings_sql("old_f", "old_lines")) + f""", loc AS (SELECT {_CLAIM_ID} AS claim_id, repo_id, path, line, {_LIKE} AS pat,
+ length({_SQUASHED.format('evidence')}) >= 6 AS may_move FROM old_f),
+ sq AS (SELECT repo_id, path, line_no, {_SQUASHED.format('line')} AS line FROM new_lines WHERE (repo_id, path) IN (SELECT (repo_id, path) FROM old_f)),
+ ok AS (SELECT l.claim_id, l.path, l.line, l.pat, bool_or(s.line_no IS NOT NULL AND (l.may_move OR s.line_no = l.line)) AS ok
+  FROM loc l LEFT JOIN sq s ON s.repo_id = l.repo_id AND s.path = l.path AND s.line LIKE l.pat ESCAPE '\\' GROUP BY ALL)
+ SELECT claim_id, count(*) AS locations, count(*) FILTER (WHERE ok) AS kept FROM ok GROUP BY 1 HAVING count(*) FILTER (WHERE ok) >= 2""")
 def located_claims(spark, sf_dir):
-    loc = doc_findings(inputs.docs(spark, sf_dir)).select(F.floor(F.col("doc_id") / 3).alias("claim_id"), "repo_id", "path", "line",
-                                                          F.lit(None).cast("int").alias("line_end"), "evidence", F.lit(None).cast("string").alias("indexed_sha256"))
-    return K.filter_locations(loc.select("claim_id").distinct(), loc, inputs.next_docs(spark, sf_dir))
+    """Claims of the first snapshot of which at least two locations still hold in the second."""
+    old, _, after = both_findings(spark, sf_dir)
+    named = F.substring(F.sha2(F.concat_ws("|", "repo_id", "rule_id", tx.squash(F.col("evidence"))), 256), 1, 16)
+    loc = stored(old.select(named.alias("claim_id"), "repo_id", "path", "line", F.lit(None).cast("int").alias("line_end"), "evidence",
+                            F.lit(None).cast("string").alias("indexed_sha256")))
+    claims = loc.groupBy("claim_id").agg(F.count("*").alias("locations"))
+    return K.filter_locations(claims, loc, after, keep_counts=True).select("claim_id", "locations", "kept")

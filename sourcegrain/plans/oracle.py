@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sourcegrain.sources.corpus import DOCUMENT_SQL, NEXT_DOCUMENT_SQL, code_sql
+from sourcegrain.sources.corpus import DOCUMENT_SQL, NEXT_DOCUMENT_SQL, code_sql, next_code_sql
 
 
 def split_sql(text: str) -> str:
@@ -31,6 +31,13 @@ NEXT_LINES = _lines("next_lines", "next_docs")
 CODE = (f"code AS (SELECT *, {split_sql('content')} AS lines, sha256(content) AS sha256, "
         f"strlen(content) AS size FROM ({code_sql()}))")
 CODE_LINES = _lines("code_lines", "code", "language", "kind")
+NEXT_CODE = (f"next_code AS (SELECT *, {split_sql('content')} AS lines, sha256(content) AS sha256, "
+             f"strlen(content) AS size FROM ({next_code_sql()}))")
+_FILE = "repo_id, path, kind, language, lines, sha256"
+# Both corpora of both snapshots, and their lines.
+SNAPSHOTS = ", ".join([DOCS, NEXT_DOCS, CODE, NEXT_CODE, f"old_files AS (SELECT {_FILE} FROM code UNION ALL SELECT {_FILE} FROM docs)",
+                       f"new_files AS (SELECT {_FILE} FROM next_code UNION ALL SELECT {_FILE} FROM next_docs)",
+                       _lines("old_lines", "old_files", "language", "kind", "sha256"), _lines("new_lines", "new_files", "language", "kind", "sha256")])
 
 
 def ctes(*parts: str) -> str:

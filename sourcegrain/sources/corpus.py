@@ -274,6 +274,14 @@ NEXT_DOCUMENT_SQL = """SELECT source AS repo_id, concat(source, '/', CAST(doc_id
 FROM documents WHERE NOT (doc_id % 13 = 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0)"""
 
 
+def next_code_sql() -> str:
+    """The second snapshot of the code corpus; the first edit that fits wins: header put before, whole file repeated, links mended, file dropped."""
+    return f"""SELECT repo_id, path, language, kind, CASE WHEN length(content) % 7 = 0 THEN concat('header', chr(10), content)
+ WHEN length(content) % 11 = 0 THEN concat(content, chr(10), content)
+ WHEN length(content) % 5 = 0 THEN replace(content, 'http://', 'https://') ELSE content END AS content
+FROM ({code_sql()}) WHERE NOT (length(content) % 13 = 0 AND length(content) % 7 <> 0 AND length(content) % 11 <> 0 AND length(content) % 5 <> 0)"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -293,9 +301,9 @@ def _run(spark: SparkSession, sf_dir: str, base: str, sql: str) -> DataFrame:
     return spark.sql(re.sub(rf"\bFROM {base}\b", f"FROM {view}", sql))
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """repo_id, path, content of the derived code corpus."""
-    files = _run(spark, sf_dir, "part", code_sql())
+def code_files(spark: SparkSession, sf_dir: str, sql: str | None = None) -> DataFrame:
+    """repo_id, path, content of the derived code corpus, or of another snapshot's ``sql``."""
+    files = _run(spark, sf_dir, "part", sql or code_sql())
     # a one-row explode above the union keeps later projections from being copied into each branch
     return files.select(F.explode(F.array(F.struct("repo_id", "path", "content"))).alias("f")).select("f.*")
 
@@ -309,6 +317,10 @@ def next_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, "documents", NEXT_DOCUMENT_SQL)
 
 
+def next_code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_files(spark, sf_dir, next_code_sql())
+
+
 def with_lines(files: DataFrame, content: str = "content") -> DataFrame:
     """Add ``lines`` (array of strings), ``line_count``, ``size`` and ``sha256`` of a text column."""
     return files.select(

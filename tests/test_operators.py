@@ -251,3 +251,24 @@ def test_index_of_nothing(spark):
     rows = spark.createDataFrame([("a", "", None)], "passage_id string, path string, content string")
     plans = S.plan(spark.createDataFrame([(1, "alpha"), (2, None), (3, "")], "query_id long, text string"))
     assert S.bm25(S.build_index(rows), plans).collect() == []
+
+
+def test_findings_matched_one_to_one_across_snapshots(spark):
+    from sourcegrain.operators import findings as K
+    from sourcegrain.plans.findings import snapshot_findings
+    schema = "repo_id string, path string, kind string, language string, lines array<string>, sha256 string"
+    eval_line, key_line = "eval(input)", "const password = 'hunter2secret99';"
+    before = [("r", "a.js", [eval_line, "x", eval_line, key_line]), ("r", "b.js", [eval_line]), ("r", "c.js", []), ("r", "d.js", None)]
+    after = [("r", "a.js", ["header", eval_line, key_line, key_line]), ("r", "c.js", [eval_line]), ("s", "a.js", [eval_line])]
+
+    def found(files):
+        rows = [(r, p, "source", "javascript", lines, "h") for r, p, lines in files]
+        return snapshot_findings(spark.createDataFrame(rows, schema)).withColumn("analysis_order", F.struct("line", "rule_order"))
+
+    old, new = found(before), found(after)
+    got = {(r.repo_id, r.path, r.old_line, r.line, r.state) for r in K.occurrence_lifecycle(old, new).collect()}
+    assert got == {("r", "a.js", 1, 2, "unchanged"), ("r", "a.js", 3, None, "resolved"), ("r", "a.js", 4, 3, "unchanged"), ("r", "a.js", None, 4, "new"),
+                   ("r", "b.js", 1, None, "resolved"), ("r", "c.js", None, 1, "new"), ("s", "a.js", None, 1, "first")}
+    states = sorted((r.repo_id, r.state) for r in K.lifecycle(old, new).collect())
+    assert states == [("r", "new"), ("r", "resolved"), ("r", "unchanged"), ("r", "unchanged"), ("r", "unchanged"), ("s", "first")]
+    assert K.occurrence_lifecycle(old.where("false"), new.where("false")).count() == 0
