@@ -192,31 +192,88 @@ def _traces(parsed_files, routes):
     return steps.join(rows, ["repo_id", "path", "ordinal"]).select("repo_id", "path", "line", "layer", "label", "step_path", "step_line")
 
 
-@query("backend_traces", "F15", SYMBOL_BASE + f""", {ROUTES}, {DATA}, {CALLS}, jsr AS (SELECT * FROM routes WHERE handler = 'find'),
- fd AS (SELECT repo_id, path, line_start, line_end FROM js_heads WHERE name = 'find'),
- u AS (SELECT repo_id, path, line, 0 AS step, 'Route' AS layer, concat(method, ' ', route_path) AS label, line AS step_line FROM jsr
-  UNION ALL SELECT repo_id, path, line, 1, 'Auth', 'requireAuth() middleware', line FROM jsr
-  UNION ALL SELECT r.repo_id, r.path, r.line, 2, 'Data', 'find()', f.line_start FROM jsr r JOIN fd f USING (repo_id, path)
-  UNION ALL SELECT r.repo_id, r.path, r.line, 3, 'Database', 'Database query', min(d.line) FROM jsr r JOIN fd f USING (repo_id, path) JOIN data d ON d.repo_id = f.repo_id AND d.path = f.path
-   AND d.line BETWEEN f.line_start AND f.line_end GROUP BY 1, 2, 3)
- SELECT repo_id, path, line, layer, label, step_line FROM u""")
+def _resolved(repo: str, path: str, name: str) -> str:
+    """The symbol of a name: in the same file first, else the first of the repository."""
+    return f"""LEFT JOIN LATERAL (SELECT path, line_start, line_end, kind FROM symbols s WHERE s.repo_id = {repo} AND s.name = {name}
+   ORDER BY s.path <> {path}, s.path, s.line_start, s.line_end DESC LIMIT 1) t ON true"""
+
+
+# Steps of every route by the general rule: handler and called names are looked up among all symbols.
+_BACK = f"""rs AS (SELECT *, row_number() OVER () AS rid, CASE WHEN middlewares = '' THEN [] ELSE string_split(middlewares, ',') END AS mws FROM routes),
+ mw AS (SELECT rid, repo_id, path, line, unnest(mws) AS mw, unnest(range(1, len(mws) + 1)) AS i FROM rs),
+ mt AS (SELECT m.*, coalesce(t.path, m.path) AS s_path, coalesce(t.line_start, m.line) AS s_line FROM mw m {_resolved('m.repo_id', 'm.path', "string_split(m.mw, '.')[-1]")}),
+ sp AS (SELECT r.rid, r.repo_id, r.mws, coalesce(t.path, r.path) AS h_path, coalesce(t.line_start, r.line) AS h_start, coalesce(t.line_end, r.line_end) AS h_end
+  FROM rs r {_resolved('r.repo_id', 'r.path', 'r.handler')}),
+ cd AS (SELECT sp.*, regexp_extract_all(replace(array_to_string(c.lines[h_start:h_end], chr(10)), '(', '( '), {q(r'(?:^|[^' + chr(92) + r'w$.])(' + C.ID + r')' + chr(92) + r's*' + chr(92) + '(')}, 1) AS names
+  FROM sp JOIN code c ON c.repo_id = sp.repo_id AND c.path = sp.h_path),
+ cn AS (SELECT rid, repo_id, mws, h_path, name, min(i) AS i FROM (SELECT *, unnest(names) AS name, unnest(range(0, len(names))) AS i FROM cd) GROUP BY ALL),
+ ct0 AS (SELECT c.*, t.path AS t_path, t.line_start AS t_start, t.line_end AS t_end FROM cn c {_resolved('c.repo_id', 'c.h_path', 'c.name')}
+  WHERE c.name NOT IN ({', '.join(q(x) for x in W.SKIP_CALLS)}) AND NOT list_contains(c.mws, c.name) AND t.path IS NOT NULL AND t.kind <> 'class'),
+ fc AS (SELECT *, (SELECT min(d.line) FROM data d WHERE d.repo_id = ct0.repo_id AND d.path = t_path AND d.line BETWEEN t_start AND t_end) AS reads FROM ct0),
+ fn AS (SELECT * FROM (SELECT *, row_number() OVER w AS n, coalesce(max((reads IS NOT NULL)::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS db
+  FROM fc WINDOW w AS (PARTITION BY rid ORDER BY i)) WHERE 1 + len(mws) + n - 1 + db < {W.MAX_STEPS}),
+ db AS (SELECT rid, min(i) AS i, arg_min(t_path, i) AS s_path, arg_min(reads, i) AS s_line FROM fn WHERE reads IS NOT NULL GROUP BY 1),
+ bs AS (SELECT rid, 0 AS no, 'Route' AS layer, concat(method, ' ', route_path) AS label, path AS step_path, line AS step_line FROM rs
+  UNION ALL SELECT rid, i, CASE WHEN {rx(G.AUTH_NAME, 'mw')} THEN 'Auth' ELSE 'Middleware' END, concat(mw, '() middleware'), s_path, s_line FROM mt
+  UNION ALL SELECT rid, 100 + 2 * i, CASE WHEN reads IS NOT NULL THEN 'Data' WHEN {rx(G.AUTH_NAME, 'name')} THEN 'Auth' ELSE 'Service' END, concat(name, '()'), t_path, t_start FROM fn
+  UNION ALL SELECT rid, 101 + 2 * i, 'Database', 'Database query', s_path, s_line FROM db
+  UNION ALL SELECT sp.rid, 1000000, 'Database', 'Database query', h_path, min(d.line) FROM sp JOIN data d ON d.repo_id = sp.repo_id AND d.path = h_path
+   AND d.line BETWEEN h_start AND h_end WHERE sp.rid NOT IN (SELECT rid FROM db) GROUP BY ALL
+  UNION ALL SELECT sp.rid, 1000001, 'External', concat('Outbound HTTP call (', arg_min(e.target, e.line), ')'), h_path, min(e.line) FROM sp JOIN external_calls e
+   ON e.repo_id = sp.repo_id AND e.path = h_path AND e.line BETWEEN h_start AND h_end GROUP BY sp.rid, h_path)"""
+_TRACES = SYMBOL_BASE + f", {ROUTES}, {DATA}, {CALLS}, {_BACK}"
+
+
+@query("backend_traces", "F15", _TRACES + " SELECT repo_id, path, line, layer, label, step_line FROM bs JOIN rs USING (rid)")
 def backend_traces(spark, sf_dir):
+    """Traces of the routes of any handler, inline ones included."""
     p = fact_table(spark, sf_dir)
-    return _traces(p, C.table(p, "routes").where("handler = 'find'")).drop("step_path")
+    return _traces(p, C.table(p, "routes")).drop("step_path")
 
 
-@query("backend_traces_all", "F15", None)
+@query("backend_traces_all", "F15", _TRACES + " SELECT repo_id, path, line, layer, label, step_path, step_line FROM bs JOIN rs USING (rid)")
 def backend_traces_all(spark, sf_dir):
-    """Traces of the routes of any handler, inline ones included; the SQL of backend_traces knows those of `find` only."""
+    """The same with the file of every step."""
     p = fact_table(spark, sf_dir)
     return _traces(p, C.table(p, "routes"))
 
 
-@query("request_flows", "F16", None)
+_NAMED = f"""list_transform(list_filter({_SEG.format('target')}, lambda s: s NOT IN ('api', '*') AND NOT regexp_matches(s, '^v\\d+$'))[1:2],
+  lambda s: concat(upper(s[1]), lower(translate(s, '-_', '  ')[2:])))"""
+
+
+def _flows(where: str) -> str:
+    return f"""fa AS (SELECT *, concat(method, ' ', target) AS trigger FROM api_calls a WHERE NOT EXISTS (SELECT 1 FROM routes r WHERE r.repo_id = a.repo_id AND r.path = a.path)),
+ ff AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, trigger ORDER BY path, line) AS k FROM fa) WHERE k = 1),
+ fl AS (SELECT f.*, u.name AS ui_name, u.line_start AS ui_line, r.rid FROM ff f LEFT JOIN LATERAL (SELECT name, line_start FROM symbols s WHERE s.repo_id = f.repo_id AND s.path = f.path
+   AND f.line BETWEEN s.line_start AND s.line_end ORDER BY s.line_end - s.line_start, s.line_start LIMIT 1) u ON true
+  LEFT JOIN (SELECT * FROM mb WHERE rn = 1) m ON m.repo_id = f.repo_id AND m.method = f.method AND m.target = f.target
+  LEFT JOIN rs r ON r.repo_id = m.repo_id AND r.path = m.path AND r.line = m.line),
+ heads AS (SELECT repo_id, trigger, target, path, line, rid FROM fl UNION ALL SELECT repo_id, concat(method, ' ', route_path), route_path, path, line, rid FROM rs
+  WHERE repo_id NOT IN (SELECT repo_id FROM fa)),
+ al AS (SELECT repo_id, trigger, target, path, line, rid, -2 AS no, 'UI' AS layer, CASE WHEN ui_name IS NULL THEN 'Browser UI' ELSE concat(ui_name, '() in the browser') END AS label,
+   path AS step_path, coalesce(ui_line, line) AS step_line FROM fl
+  UNION ALL SELECT repo_id, trigger, target, path, line, rid, -1, 'API call', CASE WHEN via IN ('fetch', 'axios') THEN trigger ELSE concat(trigger, ' via ', via, '()') END, path, line FROM fl
+  UNION ALL SELECT h.repo_id, h.trigger, h.target, h.path, h.line, h.rid, b.no, b.layer, b.label, b.step_path, b.step_line FROM heads h JOIN bs b USING (rid)),
+ tf AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY (rid IS NOT NULL) DESC, n DESC, path, line) AS flow_no FROM (
+  SELECT repo_id, trigger, path, line, rid, count(*) AS n FROM al GROUP BY ALL))
+ SELECT repo_id, flow_no, CASE WHEN len({_NAMED}) = 0 THEN 'Root request' ELSE array_to_string({_NAMED}, ' · ') END AS name, trigger, rid IS NOT NULL AS resolved,
+  row_number() OVER (PARTITION BY repo_id, trigger, path, line ORDER BY no) AS step_no, layer, label,
+  step_path, step_line FROM al JOIN (SELECT repo_id, trigger, path, line, flow_no FROM tf {where}) USING (repo_id, trigger, path, line)"""
+
+
+@query("request_flows", "F16", _TRACES + f", {_MATCH}, " + _flows("WHERE flow_no <= 4"))
 def request_flows(spark, sf_dir):
+    """The four longest flows of a repository, resolved ones first: the limit is the feature."""
     return W.request_flows(fact_table(spark, sf_dir))
 
 
+@query("request_flows_all", "F16", f"SELECT * EXCLUDE (flow_no) FROM ({_TRACES}, {_MATCH}, {_flows('')})")
+def request_flows_all(spark, sf_dir):
+    """All flows of all repositories."""
+    return W.request_flows(fact_table(spark, sf_dir), limit=None).drop("flow_no")
+
+
 _NOTES = f"""hl AS (SELECT *, {rx(r'^' + chr(92) + 's{0,3}#{1,6}' + chr(92) + 's+(.*)$')} AS is_head FROM code_lines WHERE kind = 'doc'),
  hs AS (SELECT *, last_value(CASE WHEN is_head THEN {rx(H.HISTORY_HEADING)} END IGNORE NULLS) OVER (PARTITION BY repo_id, path ORDER BY line_no) AS hist FROM hl),
  hc AS (SELECT *, regexp_extract_all(line, {q(H.PATH)}) AS ps, regexp_extract_all(line, {q(H.SYMBOL)}, 1) AS ns FROM hs WHERE NOT is_head AND regexp_matches(line, '\\S')
