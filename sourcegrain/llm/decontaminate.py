@@ -25,28 +25,39 @@ def words(text: str | Column) -> Column:
 
 
 def _starts(of: str) -> Column:
-    """Numbers of the shingles of the word array; a shorter text is one shingle, a text without words has none."""
+    """Numbers of the shingles of an item's word array; a shorter item is one shingle, one without words has none."""
     n = F.size(of)
     last = F.greatest(n - SHINGLE, F.lit(0))
     return F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
+def _places(of: str, lengths: list[int]) -> Column:
+    """Shingles of a document's word array for every one of ``lengths``, each as one number: 8 * place + length."""
+    return F.concat(*[F.when(F.size(of) >= n, F.sequence(F.lit(n), (F.size(of) - n) * 8 + n, F.lit(8)))
+                      .otherwise(F.array().cast("array<int>")) for n in lengths])
+
+
+def _place(code: str) -> tuple[Column, Column]:
+    """(place, length) of such a number."""
+    return F.shiftright(code, 3), F.col(code).bitwiseAND(7)
+
+
 def _hashed(words_: Column) -> Column:
     return F.transform(words_, lambda w: F.xxhash64(w))
 
 
-def _shingle_hash(hashes: str, at: str) -> Column:
-    return F.xxhash64(*[F.get(hashes, F.col(at) + i) for i in range(SHINGLE)])
+def _shingle_hash(hashes: str, at: Column, size: Column) -> Column:
+    return F.xxhash64(*[F.when(size > i, F.get(hashes, at + i)) for i in range(SHINGLE)])
 
 
-def _shingle_text(words_: str, at: str) -> Column:
-    return F.array_join(F.slice(words_, F.col(at) + 1, SHINGLE), " ")
+def _shingle_text(words_: str, at: Column, size: Column) -> Column:
+    return F.array_join(F.slice(words_, at + 1, size), " ")
 
 
 def item_classes(items: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
     """(one row per set of shingles: item, copies, n, shingles; membership: item_id, item). Items without words have none."""
     base = items.select(F.col(id_column).alias("item_id"), words(text_column).alias("w")).where("size(w) > 0")
-    rows = base.select("item_id", "w", F.explode(_starts("w")).alias("at")).select("item_id", _shingle_text("w", "at").alias("s"))
+    rows = base.select("item_id", "w", F.explode(_starts("w")).alias("at")).select("item_id", _shingle_text("w", F.col("at"), F.lit(SHINGLE)).alias("s"))
     sets = rows.groupBy("item_id").agg(F.sort_array(F.collect_set("s")).alias("shingles"))  # the shingles of one short item
     classes = sets.groupBy("shingles").agg(F.min("item_id").alias("item"), F.count("*").alias("copies")).withColumn("n", F.size("shingles"))
     members = sets.join(classes.select("shingles", "item"), "shingles").select("item_id", "item")
@@ -58,8 +69,8 @@ def search(docs: DataFrame, items: DataFrame, doc_column: str = "doc_id", item_c
     80 percent of the distinct 5-word shingles stand in the document.
 
     Words are runs of letters and digits in lower case. Items with equal shingle sets are one class, named by the
-    smallest id and counted in ``copies``. A text below five words is one shingle; null and empty texts have none; rows
-    without id are left out; rows with the same doc_id count as one document; empty tables give no rows.
+    smallest id and counted in ``copies``. An item below five words is one shingle, found wherever its words stand one
+    after another in a document; null and empty texts have no shingles; rows without id are left out; rows with the same doc_id count as one document; empty tables give no rows.
     """
     classes = stored(item_classes(items.where(F.col(item_column).isNotNull()), item_column, text_column)[0])
     numbered = classes.select("item", "n", F.explode("shingles").alias("s")).withColumn("w", F.split("s", " "))
@@ -69,15 +80,19 @@ def search(docs: DataFrame, items: DataFrame, doc_column: str = "doc_id", item_c
     keep = upper - F.ceil(upper * PERCENT / 100) + 1
     sketches = (hashed.groupBy("item", "n").agg(F.sort_array(F.collect_list("h")).alias("h"))
                 .select("item", F.explode(F.slice("h", F.lit(1), keep.cast("int"))).alias("h")).groupBy("h").agg(F.collect_list("item").alias("found")))
+    # documents are cut into the lengths that occur among the items: five words, and at most four shorter ones
+    length = F.size(F.split(F.get("shingles", F.lit(0)), " "))
+    lengths = sorted(classes.agg(F.collect_set(length).alias("l")).first()["l"]) or [SHINGLE]
     base = docs.where(F.col(doc_column).isNotNull()).select(F.col(doc_column).alias("_doc"), F.col(text_column).alias("_text"))
     hashes = base.select("_doc", _hashed(words("_text")).alias("hs"))
-    rows = hashes.select("_doc", "hs", F.explode(_starts("hs")).alias("at")).select("_doc", _shingle_hash("hs", "at").alias("h"))
+    rows = hashes.select("_doc", "hs", F.explode(_places("hs", lengths)).alias("p")).select("_doc", _shingle_hash("hs", *_place("p")).alias("h"))
     candidates = stored(rows.join(sketches, "h").select("_doc", F.explode("found").alias("item")).distinct())
     wanted = candidates.groupBy("_doc").agg(F.collect_set("item").alias("items"))  # bounded by the words of one document
     if candidates.select("_doc").distinct().count() <= BROADCAST_DOCS:
         wanted = F.broadcast(wanted)  # of checked size; beyond it the texts meet their candidates in a shuffle
     texts = base.join(wanted, "_doc").select("_doc", "items", words("_text").alias("w"))
-    held = texts.select("_doc", "items", "w", F.explode(_starts("w")).alias("at")).select("_doc", "items", _shingle_text("w", "at").alias("s"))
+    held = texts.select("_doc", "items", "w", F.explode(_places("w", lengths)).alias("p")).select(
+        "_doc", "items", _shingle_text("w", *_place("p")).alias("s"))
     shared = (held.join(numbered.select("item", "n", "s"), "s").where(F.array_contains("items", F.col("item")))
               .groupBy("_doc", "item", "n").agg(F.count_distinct("s").alias("n_shared")))
     named = shared.where(F.col("n_shared") * 100 >= F.col("n") * PERCENT).join(classes.select("item", "copies"), "item")

@@ -56,8 +56,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_decontaminate", "benchmark decontamination", """
 WITH w AS (SELECT 'd' AS k, doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS a FROM documents
   UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM benchmark),
-s AS (SELECT DISTINCT k, id, array_to_string(list_slice(a, p + 1, p + 5), ' ') AS s FROM (
-  SELECT k, id, a, unnest(range(0, greatest(len(a) - 4, 1))) AS p FROM w WHERE len(a) > 0)),
+z AS (SELECT DISTINCT least(len(a), 5) AS z FROM w WHERE k = 'i' AND len(a) > 0),
+s AS (SELECT DISTINCT k, id, array_to_string(list_slice(a, p + 1, p + z), ' ') AS s FROM (
+  SELECT k, id, a, z, unnest(range(0, len(a) - z + 1)) AS p FROM w JOIN z ON len(a) >= z AND (k = 'd' OR z = least(len(a), 5)))),
 i AS (SELECT min(id) AS item, count(*) AS copies, l FROM (SELECT id, list(s ORDER BY s) AS l FROM s WHERE k = 'i' GROUP BY id) GROUP BY l),
 x AS (SELECT item, copies, len(l) AS n, unnest(l) AS s FROM i)
 SELECT s.id AS doc_id, x.item AS item_id, x.copies, x.n AS n_shingles, count(*) AS n_shared, count(*) / x.n AS containment

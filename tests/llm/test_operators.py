@@ -112,23 +112,29 @@ def test_bpe_is_the_library(docs, nothing):
 
 
 def test_containment_search(spark, docs, nothing):
-    items = [(1, PASSAGE), (2, PASSAGE), (3, "no id here"), (4, None), (5, "!!"), (None, "short"), (6, "Short"), (7, " ".join(PASSAGE.split()[:50] + ["z"] * 40))]
+    items = [(1, PASSAGE), (2, PASSAGE), (3, "no id here"), (4, None), (5, "!!"), (None, "short"), (6, "Short"), (7, " ".join(PASSAGE.split()[:50] + ["z"] * 40)),
+             (8, " ".join(PASSAGE.split()[3:6])), (9, PASSAGE.split()[7]), (10, " ".join(PASSAGE.split()[4:2:-1]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"], r["copies"], r["n_shingles"], r["n_shared"]) for r in decontaminate.search(docs, bench).collect())
 
+    def words(t):
+        return regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
+
     def shingles(t):
-        w = regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
+        w = words(t)
         return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
     by_doc = collections.defaultdict(set)
     for i, t in TEXTS:
         if i is not None:
-            by_doc[i] |= shingles(t)
+            w = words(t)
+            by_doc[i] |= {tuple(w[a:a + n]) for n in range(1, 6) for a in range(len(w) - n + 1)}
     classes = collections.defaultdict(list)
     for i, t in items:
         if i is not None and shingles(t):
             classes[frozenset(shingles(t))].append(i)
     want = sorted((d, min(m), len(m), len(s), len(s & h)) for d, h in by_doc.items() for s, m in classes.items() if 100 * len(s & h) >= 80 * len(s))
     assert got == want and (1, 1, 2, 56, 56) in got
+    assert {8, 9} <= {item for doc, item, *_ in got if doc == 1}  # short items inside a long text
     assert decontaminate.search(nothing, bench).count() == 0 and decontaminate.search(docs, bench.limit(0)).count() == 0
     assert decontaminate.clean(docs, bench).where("doc_id in (1, 2, 10)").count() == 0
 
