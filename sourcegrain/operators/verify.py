@@ -1,7 +1,8 @@
 """Citation verification: claims and citations against the current content.
 
-Claims meet their file in one equi-join on (repo_id, path); everything after is array work in the row.
-A file with very many claims is a skewed key of that join, which adaptive execution splits.
+What is asked of a file (a place, an evidence or a hash) is made distinct and gathered into one array per file, which
+meets the file's lines once: no content travels to claims, lines are cleaned once per file, and a file that a third of
+all claims cite is asked each question once. The answers, a few short columns, then join the claims on file and question.
 """
 
 from __future__ import annotations
@@ -40,55 +41,86 @@ def parts_match(parts: Column, text: Column) -> Column:
     def step(pos: Column, part: Column) -> Column:
         found = F.position(part, text, pos)
         return F.when(pos == 0, 0).when(found == 0, 0).otherwise(found + F.length(part))
-    return F.aggregate(parts, F.lit(1), step) > 0
+    return F.when(F.size(parts) == 1, F.contains(text, F.get(parts, F.lit(0)))).otherwise(F.aggregate(parts, F.lit(1), step) > 0)
 
 
 def evidence_matches(evidence: Column, cited: Column) -> Column:
     return F.coalesce(parts_match(evidence_parts(evidence), tx.squash(cited)), F.lit(True))
 
 
-def _attach(rows: DataFrame, files: DataFrame) -> DataFrame:
+def _asked(rows: DataFrame, files: DataFrame, question: list[str]) -> DataFrame:
+    """One row per file that ``rows`` cite: repo_id, path, _asked (array of distinct questions), _lines, _sha, null for a missing file."""
+    asked = rows.groupBy("repo_id", "path").agg(F.collect_set(F.struct(*question)).alias("_asked"))
     current = files.select("repo_id", "path", F.col("lines").alias("_lines"), F.col("sha256").alias("_sha"))
-    return rows.join(current, ["repo_id", "path"], "left")
+    return asked.join(current, ["repo_id", "path"], "left")
+
+
+def _answered(rows: DataFrame, asked: DataFrame, question: list[str], *answer: str) -> DataFrame:
+    """``rows`` with the fields ``answer`` of their question, ``_n`` (lines of the file, null for a missing one) and ``_sha``."""
+    key = ["repo_id", "path", *question]
+    flat = asked.select("repo_id", "path", F.when(F.col("_lines").isNotNull(), F.size("_lines")).alias("_n"), "_sha", F.explode("_asked").alias("a"))
+    flat = flat.select("repo_id", "path", *[F.col(f"a.{c}") for c in question], *[F.col(f"a.{c}").alias(f"_{c}") for c in answer], "_n", "_sha")
+    flat = flat.withColumnsRenamed({c: f"_q_{c}" for c in key})
+    same = [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in key]
+    return rows.join(flat, same, "left").drop(*[f"_q_{c}" for c in key])
+
+
+def _each(df: DataFrame, **fields) -> DataFrame:
+    """Add fields to every question; each is a function of the question and is worked out once."""
+    def grown(a: Column) -> Column:
+        for name, value in fields.items():
+            a = a.withField(name, value(a))
+        return a
+    return hold(df, _asked=F.transform("_asked", grown))
 
 
 def anchor(claims: DataFrame, files: DataFrame) -> DataFrame:
     """Anchor claims (repo_id, path, line, line_end, evidence, indexed_sha256) in the current files.
 
-    Adds status, corrected line and line_end, relocated_from, evidence_sha256 and file_sha256.
+    Adds status, corrected line and line_end, relocated_from, evidence_sha256 and file_sha256. Claims without a path, or
+    of a file without text, are missing; without evidence, any line within the file will do; equal claims stay as they are.
     """
-    df = _attach(claims, files)
+    question = ["line", "line_end", "evidence"]
+    df = _asked(claims, files, question)
     n = F.size("_lines")
-    end = F.greatest(F.coalesce("line_end", "line"), F.col("line"))
-    df = hold(df, _end=end, _span=end - F.col("line"),
-              _parts=F.when(F.coalesce("evidence", F.lit("")) != "", evidence_parts(F.col("evidence"))))
-    in_range = (F.col("line") >= 1) & (F.col("line") <= n)
-    text = tx.squash(tx.join_lines(tx.slice_lines(F.col("_lines"), F.col("line"), F.col("_end"))))
-    cited = in_range & F.coalesce(parts_match(F.col("_parts"), text), F.lit(True))
-    first_line = tx.squash(F.element_at(tx.split_lines(F.col("evidence")), 1))
-    may_move = F.col("_parts").isNotNull() & (F.length(first_line) >= MIN_RELOCATE)
-    spots = F.filter(F.sequence(F.lit(1), n), lambda i: parts_match(
-        F.col("_parts"), tx.squash(tx.join_lines(F.slice("_lines", i, F.col("_span") + 1)))))
-    df = hold(df, _cited=F.coalesce(cited, F.lit(False)))
-    found = F.when(F.col("_lines").isNotNull() & ~F.col("_cited") & may_move & (n > 0), F.try_element_at(spots, F.lit(1)))
-    df = hold(df, _found=found)
-    start = F.coalesce("_found", "line")
-    status = (F.when(unsafe_reason(F.col("path")).isNotNull(), "unsafe_path").when(F.col("_lines").isNull(), "missing")
-              .when(~in_range & F.col("_found").isNull(), "invalid_line")
+    df = _each(df, end=lambda a: F.greatest(F.coalesce(a["line_end"], a["line"]), a["line"]),
+               parts=lambda a: F.when(F.coalesce(a["evidence"], F.lit("")) != "", evidence_parts(a["evidence"])),
+               may_move=lambda a: F.length(tx.squash(F.element_at(tx.split_lines(a["evidence"]), 1))) >= MIN_RELOCATE)
+    df = hold(df, _clean=F.transform("_lines", tx.squash))  # a window's squashed text is that of its lines, joined
+
+    def window(start: Column, length: Column) -> Column:
+        return F.when(length == 1, F.get("_clean", start - 1)).otherwise(
+            F.array_join(F.filter(F.slice("_clean", start, length), lambda x: x != ""), " "))
+
+    def in_range(a: Column) -> Column:
+        return (a["line"] >= 1) & (a["line"] <= n)
+
+    df = _each(df, cited=lambda a: F.coalesce(F.when(in_range(a), F.coalesce(
+        parts_match(a["parts"], window(a["line"], a["end"] - a["line"] + 1)), F.lit(True))), F.lit(False)))
+    # the first window that holds the evidence: once it is found, no further one is looked at
+    df = _each(df, found=lambda a: F.when(
+        F.col("_lines").isNotNull() & ~a["cited"] & a["parts"].isNotNull() & a["may_move"] & (n > 0),
+        F.aggregate(F.sequence(F.lit(1), n), F.lit(None).cast("int"), lambda first, i: F.coalesce(
+            first, F.when(parts_match(a["parts"], window(i, a["end"] - a["line"] + 1)), i)))))
+    df = _each(df, last=lambda a: F.when(a["found"].isNotNull(), F.least(n, a["found"] + a["end"] - a["line"]))
+               .when(in_range(a), F.least(a["end"], n)).otherwise(a["end"]))
+    df = _each(df, hash=lambda a: F.when(a["cited"] | a["found"].isNotNull(), tx.hash_range(F.col("_lines"), F.coalesce(a["found"], a["line"]), a["last"])))
+    df = _answered(claims, df, question, "cited", "found", "last", "hash")
+    outside = ~((F.col("line") >= 1) & (F.col("line") <= F.col("_n")))
+    status = (F.when(unsafe_reason(F.col("path")).isNotNull(), "unsafe_path").when(F.col("_n").isNull(), "missing")
+              .when(outside & F.col("_found").isNull(), "invalid_line")
               .when(~F.col("_cited") & F.col("_found").isNull(), "unsupported")
               .when(F.coalesce("indexed_sha256", F.lit("")).isin("") | (F.col("indexed_sha256") == F.col("_sha")), "verified")
               .otherwise("stale"))
     df = df.withColumn("status", status)
     ok = F.col("status").isin("verified", "stale")
-    last = F.when(F.col("_found").isNotNull(), F.least(n, F.col("_found") + F.col("_span"))).when(
-        in_range, F.least(F.col("_end"), n)).otherwise(F.col("_end"))
     return (df.withColumn("relocated_from", F.when(ok & F.col("_found").isNotNull(), F.col("line")))
-            .withColumn("evidence_sha256", F.when(ok, tx.hash_range(F.col("_lines"), start, last)).otherwise(""))
-            .withColumn("line_end", F.when(F.col("_lines").isNull(), F.col("_end")).otherwise(last))
-            .withColumn("line", start)
+            .withColumn("evidence_sha256", F.when(ok, F.col("_hash")).otherwise(""))
+            .withColumn("line_end", F.col("_last"))
+            .withColumn("line", F.coalesce("_found", "line"))
             .withColumn("file_sha256", F.coalesce("_sha", F.lit("")))
             .withColumn("message", anchor_message())
-            .drop("_lines", "_sha", "_end", "_span", "_parts", "_cited", "_found"))
+            .drop("_n", "_sha", "_cited", "_found", "_last", "_hash"))
 
 
 def anchor_message() -> Column:
@@ -104,31 +136,41 @@ def anchor_message() -> Column:
 def verify(citations: DataFrame, files: DataFrame) -> DataFrame:
     """Re-check citations (repo_id, path, line_start, line_end, evidence_sha256, file_sha256).
 
-    Adds status, file_changed, lines_changed, relocated_line and the current hashes.
+    Adds status, file_changed, lines_changed, relocated_line and the current hashes. Moved ranges are looked up in an
+    index of window hashes: one list per file and length, made only for lengths of ranges that differ now.
     """
-    df = _attach(citations, files)
+    question = ["line_start", "line_end", "evidence_sha256"]
+    df = _asked(citations, files, question)
     n = F.size("_lines")
-    end = F.greatest(F.coalesce("line_end", "line_start"), F.col("line_start"))
-    expected = F.coalesce("evidence_sha256", F.lit(""))
-    df = df.withColumn("_end", end)
-    beyond = F.col("line_start") > n
-    now = F.when(F.col("_lines").isNotNull() & ~beyond, tx.hash_range(F.col("_lines"), F.col("line_start"), F.col("_end")))
-    df = hold(df, evidence_sha256_current=now)
-    differs = beyond | ((expected != "") & (F.col("evidence_sha256_current") != expected))
-    span = F.col("_end") - F.col("line_start") + 1
-    spots = F.filter(F.sequence(F.lit(1), n - span + 1),
-                     lambda i: tx.hash_lines(F.slice("_lines", i, span)) == expected)
-    moved = F.when(F.col("_lines").isNotNull() & differs & (expected != "") & (n >= span), F.try_element_at(spots, F.lit(1)))
-    gone = F.col("_lines").isNull()
+    df = _each(df, end=lambda a: F.greatest(F.coalesce(a["line_end"], a["line_start"]), a["line_start"]),
+               expected=lambda a: F.coalesce(a["evidence_sha256"], F.lit("")))
+    df = hold(df, _clean=F.transform("_lines", tx.rstrip))
+
+    def window_hash(lines: Column) -> Column:
+        return F.sha2(tx.join_lines(lines), 256)
+
+    df = _each(df, now=lambda a: F.when(F.col("_lines").isNotNull() & ~(a["line_start"] > n),
+                                        window_hash(tx.slice_lines(F.col("_clean"), a["line_start"], a["end"]))),
+               span=lambda a: a["end"] - a["line_start"] + 1)
+    df = _each(df, differs=lambda a: (a["line_start"] > n) | ((a["expected"] != "") & (a["now"] != a["expected"])))
+    lost = lambda a: F.coalesce(F.col("_lines").isNotNull() & a["differs"] & (a["expected"] != "") & (n >= a["span"]), F.lit(False))
+    df = hold(df, _spans=F.array_distinct(F.transform(F.filter("_asked", lost), lambda a: a["span"])))
+    df = hold(df, _index=F.transform("_spans", lambda k: F.transform(
+        F.sequence(F.lit(1), n - k + 1), lambda i: window_hash(F.slice("_clean", i, k)))))
+    df = _each(df, moved=lambda a: F.when(lost(a), F.nullif(F.array_position(
+        F.element_at("_index", F.array_position(F.col("_spans"), a["span"]).cast("int")), a["expected"]).cast("int"), F.lit(0))))
+    df = _answered(citations, df, question, "now", "differs", "moved")
+    gone = F.col("_n").isNull()
     status = (F.when(unsafe_reason(F.col("path")).isNotNull(), "unsafe_path").when(gone, "missing")
-              .when(differs, "stale").otherwise("verified"))
-    changed = F.when(gone | beyond, True).otherwise(
+              .when(F.col("_differs"), "stale").otherwise("verified"))
+    changed = F.when(gone | (F.col("line_start") > F.col("_n")), True).otherwise(
         (F.coalesce("file_sha256", F.lit("")) != "") & (F.col("file_sha256") != F.col("_sha")))
-    return (df.withColumn("status", status).withColumn("relocated_line", moved)
+    return (df.withColumn("status", status).withColumn("relocated_line", F.col("_moved"))
             .withColumn("file_changed", F.coalesce(changed, F.lit(False)))
-            .withColumn("lines_changed", gone | F.coalesce(differs, F.lit(False)))
+            .withColumn("lines_changed", gone | F.coalesce("_differs", F.lit(False)))
             .withColumn("file_sha256_current", F.col("_sha"))
-            .withColumn("message", verify_message()).drop("_lines", "_sha", "_end"))
+            .withColumn("evidence_sha256_current", F.col("_now"))
+            .withColumn("message", verify_message()).drop("_n", "_sha", "_now", "_differs", "_moved"))
 
 
 def verify_message() -> Column:

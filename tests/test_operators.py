@@ -272,3 +272,39 @@ def test_findings_matched_one_to_one_across_snapshots(spark):
     states = sorted((r.repo_id, r.state) for r in K.lifecycle(old, new).collect())
     assert states == [("r", "new"), ("r", "resolved"), ("r", "unchanged"), ("r", "unchanged"), ("r", "unchanged"), ("s", "first")]
     assert K.occurrence_lifecycle(old.where("false"), new.where("false")).count() == 0
+
+
+def test_citations_against_brute_force(spark):
+    import hashlib
+    import random
+    rng = random.Random(5)
+    texts = {f"f{k}": [rng.choice(["a ", "b", "\tc", "", "d  e"]) for _ in range(rng.randint(0, 12))] for k in range(8)}
+
+    def sha(lines):
+        return hashlib.sha256("\n".join(x.rstrip() for x in lines).encode()).hexdigest()
+    files = spark.createDataFrame([("r", p, x, sha(x)) for p, x in texts.items()] + [("r", "null", None, None)],
+                                  "repo_id string, path string, lines array<string>, sha256 string")
+    cites = []
+    for k in range(600):
+        path = rng.choice([*texts, "f0", "f0", "gone", "null", None, "../f1"])
+        start, span, source = rng.randint(1, 13), rng.randint(1, 4), rng.choice([*texts.values()])
+        at = rng.randint(0, 8)
+        cites.append((k, "r", path, start, rng.choice([start + span - 1, None]), rng.choice([sha(source[at:at + span]), sha(source[at:at + 1]), "", None]), None))
+    df = spark.createDataFrame(cites, "k int, repo_id string, path string, line_start int, line_end int, evidence_sha256 string, file_sha256 string")
+    got = {r.k: (r.status, r.relocated_line) for r in V.verify(df, files).collect()}
+
+    def plain(path, start, end, expected):
+        if path is not None and path.startswith(".."):
+            return "unsafe_path", None
+        lines = texts.get(path)
+        if lines is None:
+            return "missing", None
+        end = max(end or start, start)
+        expected = expected or ""
+        if start <= len(lines) and (not expected or sha(lines[start - 1:end]) == expected):
+            return "verified", None
+        spans = [i + 1 for i in range(len(lines) - (end - start)) if expected and sha(lines[i:i + end - start + 1]) == expected]
+        return "stale", spans[0] if spans else None
+    want = {k: plain(p, s, e, h) for k, _, p, s, e, h, _ in cites}
+    assert got == want and {"verified", "stale", "missing", "unsafe_path"} == {s for s, _ in want.values()} and any(m for _, m in want.values())
+    assert V.verify(df.where("false"), files).count() == 0
