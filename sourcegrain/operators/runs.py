@@ -21,13 +21,14 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 
 def status_rollup(runs: DataFrame) -> DataFrame:
-    """Lead and member counts by status per repository; members are named ``lead.member``."""
+    """Lead and member counts by status and the last wave of leads per repository, 0 without any; members are named ``lead.member``."""
     member = F.col("agent").contains(".")
     is_ = lambda s: F.col("status") == s
     return runs.groupBy("repo_id").agg(
         F.count_if(~member & F.col("status").isin("complete", "failed", "running")).alias("leads_run"), F.count_if(~member & is_("complete")).alias("leads_complete"),
         F.count_if(member).alias("members"), F.count_if(member & is_("complete")).alias("members_complete"),
-        F.count_if(member & is_("skipped")).alias("members_skipped"), F.count_if(member & is_("failed")).alias("members_failed"))
+        F.count_if(member & is_("skipped")).alias("members_skipped"), F.count_if(member & is_("failed")).alias("members_failed"),
+        F.coalesce(F.max(F.when(~member, F.col("wave"))), F.lit(0)).alias("lead_waves"))
 
 
 def stages_seen(timeline: DataFrame) -> DataFrame:

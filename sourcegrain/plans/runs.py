@@ -40,9 +40,9 @@ def latest_runs(spark, sf_dir):
 @query("run_status_rollup", "S4", f"""WITH {_TL}, x AS (SELECT *, strpos(agent, '.') > 0 AS member FROM tl) SELECT repo_id,
  count(*) FILTER (WHERE NOT member AND status IN ('complete', 'failed', 'running')) AS leads_run, count(*) FILTER (WHERE NOT member AND status = 'complete') AS leads_complete,
  count(*) FILTER (WHERE member) AS members, count(*) FILTER (WHERE member AND status = 'complete') AS members_complete, count(*) FILTER (WHERE member AND status = 'skipped') AS members_skipped,
- count(*) FILTER (WHERE member AND status = 'failed') AS members_failed FROM x GROUP BY 1""")
+ count(*) FILTER (WHERE member AND status = 'failed') AS members_failed, coalesce(max(event_id % 7 % 3 + 1) FILTER (WHERE NOT member), 0)::INT AS lead_waves FROM x GROUP BY 1""")
 def run_status_rollup(spark, sf_dir):
-    return S.status_rollup(timeline(spark, sf_dir))
+    return S.status_rollup(timeline(spark, sf_dir).withColumn("wave", (F.col("event_id") % 7 % 3 + 1).cast("int")))
 
 
 @query("stages_seen", "S5", f"""WITH {_TL} SELECT repo_id, stage, row_number() OVER (PARTITION BY repo_id ORDER BY f) AS stage_no FROM (SELECT repo_id, stage, min((ts, event_id)) AS f FROM tl GROUP BY 1, 2)""")
