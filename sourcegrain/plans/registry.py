@@ -20,7 +20,7 @@ class Query:
 
 
 _QUERIES: dict[str, Query] = {}
-_MODULES = ("scan", "rules", "passages", "verify", "facts", "clones", "findings", "graph", "search", "qa",
+_MODULES = ("scan", "incremental", "rules", "passages", "verify", "facts", "clones", "findings", "graph", "search", "qa",
             "remediate", "triage", "runs")
 
 

@@ -49,7 +49,7 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _shared_path(spark: SparkSession) -> str:
+def shared_path(spark: SparkSession) -> str:
     """A new path below the shared folder that goes when the application ends."""
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -64,7 +64,7 @@ def bucketed(df: DataFrame, columns: list[str], order: list[str], buckets: int |
     count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"sourcegrain_{uuid.uuid4().hex}"
     (df.repartition(count, *columns).write.bucketBy(count, *columns).sortBy(*order).format("parquet")
-     .option("path", _shared_path(spark)).saveAsTable(name))
+     .option("path", shared_path(spark)).saveAsTable(name))
     return spark.table(name)
 
 
@@ -74,6 +74,6 @@ def stored(df: DataFrame) -> DataFrame:
     For results that several branches of a job use: computed once, safe against lost executors, and
     later reads still prune columns and push filters down. The table goes when the application ends.
     """
-    path = _shared_path(df.sparkSession)
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

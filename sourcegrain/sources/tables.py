@@ -20,11 +20,6 @@ def replace_partitions(current: DataFrame, incoming: DataFrame, keys: Sequence[s
     return current.join(touched, list(keys), "left_anti").unionByName(incoming)
 
 
-def write_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Dynamic partition overwrite: only the partitions found in ``df`` are rewritten."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
-
-
 def drop_types(rows: DataFrame, types: Sequence[str], column: str = "memory_type") -> DataFrame:
     return rows.where(~F.col(column).isin(list(types)))
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sourcegrain.operators import rules as R
 from sourcegrain.operators import runs
 from sourcegrain.sources.corpus import explode_lines, with_lines
+from sourcegrain.sources.keyed import FileTable
 
 
 def stream_table(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", per_trigger: int = 8) -> DataFrame:
@@ -53,6 +54,16 @@ def current_claims(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/claims").join(latest, ["repo_id", "path", "batch"]).drop("batch")
 
 
+def keep_current(files: DataFrame, table: FileTable, checkpoint: str) -> StreamingQuery:
+    """Bring a stored file table up to date with arriving files; a null content deletes its file.
+
+    The table compares content hashes, so a batch that is repeated after a failure changes nothing.
+    """
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        table.apply(batch, whole=False)
+    return files.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def hourly_rates(events: DataFrame) -> DataFrame:
     return runs.windowed_rates(events)
 
