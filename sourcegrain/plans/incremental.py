@@ -39,8 +39,8 @@ def _second(spark: SparkSession, sf_dir: str) -> DataFrame:
 def updated(spark: SparkSession, sf_dir: str) -> FileTable:
     """The claims of the first snapshot, brought up to date with the second."""
     claims = claim_table(spark, shared_path(spark))
-    claims.apply(_first(spark, sf_dir), whole=True)
-    claims.apply(_second(spark, sf_dir), whole=True)
+    for snapshot in (_first, _second):
+        claims.apply(stored(snapshot(spark, sf_dir)), whole=True)  # the derived corpus is made once, as if it were given
     return claims
 
 
@@ -73,7 +73,7 @@ def streamed_claims(spark, sf_dir):
         stream = jobs.stream_table(spark, arrivals, files.schema, per_trigger=10_000)
         jobs.keep_current(stream, claims, checkpoint).awaitTermination()
 
-    old = _first(spark, sf_dir)
+    old = stored(_first(spark, sf_dir))
     arrive(old)
     new = stored(_second(spark, sf_dir).withColumn("sha256", F.sha2("content", 256)))
     hashes = stored(old.select("repo_id", "path", F.sha2("content", 256).alias("sha256")))
