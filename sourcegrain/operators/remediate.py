@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcegrain.functions import text as tx
@@ -187,42 +187,46 @@ def review(props: DataFrame, files: DataFrame) -> DataFrame:
 def reject_overlaps(reviewed: DataFrame) -> DataFrame:
     """Earlier proposals claim their lines; a later one that shares a line with an accepted one is rejected.
 
-    The order matters, so it is a fold over the proposals of one file, at most one for each hit in its lines.
+    A sweep over the lines of a file cuts its acceptable proposals into chains of overlapping ones. Most chains hold one proposal
+    and are settled there; only in longer ones the order by number matters, so only they are folded. Ties of number go by proposal_id.
     """
-    item = F.struct("number", "proposal_id", "line", (F.col("line") + F.size("after") - 1).alias("last"), F.col("rejection").isNull().alias("ok"))
-    folded = reviewed.groupBy("repo_id", "path").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    last = F.col("line") + F.greatest(F.size("after"), F.lit(1)) - 1
+    able = reviewed.where("rejection IS NULL").select("repo_id", "path", "number", "proposal_id", "line", last.alias("last"))
+    along = Window.partitionBy("repo_id", "path").orderBy("line", "last", "proposal_id")
+    reach = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    able = able.withColumn("_new", (reach.isNull() | (reach < F.col("line"))).cast("int")).withColumn("chain", F.sum("_new").over(along))
+    item = F.struct("number", "proposal_id", "line", "last")
+    chains = able.groupBy("repo_id", "path", "chain").agg(F.array_sort(F.collect_list(item)).alias("items")).where(F.size("items") > 1)
     start = F.struct(F.array().cast("array<int>").alias("claimed"), F.array().cast("array<string>").alias("lost"))
 
     def step(acc: Column, x: Column) -> Column:
         span = F.sequence(x["line"], x["last"]).cast("array<int>")
-        hit = x["ok"] & F.arrays_overlap(acc["claimed"], span)
-        return F.struct(F.when(x["ok"] & ~hit, F.concat(acc["claimed"], span)).otherwise(acc["claimed"]).alias("claimed"),
+        hit = F.arrays_overlap(acc["claimed"], span)
+        return F.struct(F.when(hit, acc["claimed"]).otherwise(F.concat(acc["claimed"], span)).alias("claimed"),
                         F.when(hit, F.array_append(acc["lost"], x["proposal_id"])).otherwise(acc["lost"]).alias("lost"))
-    lost = folded.select(F.explode(F.aggregate("items", start, step, lambda a: a["lost"])).alias("proposal_id")).withColumn("_lost", F.lit(True))
+    lost = chains.select(F.explode(F.aggregate("items", start, step, lambda a: a["lost"])).alias("proposal_id")).withColumn("_lost", F.lit(True))
     return reviewed.join(lost, "proposal_id", "left").withColumn("rejection", F.when(F.col("_lost"), "overlap").otherwise(F.col("rejection"))).drop("_lost")
 
 
 def verify_by_rescan(accepted: DataFrame, hits: DataFrame) -> DataFrame:
-    """Re-scan each patched file: the target rule must be gone and nothing new may appear.
+    """Re-scan the patched lines: the target rule must be gone and nothing new may appear in the file.
 
-    Rules look at single lines, so the scan after a patch is the file's scan with the touched lines
-    replaced; ``hits`` is the whole scan, so a hit behind a limit never counts as introduced.
+    Rules look at single lines, so hits of the other lines stay as they are and cancel out: a rule and evidence is new in the file
+    where the patched lines hold it more often than the same lines did before. Only hits on the touched lines are joined,
+    by file and line; ``hits`` is the whole scan, so a hit behind a limit never counts as introduced.
     """
-    spans = accepted.select("proposal_id", "repo_id", "path", "line", (F.col("line") + F.size("after") - 1).alias("last"), "rule_id")
-    base = spans.drop("rule_id").join(hits.select("repo_id", "path", "line_no", "rule_id", "evidence"), ["repo_id", "path"])
     patched = accepted.select("proposal_id", "repo_id", "path", "kind", "language", F.posexplode("after").alias("i", "text"), F.col("line").alias("at"))
     patched = patched.select("proposal_id", "repo_id", "path", "kind", "language", (F.col("at") + F.col("i")).alias("line_no"), F.col("text").alias("line"))
-    fresh = R.scan_lines(patched).select("proposal_id", "line_no", "rule_id", "evidence")
-    kept = base.where("line_no < line OR line_no > last").select("proposal_id", "line_no", "rule_id", "evidence")
-    after = kept.unionByName(fresh)
-    before = base.groupBy("proposal_id", "rule_id", "evidence").agg(F.count("*").alias("b"))
-    new = (after.groupBy("proposal_id", "rule_id", "evidence").agg(F.count("*").alias("a")).join(before, ["proposal_id", "rule_id", "evidence"], "left")
-           .where(F.col("a") > F.coalesce("b", F.lit(0))).groupBy("proposal_id").agg(F.array_sort(F.collect_set("rule_id")).alias("introduced")))
-    still = after.join(spans.select("proposal_id", "rule_id", "line", "last"), ["proposal_id", "rule_id"]).where("line_no BETWEEN line AND last").select(
-        "proposal_id").distinct().withColumn("still", F.lit(True))
-    out = accepted.join(new, "proposal_id", "left").join(still, "proposal_id", "left")
-    why = F.when(F.col("still"), "rule still matches").when(F.col("introduced").isNotNull(), F.concat(F.lit("introduces "), F.array_join("introduced", ", ")))
-    return out.withColumn("rejection", why).withColumn("status", F.when(F.col("rejection").isNull(), "verified").otherwise("rejected")).drop("still", "introduced")
+    found = ["proposal_id", "rule_id", "evidence"]
+    fresh = R.scan_lines(patched).select(*found, F.lit(1).alias("more"))
+    gone = patched.select("proposal_id", "repo_id", "path", "line_no").join(hits.select("repo_id", "path", "line_no", "rule_id", "evidence"), ["repo_id", "path", "line_no"])
+    delta = fresh.unionByName(gone.select(*found, F.lit(-1).alias("more"))).groupBy(*found).agg(F.sum("more").alias("more"), F.max("more").alias("any"))
+    told = delta.groupBy("proposal_id").agg(F.array_sort(F.collect_set(F.when(F.col("more") > 0, F.col("rule_id")))).alias("introduced"),
+                                            F.collect_set(F.when(F.col("any") > 0, F.col("rule_id"))).alias("present"))
+    out = accepted.join(told, "proposal_id", "left")
+    why = F.when(F.array_contains("present", F.col("rule_id")), "rule still matches").when(
+        F.size("introduced") > 0, F.concat(F.lit("introduces "), F.array_join("introduced", ", ")))
+    return out.withColumn("rejection", why).withColumn("status", F.when(F.col("rejection").isNull(), "verified").otherwise("rejected")).drop("present", "introduced")
 
 
 def apply_patches(lines: DataFrame, verified: DataFrame) -> DataFrame:
