@@ -14,6 +14,7 @@ from sourcegrain.functions.identifiers import split_identifier
 from sourcegrain.functions.stages import hold
 from sourcegrain.operators.findings import severity_rank
 from sourcegrain.operators.search import all_terms
+from sourcegrain.session import shuffled
 
 # Line and name patterns.
 INTERESTING = r"[(=]|\bfunction\b|\bdef\b|\bclass\b|=>"
@@ -30,7 +31,7 @@ def _lines(hits: DataFrame) -> DataFrame:
 def key_lines(hits: DataFrame, plans: DataFrame, limit: int = 3) -> DataFrame:
     """The best lines of the first four hits: matched terms, identifiers, definitions and assignments."""
     rows = _lines(hits.where("rank <= 4 AND memory_type IN ('symbol', 'code')").select("query_id", "rank", "path", "line_start", "content"))
-    rows = rows.join(plans.select("query_id", "terms", "expanded", "identifiers"), "query_id").drop("content")
+    rows = rows.drop("content").join(shuffled(plans.select("query_id", "terms", "expanded", "identifiers")), "query_id")
     s = F.col("s")
     rows = rows.where(s.rlike(r"\S") & ~tx.strip(s).rlike(r"^(//|#|\*)") & s.rlike(INTERESTING))
     rows = hold(rows, low=F.lower("s"), ids=F.filter("identifiers", lambda i: F.contains("s", i)))
@@ -49,7 +50,7 @@ def key_lines(hits: DataFrame, plans: DataFrame, limit: int = 3) -> DataFrame:
 def identifier_occurrences(hits: DataFrame, plans: DataFrame) -> DataFrame:
     """Distinct lines of each file of the hits that hold the first identifier of the query."""
     first = plans.select("query_id", F.try_element_at("identifiers", F.lit(1)).alias("identifier")).where("identifier IS NOT NULL")
-    rows = _lines(hits.select("query_id", "path", "line_start", "content")).join(first, "query_id").where(F.contains("s", "identifier"))
+    rows = _lines(hits.select("query_id", "path", "line_start", "content")).join(shuffled(first), "query_id").where(F.contains("s", "identifier"))
     return rows.select("query_id", "identifier", "path", "line").distinct()
 
 
@@ -73,7 +74,7 @@ def names_in_hits(hits: DataFrame, plans: DataFrame) -> DataFrame:
     rows = hold(hits.select("query_id", "rank", "path", "passage_id", "symbol", "memory_type", "content"),
                 names=F.array_distinct(F.when(own, F.array("symbol")).otherwise(F.concat(functions, routes))))
     rows = rows.select("query_id", "rank", "path", "passage_id", F.posexplode("names").alias("ordinal", "name"))
-    return rows.join(plans.select("query_id", "terms", "expanded"), "query_id").withColumn("relevance", relevance(F.col("name"))).drop("terms", "expanded")
+    return rows.join(shuffled(plans.select("query_id", "terms", "expanded")), "query_id").withColumn("relevance", relevance(F.col("name"))).drop("terms", "expanded")
 
 
 def answer_rows(hits: DataFrame, names: DataFrame, max_paths: int = 3) -> DataFrame:
@@ -85,7 +86,7 @@ def answer_rows(hits: DataFrame, names: DataFrame, max_paths: int = 3) -> DataFr
     one = names.groupBy("query_id", "path", "name").agg(F.min(F.struct("rank", "ordinal")).alias("pos"), F.max("relevance").alias("r"))
     picked = one.groupBy("query_id", "path").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("r")).alias("neg"), "pos", "name"))), 1, 3).alias("ns"))
     label = F.array_join(F.transform("ns", lambda x: x["name"]), ", ")
-    return by_path.join(picked, ["query_id", "path"], "left").select("query_id", "n", "path", F.array_join(F.transform("spans", lambda x: x["span"]), ", ").alias("ranges"),
+    return by_path.join(shuffled(picked), ["query_id", "path"], "left").select("query_id", "n", "path", F.array_join(F.transform("spans", lambda x: x["span"]), ", ").alias("ranges"),
                                                                      F.coalesce(label, F.lit("relevant passage")).alias("names"))
 
 

@@ -13,7 +13,7 @@ from sourcegrain.plans.oracle import CODE, ctes, hash_sql
 from sourcegrain.plans.passages import windows_cte
 from sourcegrain.plans.registry import query
 from sourcegrain.plans.rules import CODE_CLAIMS, code_claims, rx
-from sourcegrain.session import stored
+from sourcegrain.session import shuffled, stored
 from sourcegrain.sources.corpus import table
 
 
@@ -24,7 +24,7 @@ def _question_hits(spark, sf_dir):
     plans = stored(S.plan(asked))
     none = ps.select(F.lit(0).cast("long").alias("query_id"), "passage_id").where("false")
     found = S.identifier_candidates(ps, plans, none, None)
-    hits = stored(found.join(ps, "passage_id").withColumn("rank", F.lit(1)))
+    hits = stored(found.join(shuffled(ps), "passage_id").withColumn("rank", F.lit(1)))
     return hits, plans
 
 

@@ -207,6 +207,36 @@ def test_containing_against_brute_force(spark):
     assert got == {(n, i) for n in needles for i, t in enumerate(texts) if n in t}
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_needles_that_begin_alike_meet_runs_as_wholes(spark):
+    # once each run met every needle of its first three characters and was then tested by contains
+    runs = [f"checkEmail{i}" for i in range(40)]
+    ps = spark.createDataFrame([(str(i), f"{r}(x)") for i, r in enumerate(runs)], "passage_id string, content string")
+    found = S.containing(ps, spark.createDataFrame([(r,) for r in runs], "needle string"), lower=False)
+    assert {(r.needle, int(r.passage_id)) for r in found.collect()} == {(n, i) for n in runs for i, r in enumerate(runs) if n in r}
+    plan = _plan(found)
+    assert "Contains(" not in plan and "strategy=merge" in plan  # the exploded runs are not broadcast either
+
+
+def test_substring_candidates_against_brute_force(spark):
+    passages = [("a", "src/find.py", "find_user findUser user users USER user user user"), ("b", "src/x.py", "nothing here"), ("c", "doc/user.md", None),
+                ("d", "one.py", "login page"), ("d", "one.py", "token of a page"), ("d", "one.py", "login page"), ("e", "y", "finduser_ __"), (None, "user", "user")]
+    asked = [(1, "find_user"), (2, "login user"), (3, "zzz"), (4, None), (5, "token"), (5, "token"), (5, "login page"), (None, "user")]
+    plans = S.plan(spark.createDataFrame(asked, "query_id long, text string"))
+    got = sorted((r.query_id, r.passage_id, round(r.score, 6)) for r in S.substring_candidates(
+        spark.createDataFrame(passages, "passage_id string, path string, content string"), plans).collect())
+    terms = [(r.query_id, list(dict.fromkeys([*r.terms, *r.expanded]))[:10]) for r in plans.collect() if r.query_id is not None]
+    want = []
+    for q, ts in terms:
+        needles = [t.replace("_", "") for k, other in terms if k == q for t in other if t.replace("_", "")]
+        ids = {p for p, path, c in passages if any(n in (c or "").lower() or n in path for n in needles)}
+        want += [(q, p, round(0.8 * sum(min((c or "").lower().count(t), 5) for t in ts), 6)) for p, _, c in passages if p in ids and p is not None]
+    assert got == sorted(want) and len(want) > 15
+
+
 def _plain_bm25(passages, queries, limit, scope):
     """(query, passage): score by the formula, every term against every token."""
     tokens = {p: [(t, 1.0) for t in re.findall(r"[a-z0-9]+", c.lower())] + [(t, 3.0) for t in re.findall(r"[a-z0-9]+", path)] for p, path, c, _, _ in passages}
