@@ -277,6 +277,14 @@ def test_index_search_against_plain_scores(spark, limit):
     assert every == _plain_bm25(passages, terms, None, scope).keys()
 
 
+def test_index_is_added_up_where_it_lies(spark):
+    # pairs of query and passage were once shuffled before the limit; now only each task's first rows of a query are
+    rows = spark.createDataFrame([(f"p{i}", "a.py", "alpha beta " * (i % 3 + 1)) for i in range(20)], "passage_id string, path string, content string")
+    found = S.bm25(S.build_index(rows), S.plan(spark.createDataFrame([(1, "alpha"), (2, "beta")], "query_id long, text string")), 5)
+    assert len(found.collect()) == 10
+    assert not re.search(r"hashpartitioning\([^)]*passage_id", found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString())
+
+
 def test_index_of_nothing(spark):
     rows = spark.createDataFrame([("a", "", None)], "passage_id string, path string, content string")
     plans = S.plan(spark.createDataFrame([(1, "alpha"), (2, None), (3, "")], "query_id long, text string"))
