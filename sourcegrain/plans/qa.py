@@ -14,13 +14,13 @@ from sourcegrain.plans.passages import windows_cte
 from sourcegrain.plans.registry import query
 from sourcegrain.plans.rules import CODE_CLAIMS, code_claims, rx
 from sourcegrain.session import shuffled, stored
-from sourcegrain.sources.corpus import table
+from sourcegrain.sources.corpus import spread, table
 
 
 def _question_hits(spark, sf_dir):
     ps = stored(P.windows(inputs.code(spark, sf_dir).where("kind = 'source'")).withColumn(
         "passage_id", F.concat_ws(":", "repo_id", "path", F.lpad(F.col("line_start").cast("string"), 8, "0"))))
-    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("checkEmail"), F.col("p_partkey").cast("string"), F.lit(" value")).alias("text"))
+    asked = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("checkEmail"), F.col("p_partkey").cast("string"), F.lit(" value")).alias("text"))
     plans = stored(S.plan(asked))
     none = ps.select(F.lit(0).cast("long").alias("query_id"), "passage_id").where("false")
     found = S.identifier_candidates(ps, plans, none, None)

@@ -13,7 +13,7 @@ from sourcegrain.plans.passages import windows_cte
 from sourcegrain.plans.registry import query
 from sourcegrain.plans.rules import q
 from sourcegrain.session import stored
-from sourcegrain.sources.corpus import table
+from sourcegrain.sources.corpus import spread, table
 
 # Query texts: each benchmark item, some with a keyword or an identifier added.
 _QUERIES = """qs AS (SELECT item_id AS query_id, concat(CASE item_id % 4 WHEN 0 THEN 'Where is the login of ' WHEN 1 THEN 'findUserByEmail ' WHEN 2 THEN 'how does it '
@@ -122,7 +122,7 @@ def substring_candidates(spark, sf_dir):
 def identifier_candidates(spark, sf_dir):
     code = stored(P.windows(inputs.code(spark, sf_dir).where("kind = 'source'")).withColumn(
         "passage_id", F.concat_ws(":", "repo_id", "path", F.lpad(F.col("line_start").cast("string"), 8, "0"))))
-    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("where is checkEmail"), F.col("p_partkey").cast("string")).alias("text"))
+    asked = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("where is checkEmail"), F.col("p_partkey").cast("string")).alias("text"))
     plans = S.plan(asked)
     none = code.select(F.lit(0).cast("long").alias("query_id"), "passage_id").where("false")
     return S.identifier_candidates(code, plans, none, per_identifier=None)
