@@ -20,8 +20,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at the cut or above."""
-    model = quality.train(docs, _read(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= quality.CUT).select("doc.*")
+    rows = stored(quality.featured(docs))
+    model = quality.train_featured(rows, _read(spark, sf_dir, "labels"))
+    return quality.score_featured(rows, model).where(F.col("score") >= quality.CUT).select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ difference of their features. The threshold is the quantile of the training scor
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sourcegrain.functions.ranking import number_rows
 from sourcegrain.llm.common import utf8
+from sourcegrain.session import stored
 
-SAMPLE = 20_000  # labelled documents at most that the model is fitted on
-PAIRS = 60_000
+PAIRS = 4  # pairs that each labelled document of the more frequent label is in
+WIDTH = 16
 CUT = 0.7
 SPAN = 24  # words in one stretch of a text
 _SYMBOLS = b"!#$%&*|<>{}[]=+~^@_\\/"
@@ -51,13 +53,14 @@ def features(text: bytes) -> list[float]:
             sum(b"0" <= w[:1] <= b"9" for w in words) / n, sum(w[-1:] in b".!?" for w in words) / n, 0.0]
 
 
-def _with_features(docs: DataFrame, id_column: str, text_column: str, keep: list[str]) -> DataFrame:
+def featured(docs: DataFrame, keep: list[str] | None = None, text_column: str = "text") -> DataFrame:
+    """The columns ``keep`` (null: all) of each row as a struct ``doc`` plus ``features`` of its whole text."""
     def run(batches):
         for b in batches:
-            made = [features(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(made, pa.list_(pa.float64()))], schema.fieldNames())
-    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField("features", T.ArrayType(T.DoubleType()))])
-    return docs.select(utf8(text_column).alias("_text"), *keep).mapInArrow(run, schema)
+            made = [features(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.float64()))], ["doc", "features"])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), utf8(text_column).alias("_text"))
+    return packed.mapInArrow(run, T.StructType([packed.schema["doc"], T.StructField("features", T.ArrayType(T.DoubleType()))]))
 
 
 @dataclass(frozen=True)
@@ -76,27 +79,67 @@ class Model:
         return 1 / (1 + np.exp(-shifted))
 
 
-def fit(x: np.ndarray, label: np.ndarray, seed: int = 7, steps: int = 400, rate: float = 0.1, ridge: float = 1e-3) -> Model:
-    """Bradley-Terry weights from random (better, worse) pairs. With one kind of label only, every score is at the cut or
-    above for 1 and below for 0."""
-    width = 16
-    if len(x) == 0 or label.min() == label.max():
-        sign = 1.0 if len(x) == 0 or label.max() == 1 else -1.0
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), -sign)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = (x - mean) / scale
-    rng = np.random.default_rng(seed)
-    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    gap = z[rng.choice(good, PAIRS)] - z[rng.choice(bad, PAIRS)]
-    w, m, v = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
-    for step in range(1, steps + 1):
-        grad = -(gap / (1 + np.exp(np.clip(gap @ w, -50, 50)))[:, None]).mean(axis=0) + ridge * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w = w - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    raw = np.sort(z @ w)
-    at = int(round(len(raw) * len(bad) / len(raw)))
-    low, high = raw[max(0, at - 1)], raw[min(at, len(raw) - 1)]
-    return Model(mean, scale, w, float((low + high) / 2))
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+
+
+def _steady(values) -> np.ndarray:
+    """Nine digits, so that the order in which tasks added up changes nothing."""
+    return np.array([float(f"{v:.9g}") for v in values])
+
+
+def _pairs(rows: DataFrame, larger: int, fewer: int) -> DataFrame:
+    """(gap): better minus worse features. Each row of the larger class meets ``PAIRS`` of the other one, all of which are met."""
+    numbered = number_rows(rows, [F.xxhash64("id"), F.col("id"), F.col("features")], "n", per="label", start=0)
+    many = numbered.where(F.col("label") == larger).select("features", F.explode(F.array([F.pmod(F.col("n") + k * 7919, F.lit(fewer)) for k in range(PAIRS)])).alias("n"))
+    few = numbered.where(F.col("label") != larger).select("n", F.col("features").alias("other"))
+    sign = 1.0 if larger else -1.0
+    return many.join(few, "n").select(F.zip_with("features", "other", lambda a, b: (a - b) * sign).alias("gap"))
+
+
+def _loss(pairs: DataFrame, scale: np.ndarray, w: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean loss over all pairs, its gradient and its second derivatives: sums of each task, added up by Spark."""
+    def run(batches):
+        total = np.zeros(2 + WIDTH + WIDTH * WIDTH)
+        for b in batches:
+            gap = _matrix(b.column(0)) / scale
+            margin = gap @ w
+            missed = 1 / (1 + np.exp(np.clip(margin, -50, 50)))
+            total += np.concatenate([[len(gap), np.logaddexp(0, -margin).sum()], -(missed @ gap), ((gap.T * (missed * (1 - missed))) @ gap).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+    sums = pairs.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    _, v = np.array(sorted((r["i"], r["v"]) for r in sums)).T
+    v = v[1:] / v[0]
+    return float(v[0] + ridge / 2 * w @ w), v[1:WIDTH + 1] + ridge * w, v[WIDTH + 1:].reshape(WIDTH, WIDTH) + ridge * np.eye(WIDTH)
+
+
+def fit(rows: DataFrame, steps: int = 30, ridge: float = 1e-3) -> Model:
+    """Bradley-Terry weights from (better, worse) pairs of all ``rows`` (id, features, label), by Newton's method. With one
+    kind of label only, every score is at the cut or above for 1 and below for 0."""
+    x = [F.col("features")[i] for i in range(WIDTH)]
+    n, good, *moments = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), *[F.avg(c) for c in x], *[F.stddev_pop(c) for c in x]).first()
+    if good in (0, n):
+        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), -1.0 if good or not n else 1.0)
+    bad = n - good
+    mean, scale = _steady(moments[:WIDTH]), _steady(moments[WIDTH:]) + 1e-6
+    pairs = stored(_pairs(rows, int(good >= bad), min(good, bad)))
+    w = np.zeros(WIDTH)
+    loss, slope, bend = _loss(pairs, scale, w, ridge)
+    for _ in range(steps):
+        step = np.linalg.solve(bend, slope)
+        if slope @ step < 1e-12:
+            break
+        while (found := _loss(pairs, scale, w - step, ridge))[0] > loss and slope @ step > 1e-12:
+            step = step / 2
+        w, (loss, slope, bend) = w - step, found
+    model = Model(mean, scale, _steady(w), 0.0)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(_matrix(b.column(0))))], ["raw"])
+    raws = number_rows(rows.select("features").mapInArrow(run, "raw double"), [F.col("raw")], "n", start=0)
+    low, high = raws.where(F.col("n").isin(bad - 1, bad)).agg(F.min("raw"), F.max("raw")).first()
+    return replace(model, threshold=(low + high) / 2)
 
 
 def held_out(id_column: str):
@@ -105,22 +148,27 @@ def held_out(id_column: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Model:
-    """Fit on at most ``SAMPLE`` labelled rows outside the held-out part, chosen by a hash of the id."""
-    rows = (labels.where(~held_out(id_column)).where(F.col(label_column).isin(0, 1)).groupBy(F.col(id_column).alias("_label_id"))
-            .agg(F.min(label_column).cast("int").alias("_label")))
-    sample = rows.orderBy(F.xxhash64("_label_id"), "_label_id").limit(SAMPLE)
-    known = docs.select(id_column, text_column).join(F.broadcast(sample), F.col(id_column) == F.col("_label_id"))  # at most SAMPLE rows
-    got = _with_features(known, id_column, text_column, ["_label_id", "_label"]).collect()
-    got.sort(key=lambda r: (r["_label_id"], r["features"]))
-    return fit(np.array([r["features"] for r in got]).reshape(len(got), 16), np.array([r["_label"] for r in got], dtype=int))
+    """Fit on all labelled rows outside the held-out part."""
+    return train_featured(featured(docs, [id_column], text_column), labels, id_column, label_column)
+
+
+def train_featured(rows: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_column: str = "quality") -> Model:
+    """Like ``train``, on rows whose features are known; only ids and features meet the labels."""
+    marks = (labels.where(~held_out(id_column)).where(F.col(label_column).isin(0, 1)).groupBy(F.col(id_column).alias("id"))
+             .agg(F.min(label_column).cast("int").alias("label")))
+    return fit(stored(rows.select(F.col(f"doc.{id_column}").alias("id"), "features").join(marks, "id").select("id", "features", "label")))
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """The input's columns as a struct ``doc`` plus ``score`` (0 to 1). Null and empty texts are scored as an empty text;
     rows keep their number; an empty table gives no rows."""
+    return score_featured(featured(docs, text_column=text_column), model)
+
+
+def score_featured(rows: DataFrame, model: Model) -> DataFrame:
+    """``doc`` and ``score`` of rows whose features are known."""
     def run(batches):
         for b in batches:
-            x = np.array([features(t) for t in b.column(1).to_pylist()]).reshape(b.num_rows, 16)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x), pa.float64())], ["doc", "score"])
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), utf8(text_column).alias("_text"))
-    return packed.mapInArrow(run, T.StructType([packed.schema["doc"], T.StructField("score", T.DoubleType())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))), pa.float64())], ["doc", "score"])
+    rows = rows.select("doc", "features")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())]))

@@ -12,6 +12,7 @@ from sourcegrain.llm import (
     bpe, chat, collocations, decontaminate, filter_audit, katz, licenses, neighbours, quality, secrets, simhash, substrings, warc,
 )
 from sourcegrain.plans.registry import Query
+from sourcegrain.session import stored
 
 _FOUND: dict[str, Query] = {}
 
@@ -77,8 +78,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_quality", "quality classifier")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model).select("doc.doc_id", "score")
+    rows = stored(quality.featured(docs, ["doc_id"]))  # texts are read once, for training and for scores
+    scored = quality.score_featured(rows, quality.train_featured(rows, table(spark, sf_dir, "labels"))).select("doc.doc_id", "score")
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 

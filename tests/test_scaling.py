@@ -20,3 +20,25 @@ def test_needles_are_never_broadcast(spark):
     found = S.identifier_candidates(rows, plans, none, None)
     assert "BroadcastHashJoin" not in _plan(found)
     assert found.where("query_id = 4").count() == 1 + 10 + 100  # 4, 40 to 49, 400 to 499
+
+
+def test_quality_learns_from_every_label(spark):
+    """Labelled documents that only a whole fit sees: the rarer kind of good text decides the weights."""
+    import numpy as np
+    import pytest
+    quality = pytest.importorskip("sourcegrain.llm.quality")
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(25_000, 16)).round(3)
+    label = (x[:, 0] + rng.normal(size=len(x)) > 0.5).astype(int)
+    rows = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(x, label, strict=True))], "id long, features array<double>, label int")
+    pairs = quality._pairs(rows, 0, int(label.sum())).cache()
+    assert pairs.count() == quality.PAIRS * int((label == 0).sum())
+    model = quality.fit(rows)
+    assert abs(model.mean - x.mean(axis=0)).max() < 1e-6 and abs(model.scale - x.std(axis=0)).max() < 1e-5  # of all rows
+    raw = np.sort(model.raw(x))
+    bad = int((label == 0).sum())
+    assert raw[bad - 1] <= model.threshold <= raw[bad]
+    gap = np.array([r["gap"] for r in pairs.collect()]) / model.scale
+    slope = -(gap / (1 + np.exp(gap @ model.weights))[:, None]).mean(axis=0) + 1e-3 * model.weights
+    assert abs(slope).max() < 1e-6  # the least loss over all pairs
+    assert (quality.fit(rows.repartition(3)).weights == model.weights).all()
