@@ -42,3 +42,17 @@ def test_quality_learns_from_every_label(spark):
     slope = -(gap / (1 + np.exp(gap @ model.weights))[:, None]).mean(axis=0) + 1e-3 * model.weights
     assert abs(slope).max() < 1e-6  # the least loss over all pairs
     assert (quality.fit(rows.repartition(3)).weights == model.weights).all()
+
+
+def test_texts_are_not_dealt_by_term(spark):
+    from sourcegrain.operators import triage as M
+    text = "Login `run_job` broken\nValueError: bad run_job\nExpected: run_job (fine) in svc/a.py\nplain plain Plain run_job."
+    issues = spark.createDataFrame([(1, text), (2, None), (1, text), (None, "alpha alpha"), (None, "alpha alpha")], "issue_id long, text string")
+    terms = M.weighted_terms(issues, None)
+    top = {r["term"]: r["weight"] for r in terms.where("issue_id = 1").collect()}
+    # strongest kind, a quarter for each further mention up to 1.5, 1.5 in the title or an expected line
+    assert top["run_job"] == 3.0 + 0.75 + 1.5 and top["svc/a.py"] == 3.0 + 1.5 and top["ValueError"] == 2.5 and top["Plain"] == 2.0 and top["plain"] == 1.0 + 0.25
+    assert len(top) == terms.where("issue_id = 1").count()
+    assert [r["weight"] for r in terms.where("issue_id IS NULL").collect()] == [1.0 + 0.25 + 1.5]
+    dealt = [x for x in _plan(terms).split("\n") if "Aggregate" in x]
+    assert dealt and not any("text" in x or "emphasis" in x for x in dealt)
