@@ -240,7 +240,7 @@ RULE_FAMILY = {r.id: r.family for r in RULES}
 
 
 def is_comment(line: Column, language: Column) -> Column:
-    text = tx.strip(line)
+    text = tx.lstrip(line)
     marks = text.startswith("//") | text.startswith("/*") | text.startswith("*") | text.startswith("<!--")
     return (marks | (text.startswith("#") & language.isin(HASH_COMMENT_LANGUAGES))
             | (text.startswith("--") & (language == "sql")))
@@ -282,11 +282,24 @@ def _describe(rules: Sequence[Rule], line: Column, index: Column) -> list[Column
             lookup([r.confidence for r in rules]).alias("confidence"), lookup([r.cwe for r in rules]).alias("cwe")]
 
 
-def _any_hint(rules: Sequence[Rule], low: Column) -> Column:
-    hints = sorted({h for r in rules for h in r.hints})
-    test = low.contains(hints[0])
-    for hint in hints[1:]:
-        test = test | low.contains(hint)
+def _any_hint(rules: Sequence[Rule], low: Column, language: Column) -> Column:
+    """Whether the line holds a hint of a rule for its language: hints of the other rules cannot make a hit."""
+    by_languages: dict[tuple[str, ...] | None, set[str]] = {}
+    for r in rules:
+        by_languages.setdefault(r.languages, set()).update(r.hints)
+    every = by_languages.pop(None, set())
+    test = _holds(low, every)
+    for languages, hints in by_languages.items():
+        test = test | (language.isin(list(languages)) & _holds(low, hints - every))
+    return test
+
+
+def _holds(low: Column, literals: set[str]) -> Column:
+    """A literal that holds another one is not looked for."""
+    test = F.lit(False)
+    for x in sorted(literals):
+        if not any(y != x and y in x for y in literals):
+            test = test | low.contains(x)
     return test
 
 
@@ -301,9 +314,9 @@ def scan_lines(lines: DataFrame, rules: Sequence[Rule] = RULES, max_line: int |
     # a one-row explode keeps lower() and the comment test from being inlined into every rule
     prepared = F.array(F.struct(F.lower("line").alias("low"), is_comment(line, F.col("language")).alias("comment")))
     short = F.lit(True) if max_line is None else F.length("line") <= max_line
-    ready = (lines.where(short & line.rlike(r"\S"))
+    ready = (lines.where(short & (tx.lstrip(line) != ""))
              .select("*", F.explode(prepared).alias("_p"))
-             .where(_any_hint(rules, F.col("_p.low"))))
+             .where(_any_hint(rules, F.col("_p.low"), F.col("language"))))
     flags = F.array_compact(F.array(*[
         F.when(_applies(r, line, F.col("_p.low"), F.col("kind"), F.col("language"), F.col("_p.comment")), F.lit(i))
         for i, r in enumerate(rules)]))

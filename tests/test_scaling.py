@@ -56,3 +56,25 @@ def test_texts_are_not_dealt_by_term(spark):
     assert [r["weight"] for r in terms.where("issue_id IS NULL").collect()] == [1.0 + 0.25 + 1.5]
     dealt = [x for x in _plan(terms).split("\n") if "Aggregate" in x]
     assert dealt and not any("text" in x or "emphasis" in x for x in dealt)
+
+
+def test_texts_are_split_once_a_line_scan(spark):
+    """Splitting and trimming run once per file and line, and comments, blanks and hints are judged as by whole patterns."""
+    from sourcegrain.functions import text as tx
+    from sourcegrain.operators import rules as R
+    from sourcegrain.sources.corpus import explode_lines, with_lines
+    texts = ["a\r\nb\rc\n", "", "\n", "\r", "x\n\n", None, "\u00a0\n \t\x0b\f// eval(x)"]
+    files = spark.createDataFrame([("r", str(i), t) for i, t in enumerate(texts)], "repo_id string, path string, content string")
+    lines = explode_lines(with_lines(files))
+    got = {}
+    for r in lines.orderBy("path", "line_no").collect():
+        got.setdefault(r.path, []).append(r.line)
+    assert got == {"0": ["a", "b", "c"], "2": [""], "3": [""], "4": ["x", ""], "6": ["\u00a0", " \t\x0b\f// eval(x)"]}
+    assert _plan(lines).count("split(") <= 1  # an inferred filter on the size would split again
+    blank = lines.select((tx.lstrip(F.col("line")) != "").alias("a"), F.col("line").rlike(r"\S").alias("b"))
+    assert blank.where("a <> b").count() == 0
+    asked = [("javascript", " \f// eval(x)"), ("javascript", "eval(x)"), ("python", "eval(x)"), (None, "eval(x)"), (None, "'http://a.io'"), ("sql", "\t-- 'http://a.io'"),
+             ("text", "jwt.decode(token)"), ("python", "# 'http://a.io'"), ("go", "# 'http://a.io'")]
+    rows = spark.createDataFrame([("r", "f", i, s, "source", lang) for i, (lang, s) in enumerate(asked)], "repo_id string, path string, line_no int, line string, kind string, language string")
+    hits = sorted((r.line_no, r.rule_id) for r in R.scan(rows).collect())
+    assert hits == [(1, "unsafe-eval"), (2, "unsafe-eval-py"), (4, "insecure-http"), (8, "insecure-http")]
