@@ -32,8 +32,8 @@ from sourcegrain.llm.common import utf8
 from sourcegrain.session import stored
 
 WORDS: int | None = None  # words of the model at most, which are broadcast then; None: all words, nothing is broadcast
-CHUNK = 700_000  # tokens that a task turns into one set of messages
-BUCKET = 2_000_000  # tokens for each bucket of bigrams
+CHUNK = 500_000  # tokens that a task turns into one set of messages
+BUCKET = 1_200_000  # tokens for each bucket of bigrams
 DISCOUNTED = 5  # counts up to this are discounted
 ADD = 0.1
 SHIFT = np.uint64(20)
