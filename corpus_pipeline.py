@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcegrain.llm import bpe, decontaminate, quality, simhash, substrings
-from sourcegrain.session import stored
+from sourcegrain.session import small_batches, stored
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at the cut or above."""
-    rows = stored(quality.featured(docs))
+    with small_batches(spark):
+        rows = stored(quality.featured(docs))
     model = quality.train_featured(rows, _read(spark, sf_dir, "labels"))
     return quality.score_featured(rows, model).where(F.col("score") >= quality.CUT).select("doc.*")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourcegrain.llm.common import utf8
+from sourcegrain.llm.common import mapped, utf8
 
 NONE = np.int64(1) << np.int64(62)
 PLACE_BITS = 32
@@ -219,4 +219,4 @@ def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_col
         ("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("n_tokens", T.LongType()),
                            *[T.StructField(*x) for x in two]])
-    return docs.select(F.col(id_column).alias("id"), utf8(text_column).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).alias("id"), utf8(text_column).alias("text")).mapInArrow(mapped(run), schema)

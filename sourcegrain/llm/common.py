@@ -6,9 +6,11 @@ exactly A-Z, which are the word rules of these operators.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,35 @@ def utf8(text: str | Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("")).cast("binary")
 
 
+def give_back() -> None:
+    """Return the memory that this worker has freed to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def mapped(run: Callable) -> Callable:
+    """``run`` of ``mapInArrow``; the worker outlives its task, so what the task used is given back at its end."""
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return whole
+
+
+def grouped(work: Callable) -> Callable:
+    """``work`` of ``applyInArrow`` on one table; what it used is given back after each group."""
+    @functools.wraps(work)
+    def whole(table):
+        out = work(table)
+        give_back()
+        return out
+    return whole
+
+
 def in_chunks(docs: DataFrame, id_column: str, text_column: str, chunk_bytes: int = 8 << 20) -> tuple[DataFrame, int]:
     """Documents with a column ``_chunk``, dealt out by it, and the number of partitions.
 

@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcegrain.llm.common import utf8
-from sourcegrain.session import stored
+from sourcegrain.llm.common import grouped, mapped, utf8
+from sourcegrain.session import small_batches, stored
 
 WORDS: int | None = None  # words of the model at most, which are broadcast then; None: all words, nothing is broadcast
 CHUNK = 500_000  # tokens that a task turns into one set of messages
@@ -77,14 +77,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(counts.values()), pa.int64())], ["w", "c"])
 
         for b in batches:
-            for text in b.column(2).to_pylist():
-                for w in text.lower().split():
+            for text in b.column(2):
+                for w in text.as_py().lower().split():
                     counts[w] = counts.get(w, 0) + 1
                 if len(counts) > 50_000:
                     yield out()
                     counts.clear()
         yield out()
-    return docs.where("train").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return docs.where("train").mapInArrow(mapped(run), "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 class Lexicon:
@@ -165,13 +165,14 @@ def _in_chunks(flush):
     def run(batches):
         chunk, size, rows, texts = TaskContext.get().partitionId() << 24, 0, [], []
         for b in batches:
-            for i, train, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                rows.append((i, train))
-                texts.append(text)
-                size += len(text) // 6 + 1
-                if size >= CHUNK or len(rows) >= 1 << 19:
-                    yield from flush(chunk, rows, texts)
-                    chunk, size, rows, texts = chunk + 1, 0, [], []
+            for at in range(0, b.num_rows, 256):
+                for i, train, text in zip(*[c.to_pylist() for c in b.slice(at, 256).columns], strict=True):
+                    rows.append((i, train))
+                    texts.append(text)
+                    size += len(text) // 6 + 1
+                    if size >= CHUNK or len(rows) >= 1 << 19:
+                        yield from flush(chunk, rows, texts)
+                        chunk, size, rows, texts = chunk + 1, 0, [], []
         if rows:
             yield from flush(chunk, rows, texts)
     return run
@@ -353,7 +354,7 @@ def _limited_scores(rows: DataFrame) -> DataFrame:
                          "score": pa.array(score + rare_sum - rare * log_rare)})
 
     chunks = parts.where("kind in ('docs', 'sums')").drop("bucket")
-    return chunks.groupBy("chunk").applyInArrow(finish, _ddl(rows))
+    return chunks.groupBy("chunk").applyInArrow(grouped(finish), _ddl(rows))
 
 
 def _ddl(rows: DataFrame) -> str:
@@ -420,7 +421,9 @@ def _keyed(buckets: int, shared):
         owner = np.repeat(np.arange(len(order)), lengths + 1)
         pairs = _split(left * kinds + right, owner, _pair_bucket(names[left], names[right], buckets), buckets,
                        lambda keys: [_deltas(names[keys // kinds]), pack(names[keys % kinds])])
+        del symbols, right, places, left, owner, numbers, known
         words = _split(w, doc, _mixed(names[w], buckets), buckets, lambda keys: [_deltas(names[keys])])
+        del w, doc
         nothing = pack(np.zeros(0, np.uint64))
         blob = pa.BufferOutputStream()
         table = pa.table({"id": pa.array([rows[i][0] for i in order]), "train": pa.array([rows[i][1] for i in order], pa.bool_()), "n": lengths + 1})
@@ -579,10 +582,11 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // BUCKET + 1)
 
     def each(table: DataFrame, work) -> DataFrame:
-        return table.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(work, _STEP)
+        return table.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(grouped(work), _STEP)
 
-    shared = spark.sparkContext.broadcast(short_names(rows, size))
-    parts = stored(each(rows.mapInArrow(_keyed(buckets, shared), _KEYED), _count_bucket(buckets)))
+    with small_batches(spark):
+        shared = spark.sparkContext.broadcast(short_names(rows, size))
+        parts = stored(each(rows.mapInArrow(mapped(_keyed(buckets, shared)), _KEYED), _count_bucket(buckets)))
     of = lambda *kinds: parts.where(F.col("kind").isin(*kinds))
     *low, total, kinds = of("stats").agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(DISCOUNTED + 3)]).first()
     total, kinds = total + trained, kinds + (trained > 0)
@@ -613,5 +617,5 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                          "train_tokens": pa.array(np.full(len(n), total, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
     chunks = of("docs", "sums").unionByName(back).select("kind", "chunk", "a", "b", "c")
-    return chunks.groupBy("chunk").applyInArrow(finish, _ddl(rows))
+    return chunks.groupBy("chunk").applyInArrow(grouped(finish), _ddl(rows))
 

@@ -54,13 +54,15 @@ def features(text: bytes) -> list[float]:
 
 
 def featured(docs: DataFrame, keep: list[str] | None = None, text_column: str = "text") -> DataFrame:
-    """The columns ``keep`` (null: all) of each row as a struct ``doc`` plus ``features`` of its whole text."""
-    def run(batches):
-        for b in batches:
-            made = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.float64()))], ["doc", "features"])
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), utf8(text_column).alias("_text"))
-    return packed.mapInArrow(run, T.StructType([packed.schema["doc"], T.StructField("features", T.ArrayType(T.DoubleType()))]))
+    """The columns ``keep`` (null: all) of each row as a struct ``doc`` plus ``features`` of its whole text.
+
+    Only the texts reach Python, in slices, and only the features come back; ``doc`` stays in the JVM.
+    """
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def made(text: pa.Array) -> pa.Array:
+        rows = [features(t) for at in range(0, len(text), 256) for t in text.slice(at, 256).to_pylist()]
+        return pa.array(rows, pa.list_(pa.float64()))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), made(utf8(text_column)).alias("features"))
 
 
 @dataclass(frozen=True)
@@ -166,9 +168,8 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
 
 
 def score_featured(rows: DataFrame, model: Model) -> DataFrame:
-    """``doc`` and ``score`` of rows whose features are known."""
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))), pa.float64())], ["doc", "score"])
-    rows = rows.select("doc", "features")
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())]))
+    """``doc`` and ``score`` of rows whose features are known; only the features reach Python."""
+    @F.arrow_udf(T.DoubleType())
+    def scored(x: pa.Array) -> pa.Array:
+        return pa.array(model.score(_matrix(x)), pa.float64())
+    return rows.select("doc", scored("features").alias("score"))

@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourcegrain.llm.common import utf8
+from sourcegrain.llm.common import mapped, utf8
 from sourcegrain.operators.similarity import components
-from sourcegrain.session import stored
+from sourcegrain.session import small_batches, stored
 
 BITS, LEAF, NODE = 3, 1024, 32
 KEY_BITS = 28
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
             values = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.int64())], ["id", "fp"])
     rows = docs.select(F.col(id_column).alias("id"), utf8(text_column).alias("text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(mapped(run), T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())]))
 
 
 def _views(fp: Column) -> Column:
@@ -201,7 +201,8 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     Null texts count as empty (fingerprint zero); rows without id keep a null component unless they share a fingerprint
     with others; repeated rows give repeated results; an empty table gives no rows. No text leaves its task.
     """
-    prints = stored(fingerprints(docs, id_column, text_column))
+    with small_batches(docs.sparkSession):
+        prints = stored(fingerprints(docs, id_column, text_column))
     distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("first")))
     joined = links(distinct.select("fp"))
     edges = stored(joined)

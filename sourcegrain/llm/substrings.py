@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourcegrain.llm.common import BASE_HIGH, BASE_LOW, Words, by_bucket, in_chunks, rolling, utf8
+from sourcegrain.llm.common import BASE_HIGH, BASE_LOW, Words, by_bucket, give_back, in_chunks, rolling, utf8
 
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)  # a perfect difference set: every shift below 21 is a difference once
 
@@ -132,6 +132,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     dealt = dealt.withColumn("_text", utf8("_t")).select("_chunk", "_text", "doc")
 
     def chunk(table: pa.Table) -> _Chunk:
+        give_back()  # of the group before
         return _Chunk(table["_text"].to_pylist(), window)
 
     def ask_anchors(key, table):
@@ -143,6 +144,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         return _send(key[0].as_py(), high, low, twice, buckets)
 
     def finish(key, table, back):
+        give_back()
         texts = table["_text"].to_pylist()
         c = _Chunk(texts, window)
         starts = c.candidates(_answers(back, 1, np.unique(c.anchor_hash), buckets))
