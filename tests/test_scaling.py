@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sourcegrain.operators import search as S
+from sourcegrain.operators import similarity
 
 
 def _plan(df):
@@ -78,3 +79,25 @@ def test_texts_are_split_once_a_line_scan(spark):
     rows = spark.createDataFrame([("r", "f", i, s, "source", lang) for i, (lang, s) in enumerate(asked)], "repo_id string, path string, line_no int, line string, kind string, language string")
     hits = sorted((r.line_no, r.rule_id) for r in R.scan(rows).collect())
     assert hits == [(1, "unsafe-eval"), (2, "unsafe-eval-py"), (4, "insecure-http"), (8, "insecure-http")]
+
+
+def test_sets_of_clones_travel_once(spark):
+    docs = spark.range(40).select("id", F.expr("transform(sequence(1, 30), i -> concat('w', (i + id div 2 * 7) % 97, '.', i % 5))").alias("t"))
+    reps, members = similarity.collapse(docs.select("id", F.size("t").alias("n_tokens"), similarity.shingles(F.col("t")).alias("shingles")))
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def exchanged(df):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            return [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+        pairs = spark.createDataFrame([(0, 2), (2, 4)], "a long, b long")
+        assert reps.count() == 20 and members.count() == 40
+        # candidates go to the sets of their first side; these stay where they lie
+        assert len(exchanged(reps.join(pairs, reps["rep"] == pairs["a"]))) == 2  # of the groups' names and of the pairs
+        prefix = similarity._prefixes(reps, similarity.THRESHOLD)
+        prefix.collect()
+        dealt = prefix._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ReusedExchange" in dealt  # the shingles' counts and the join with them read one shuffle
+        assert similarity.linked(reps).count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
