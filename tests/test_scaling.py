@@ -1,5 +1,7 @@
 """Steps whose memory must not grow with the data."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from sourcegrain.operators import search as S
@@ -101,3 +103,54 @@ def test_sets_of_clones_travel_once(spark):
         assert similarity.linked(reps).count() == 20
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+def test_sieve_drops_only_rows_without_a_partner(spark):
+    from sourcegrain.functions import sieve as V
+    keys = spark.range(0, 3000, 3).select(F.col("id").cast("string").alias("k")).union(spark.sql("SELECT CAST(NULL AS STRING)"))
+    words = spark.range(3000).select(F.col("id").cast("string").alias("w")).union(spark.sql("SELECT CAST(NULL AS STRING)"))
+    left = {r.w for r in words.where(V.may_hold(V.sieve(keys, "k"), F.col("w"))).collect()}
+    assert {str(i) for i in range(0, 3000, 3)} <= left and len(left) < 1050 and None not in left
+    assert words.where(V.may_hold(V.sieve(keys.limit(0), "k"), F.col("w"))).count() == 0
+
+
+def test_terms_are_counted_as_runs_of_word_characters(spark):
+    """A term of word characters is looked up as a literal, once its text is cut into runs; others keep their pattern."""
+    from sourcegrain.operators import triage as M
+    text = "job\ntask task,task_a task\u00e9 -task- job-task job-task2 `job-task` xtask\nActual: job task.job"
+    rows = {r["term"]: r["weight"] for r in M.weighted_terms(spark.createDataFrame([(1, text)], "issue_id long, text string"), None).collect()}
+    for term, w in rows.items():
+        found = len(re.findall(rf"(?<!\w){re.escape(term)}(?!\w)", text, re.ASCII))
+        shown = re.search(rf"(?<!\w){re.escape(term)}(?!\w)", "job job task.job", re.ASCII)
+        assert w - min(1.5, 0.25 * (found - 1)) - (1.5 if shown else 0) in (1.0, 2.0, 2.5, 3.0), term
+    assert {"job-task", "task_a", "task", "job"} <= set(rows)
+    terms = M.weighted_terms(spark.createDataFrame([(1, text)], "issue_id long, text string"), None)
+    assert _plan(terms).count("Exchange ") == 1  # dealt once, by issue; twice before
+
+
+def test_words_of_code_are_sieved_before_they_are_dealt(spark):
+    from sourcegrain.operators import triage as M
+    terms = spark.createDataFrame([(1, "wanted", 2.0, 1)], "issue_id long, term string, weight double, rank int")
+    signals = M.issue_signals(spark.createDataFrame([(1, "wanted")], "issue_id long, text string"))
+    symbols = "array<struct<line_start:int,neg:int,ord:int,name:string,kind:string,line_end:int,parent:string,signature:string>>"
+    parsed = spark.createDataFrame([("r", f"a{i}.py", "source", ["other wanted", "wanted" if i == 3 else "none"], []) for i in range(5)],
+                                   f"repo_id string, path string, kind string, lines array<string>, symbols {symbols}")
+    found = M.suspects(terms, signals, parsed)
+    assert sum(r["score"] for r in found.collect()) == 5.0 and found.count() == 5
+    assert "xxhash64(word" in _plan(found)
+
+
+def test_facts_take_each_step_once(spark):
+    """What a step works out is bound, not written out again wherever it is read."""
+    from sourcegrain.operators import facts as C
+    from sourcegrain.sources import corpus
+    files = spark.createDataFrame([("r", "a.js", "source", "javascript", "router.get('/a', auth, check(x), find);\napp.post('/b', one, two);\n"
+                                    "const go = (a) =>\n  a;\nexports.f = function (x) {\n};\nexport { a as b, c: d };")],
+                                  "repo_id string, path string, kind string, language string, content string")
+    parsed = C.parse(corpus.with_lines(files))
+    r = parsed.collect()[0]
+    assert [(x["middlewares"], x["handler"], x["path"]) for x in r["routes"]] == [([], "auth", "/a"), (["one"], "two", "/b")]
+    assert [(x["name"], x["line_start"], x["line_end"]) for x in r["symbols"]] == [("go", 3, 4), ("f", 5, 6)]
+    assert {"b", "d", "f"} <= set(r["exports"])
+    plan = parsed.select("routes")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_position") == 1  # 14 where each reader had its own
