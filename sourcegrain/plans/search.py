@@ -111,7 +111,7 @@ _NEEDLES = """nd AS (SELECT query_id, term, n FROM (SELECT query_id, term, n FRO
  length(replace(lower(content), term, ''))) // length(term), 5)), 6) AS score FROM n10, ps GROUP BY 1, 2 HAVING bool_or(contains(lower(content), replace(term, '_', ''))
  OR contains(lower(path), replace(term, '_', '')))""")
 def substring_candidates(spark, sf_dir):
-    rows = S.substring_candidates(stored(passages(spark, sf_dir)), S.plan(queries(spark, sf_dir)))
+    rows = S.substring_candidates(passages(spark, sf_dir), S.plan(queries(spark, sf_dir)))  # read once, so not stored
     return rows.select("query_id", "passage_id", F.round("score", 6).alias("score"))
 
 

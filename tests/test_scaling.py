@@ -154,3 +154,25 @@ def test_facts_take_each_step_once(spark):
     assert {"b", "d", "f"} <= set(r["exports"])
     plan = parsed.select("routes")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_position") == 1  # 14 where each reader had its own
+
+
+def test_only_distinct_runs_of_a_chunk_leave_it(spark, monkeypatch):
+    """Texts are dealt once; before, a row with its passage_id travelled for every run, and once more for every run with a term."""
+    rows = spark.range(40).select(F.concat(F.lit("p"), "id").alias("passage_id"), F.lit("a/b.py").alias("path"), F.concat(F.lit("login page of user "), "id").alias("content"))
+    plans = S.plan(spark.createDataFrame([(1, "login user")], "query_id long, text string"))
+    plans_of, kept = [], S.stored
+    monkeypatch.setattr(S, "stored", lambda df: (plans_of.append(_plan(df)), kept(df))[1])
+    found = {(r.query_id, r.passage_id): round(r.score, 6) for r in S.substring_candidates(rows, plans).collect()}
+    assert found == {(1, f"p{i}"): 1.6 for i in range(40)}
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)", plans_of[-1])
+    assert dealt and not any("passage_id" in x or "place" in x for x in dealt)
+    assert "passage_id" not in " ".join(plans_of[:-1])
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true") == "true"
+
+
+def test_no_question_reads_no_passage(spark, monkeypatch):
+    monkeypatch.setattr(S, "bucketed", lambda *a, **b: 1 / 0)
+    rows = spark.createDataFrame([("a", "x.py", "user")], "passage_id string, path string, content string")
+    plans = S.plan(spark.createDataFrame([(1, "user")], "query_id long, text string"))
+    none = S.substring_candidates(rows, plans.where("false"))
+    assert none.collect() == [] and none.columns == ["query_id", "passage_id", "score"]
