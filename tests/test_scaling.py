@@ -176,3 +176,33 @@ def test_no_question_reads_no_passage(spark, monkeypatch):
     plans = S.plan(spark.createDataFrame([(1, "user")], "query_id long, text string"))
     none = S.substring_candidates(rows, plans.where("false"))
     assert none.collect() == [] and none.columns == ["query_id", "passage_id", "score"]
+
+
+def test_index_is_dealt_once_by_passage(spark, monkeypatch):
+    """Texts travel, before they are cut; once each token of a passage travelled twice."""
+    rows = spark.createDataFrame([("a", "src/Ab.py", "x  alpha, alpha\u00e9 beta"), ("a", "src/Ab.py", "alpha"), ("b", None, "..."), ("c", "/", None)],
+                                 "passage_id string, path string, content string")
+    made = S.postings(rows)
+    dealt = re.findall(r"Exchange (\w+\([^)]*)", _plan(made))
+    assert len(dealt) == 1 and "passage_id" in dealt[0] and "token" not in dealt[0]
+    got = {(r.passage_id, r.token): r.wtf for r in made.collect()}
+    assert got == {("a", "x"): 1.0, ("a", "alpha"): 2.0, ("a", "alpha\u00e9"): 1.0, ("a", "beta"): 1.0, ("a", "src"): 6.0, ("a", "ab"): 6.0, ("a", "py"): 6.0}
+    deals = []
+    monkeypatch.setattr(S, "bucketed", lambda df, *a, kept=S.bucketed, **b: (deals.append(b), kept(df, *a, **b))[1])
+    assert S.build_index(rows).postings.count() == len(got) and deals == [{"deal": False}]
+
+
+def test_no_identifier_cuts_no_text(spark, monkeypatch):
+    monkeypatch.setattr(S, "containing", lambda *a, **b: 1 / 0)
+    rows = spark.createDataFrame([("a", "x.py", "user")], "passage_id string, path string, content string")
+    plans = S.plan(spark.createDataFrame([(1, "user")], "query_id long, text string"))
+    none = rows.select(F.lit(1).cast("long").alias("query_id"), "passage_id")
+    found = S.identifier_candidates(rows, plans, none)
+    assert found.collect() == [] and found.columns == ["query_id", "passage_id", "score"]
+
+
+def test_compound_words_are_cut_once(spark):
+    from sourcegrain.functions import identifiers as ids
+    rows = spark.createDataFrame([("_a_b fooBar __x__ Foo fooBar FOO_BAR bazQux",)], "t string").select(ids.expand_terms(F.col("t")).alias("x"))
+    assert rows.collect()[0]["x"] == ["foo", "bar", "baz", "qux"]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
