@@ -206,3 +206,16 @@ def test_compound_words_are_cut_once(spark):
     rows = spark.createDataFrame([("_a_b fooBar __x__ Foo fooBar FOO_BAR bazQux",)], "t string").select(ids.expand_terms(F.col("t")).alias("x"))
     assert rows.collect()[0]["x"] == ["foo", "bar", "baz", "qux"]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_python_blocks_by_brackets_and_indent(spark):
+    """Lines are measured without patterns; a signature that ends on its first line measures no other line."""
+    from sourcegrain.operators import facts as C
+    from sourcegrain.sources import corpus
+    text = ("class A:  # (\n    def f(self,\n          x):\n\n        # ) note\n        return [x]\n\n# out\n    def g(self): return 1\n"
+            "def h(a):\n\treturn {\n\t  1: 2}\n   \nx = 1\n")
+    files = spark.createDataFrame([("r", "a.py", "source", "python", text)], "repo_id string, path string, kind string, language string, content string")
+    parsed = C.parse(corpus.with_lines(files), "symbols")
+    assert [(x["name"], x["line_start"], x["line_end"], x["parent"]) for x in parsed.collect()[0]["symbols"]] == [
+        ("A", 1, 9, None), ("f", 2, 8, "A"), ("g", 9, 9, "A"), ("h", 10, 12, None)]
+    assert r"[^(\[{]" not in parsed._jdf.queryExecution().optimizedPlan().toString()
